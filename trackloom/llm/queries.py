@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from trackloom.llm.mixing import op2_mixing
+from trackloom.llm.packing import op10_packing
+from trackloom.llm.secrets import op4_secrets
+from trackloom.llm.topk import OP9_SQL, op9_topk
+from trackloom.llm.urls import OP7_SQL, op7_urls
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_secrets": op4_secrets,
+    "op7_urls": op7_urls,
+    "op9_topk": op9_topk,
+    "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {}
+SQL = {"op7_urls": OP7_SQL, "op9_topk": OP9_SQL}
