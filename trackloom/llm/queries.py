@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from trackloom.llm.forest import op5_embeddings
 from trackloom.llm.mixing import op2_mixing
 from trackloom.llm.packing import op10_packing
 from trackloom.llm.secrets import op4_secrets
+from trackloom.llm.simhash import op8_simhash
 from trackloom.llm.topk import OP9_SQL, op9_topk
 from trackloom.llm.urls import OP7_SQL, op7_urls
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
+    "op5_embeddings": op5_embeddings,
     "op7_urls": op7_urls,
+    "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
 }
