@@ -117,7 +117,8 @@ def top_k(vectors: DataFrame, *, k: int = 5, query_step: int = 50, id_col: str =
 
     def run(asked: DataFrame) -> DataFrame:
         """asked: queries with ``shard`` and ``floor``; each meets all of that shard."""
-        keyed = shard.join(asked.select("dim", "shard", "block").distinct(), ["dim", "shard"])
+        met = asked.select("dim", "shard", "block").distinct().toDF("dim", "shard", "block")
+        keyed = shard.toDF(*shard.columns).join(met, ["dim", "shard"])
         return asked.groupBy("dim", "shard", "block").cogroup(keyed.groupBy("dim", "shard", "block")).applyInPandas(_search(k), _OUT)
 
     none = F.lit(None).cast("long")
