@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation.  The
+    shuffle files behind ``df`` are not needed any more; Spark deletes them once the
+    driver's JVM has collected the plan, which a long driver may not do for half an hour.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trackloom.llm.forest import op5_embeddings
+from trackloom.llm.lines import op1_lines
 from trackloom.llm.mixing import op2_mixing
 from trackloom.llm.packing import op10_packing
 from trackloom.llm.secrets import op4_secrets
@@ -11,6 +12,7 @@ from trackloom.llm.topk import OP9_SQL, op9_topk
 from trackloom.llm.urls import OP7_SQL, op7_urls
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
     "op5_embeddings": op5_embeddings,
