@@ -8,6 +8,7 @@ from trackloom.llm.mixing import op2_mixing
 from trackloom.llm.packing import op10_packing
 from trackloom.llm.secrets import op4_secrets
 from trackloom.llm.simhash import op8_simhash
+from trackloom.llm.substrings import op6_substrings
 from trackloom.llm.topk import OP9_SQL, op9_topk
 from trackloom.llm.urls import OP7_SQL, op7_urls
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
     "op5_embeddings": op5_embeddings,
+    "op6_substrings": op6_substrings,
     "op7_urls": op7_urls,
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
