@@ -6,6 +6,7 @@ from trackloom.llm.forest import op5_embeddings
 from trackloom.llm.lines import op1_lines
 from trackloom.llm.mixing import op2_mixing
 from trackloom.llm.packing import op10_packing
+from trackloom.llm.quality import op3_quality
 from trackloom.llm.secrets import op4_secrets
 from trackloom.llm.simhash import op8_simhash
 from trackloom.llm.substrings import op6_substrings
@@ -15,6 +16,7 @@ from trackloom.llm.urls import OP7_SQL, op7_urls
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_embeddings": op5_embeddings,
     "op6_substrings": op6_substrings,

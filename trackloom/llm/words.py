@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = np.random.default_rng(20_011).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES = np.random.default_rng(20_011).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -74,7 +74,7 @@ class Words:
         self.ends = np.flatnonzero(inside & ~(after & ~cut[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.hashes = span_hash(sums(_BYTES[data]), self.starts, self.ends)
+        self.hashes = span_hash(sums(BYTES[data]), self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
