@@ -62,6 +62,7 @@ class Tree:
                 for child in self.children[node]:
                     heapq.heappush(work, (-int(bounds[child]), child))
                 continue
+            rows = rows[uids[rows] != own]
             scores = self.vectors[rows] @ query
             if least is not None:
                 rows, scores = rows[scores >= least], scores[scores >= least]
@@ -69,8 +70,6 @@ class Tree:
                 kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                 rows, scores = rows[scores >= kth], scores[scores >= kth]
             for row, score in zip(rows.tolist(), scores.tolist(), strict=True):
-                if uids[row] == own:
-                    continue
                 item = (score, -int(ids[row]), -int(uids[row]))
                 if len(best) < k:
                     heapq.heappush(best, item)
