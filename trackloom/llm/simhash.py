@@ -107,10 +107,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of smallest
     doc_id, of several such rows any one; rows without an id stay."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    found = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
