@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import materialize, read_table
-from trackloom.llm.words import Words, batches_of, mixed
+from trackloom.llm.words import Words, batches_of, distinct, mixed
 
 #: Entries of the table of word counts: 1 MB, whatever the size of the corpus.
 BUCKETS = 1 << 20
@@ -37,10 +37,18 @@ def word_classes(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     parts, each = 1024, BUCKETS // 1024
 
     def work(batches):
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        counts, some = np.zeros(BUCKETS, dtype=np.int64), [np.zeros(0, dtype=np.int32)]
+
+        def add() -> None:
+            np.add(counts, np.bincount(np.concatenate(some), minlength=BUCKETS), out=counts)
+            some[1:] = []
+
         for batch in batches:
             for _, words in batches_of(batch.column(0)):
-                counts += np.bincount((words.hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                some.append((words.hashes & np.uint64(BUCKETS - 1)).astype(np.int32))
+                if len(some) >= 64:
+                    add()
+        add()
         own = [x.tobytes() for x in counts.reshape(parts, each)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(own, pa.binary())], ["part", "counts"])
 
@@ -70,11 +78,11 @@ def line_sets(words: Words, lines: np.ndarray, order: np.ndarray | None) -> tupl
     frequent by the classes in ``order`` (None: by hash alone)."""
     each, code = np.unique(words.hashes, return_inverse=True)
     if order is not None:
-        by = np.lexsort((each, order[(each & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+        by = np.argsort(order[(each & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
         rank = np.empty(len(each), dtype=np.uint64)
         rank[by] = np.arange(len(each), dtype=np.uint64)
         each, code = each[by], rank[code]
-    keys = np.unique(lines.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64))
+    keys = distinct(lines.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64))
     line = (keys >> np.uint64(32)).astype(np.int64)
     begin = np.flatnonzero(np.diff(line, prepend=-1))
     return line[begin], begin, each[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
@@ -126,31 +134,86 @@ def _may_match(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & ((na + nb - apart) * (num + den) >= 2 * num * (na + nb))
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).where("a <> b").distinct()
+
+
 def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b): line b and the first line that shares a smallest word and about its length."""
+    """Pairs of a line and the first line that shares a smallest word and about its length."""
     bucket = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-    keyed = lines.select("id", "doc", "line", "n", "bitmap", bucket.alias("bucket"), F.posexplode(F.array("m0", "m1")).alias("k", "m"))
-    heads = keyed.groupBy("k", "m", "bucket").agg(F.min(F.struct("doc", "line", "id", "n", "bitmap")).alias("h"), F.count("*").alias("c"))
-    heads = heads.where("c > 1").select("k", "m", "bucket", *(F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "doc", "line", "n", "bitmap")))
-    rows = keyed.toDF("b_id", "b_doc", "b_line", "b_n", "b_bitmap", "bucket", "k", "m")
-    met = rows.join(heads, ["k", "m", "bucket"]).where(_earlier("a_", "b_") & _may_match("a_", "b_", num, den))
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-
+    keyed = lines.select("id", "doc", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m")).withColumn("key", F.xxhash64("k", "m", bucket))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("doc", "line", "id", "n", "bitmap")).alias("h"), F.count("*").alias("c"))
+    heads = heads.where("c > 1").select("key", *(F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bitmap")))
+    rows = keyed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "bitmap")))
+    return _pairs(rows.join(heads, "key").where(_may_match("a_", "b_", num, den)))
+
+
+def _meet(num: int, den: int):
+    """Pairs within each word of rows (word, n, at, id, bitmap, open) sorted by word and n."""
+
+    def filtered(i: np.ndarray, j: np.ndarray, c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, n, at, ids, bitmap, _ = c
+        # At the first shared word nothing was shared before it, so at most what follows adds to it.
+        left = n - at
+        keep = np.minimum(left[i], left[j]) * (num + den) >= (n[i] + n[j]) * num
+        i, j = i[keep], j[keep]
+        both = n[i] + n[j]
+        keep = (both - np.bitwise_count(bitmap[i] ^ bitmap[j])) * (num + den) >= 2 * num * both
+        return i[keep], j[keep]
+
+    def pairs(c: list[np.ndarray], done: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows from ``done`` on, each with the earlier ones of its word and length range."""
+        word, n, open_ = c[0], c[1], c[5]
+        key = np.concatenate([[0], np.cumsum(word[1:] != word[:-1])]) << 40
+        low = key + (n * num + den - 1) // den
+        key = key + n
+        found = []
+        rows = np.arange(done, len(word))
+        for own, others in ((rows[open_[rows]], np.arange(len(word))), (rows[~open_[rows]], np.flatnonzero(open_))):
+            first = np.searchsorted(key[others], low[own])
+            last = np.searchsorted(others, own)
+            many = np.maximum(last - first, 0)
+            ends = np.cumsum(many)
+            at = 0
+            while at < len(own):
+                # Blocks of about a million pairs; a row with more is a block of its own.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+                size = many[at:to]
+                i = np.repeat(own[at:to], size)
+                j = others[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at:to], size)]
+                found.append(filtered(i, j, c))
+                at = to
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
 
-def _earlier(a: str, b: str) -> Column:
-    return (F.col(a + "doc") < F.col(b + "doc")) | (F.col(a + "doc") == F.col(b + "doc")) & (F.col(a + "line") < F.col(b + "line"))
+    def work(batches):
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            new[1], new[2], new[4] = new[1].astype(np.int64), new[2].astype(np.int64), new[4].view(np.uint64)
+            if not len(new[0]):
+                continue
+            done = len(held[0]) if held else 0
+            c = [np.concatenate([h, x]) for h, x in zip(held, new, strict=True)] if held else new
+            i, j = pairs(c, done)
+            if len(i):
+                a, b = c[3][i], c[3][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            # What later rows of the last word may still meet.
+            stay = (c[0] == c[0][-1]) & (c[1] * den >= c[1][-1] * num)
+            held = [x[stay] for x in c]
+
+    return work
 
 
 def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of an unsettled line b and an earlier line a that pass the filters."""
-    cols = ("id", "doc", "line", "n", "bitmap")
-    every = lines.select(*(F.col(c).alias("a_" + c) for c in cols), F.posexplode("prefix").alias("a_at", "word"))
-    open_ = lines.join(settled, "id", "left_anti").select(*(F.col(c).alias("b_" + c) for c in cols), F.posexplode("prefix").alias("b_at", "word"))
-    # At the first shared word nothing was shared before it, so at most what follows adds to it.
-    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    close = rest * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
-    met = every.join(open_, "word").where(close & _may_match("a_", "b_", num, den) & _earlier("a_", "b_"))
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    """Pairs of an unsettled line and any other line that pass the filters.
+
+    Rows of a word are sorted by length, so that a task holds only those of one word
+    within the length filter of the row at hand.
+    """
+    flagged = lines.join(settled.select("id", F.lit(False).alias("open")), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    rows = flagged.select("id", "n", "bitmap", "open", F.posexplode("prefix").alias("at", "word")).select("word", "n", "at", "id", "bitmap", "open")
+    return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet(num, den), "a long, b long").where("a <> b").distinct()
 
 
 def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,40 +235,46 @@ def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, tex
     def work(batches):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = pa.array([press.decompress(p) for p in batch.column(0).to_pylist()], pa.binary()).cast(pa.string())
-            wanted = batch.column(1).to_pylist()
-            for row, words in batches_of(texts):
-                lines, firsts = line_numbers(words)
-                line, begin, sets = line_sets(words, lines, None)
+            texts = [press.decompress(p) for p in batch.column(0).to_pylist()]
+            some, ids, sigs = [], [], []
+            for text, wanted in zip(texts, batch.column(1).to_pylist(), strict=True):
+                parts = text.split(b"\n")
+                for want in wanted:
+                    if want["line"] < len(parts):
+                        some.append(parts[want["line"]])
+                        ids.append(want["id"])
+                        sigs.append(want["sig1"])
+            ids, sigs = np.array(ids, dtype=np.int64), np.array(sigs, dtype=np.int64)
+            for row, words in batches_of(pa.array(some, pa.binary()).cast(pa.string())):
+                line, begin, sets = line_sets(words, words.text, None)
                 if not len(line):
                     continue
-                sig1, _ = signatures(sets, begin)
                 ends = np.append(begin, len(sets))
-                ids, out = [], []
-                for t, first in enumerate(firsts.tolist()):
-                    for want in wanted[row + t]:
-                        at = int(np.searchsorted(line, first + want["line"]))
-                        if at < len(line) and line[at] == first + want["line"] and sig1[at] == want["sig1"]:
-                            ids.append(want["id"])
-                            out.append(sets[ends[at] : ends[at + 1]].view(np.int64))
-                if ids:
-                    at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out)))], ["id", "words"])
+                # Rows with equal ids may differ in text: only the line that was meant counts.
+                good = np.flatnonzero(signatures(sets, begin)[0] == sigs[row + line])
+                size = np.diff(ends)[good]
+                inside = np.zeros(len(sets) + 1, dtype=np.int64)
+                np.add.at(inside, ends[good], 1)
+                np.add.at(inside, ends[good + 1], -1)
+                at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                own = sets[np.cumsum(inside[:-1]) > 0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + line[good]]), pa.ListArray.from_arrays(pa.array(at), pa.array(own))], ["id", "words"])
 
     per_doc = lines.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted"))
     return packed_texts(docs, id_col, text_col).join(per_doc, "doc").select("packed", "wanted").mapInArrow(work, "id long, words array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The later lines (id) of those ``pairs`` (a, b) whose whole sets match."""
+def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The later line (id) of each of the ``pairs`` (a, b) whose whole sets match."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets_of(docs, lines, ids, id_col, text_col).dropDuplicates(["id"]))
-    left, right = sets.toDF("a", "wa"), sets.toDF("b", "wb")
+    place = F.struct("doc", "line").alias("at")
+    sets = materialize(_sets_of(docs, lines, ids, id_col, text_col).dropDuplicates(["id"]).join(lines.select("id", place), "id"))
+    left, right = sets.toDF("a", "wa", "pa"), sets.toDF("b", "wb", "pb")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    sure = shared * (num + den) >= (F.size("wa") + F.size("wb")) * num
-    return materialize(both.where(sure).select(F.col("b").alias("id")).distinct())
+    sure = (shared * (num + den) >= (F.size("wa") + F.size("wb")) * num) & (F.col("pa") != F.col("pb"))
+    return materialize(both.where(sure).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
 
 
 def kept_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,14 +285,15 @@ def kept_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "do
     than each other.
     """
     lines = distinct_lines(docs, num, den, id_col, text_col)
-    first = verified(first_candidates(lines, num, den), docs, lines, num, den, id_col, text_col)
-    more = verified(prefix_candidates(lines, first, num, den), docs, lines, num, den, id_col, text_col)
+    first = matched(first_candidates(lines, num, den), docs, lines, num, den, id_col, text_col)
+    more = matched(prefix_candidates(lines, first, num, den), docs, lines, num, den, id_col, text_col)
     return lines.join(first.union(more), "id", "left_anti").select("doc", "line")
 
 
-def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """``docs`` without lines that an earlier line of the corpus matches: every row, with
-    ``text`` replaced, and n_lines and n_removed (long).
+    ``text`` replaced, and n_lines and n_removed (long).  ``chars_col``: a column of the
+    text's length to be replaced too.
 
     Lines are parted by U+000A and joined again by it.  Lines without words match none and
     stay.  A null text stays null (0 lines), as does an empty one (1 line); documents may
@@ -258,7 +328,10 @@ def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "d
     row = rows.schema["row"].dataType.simpleString()
     packed = rows.mapInArrow(pack, rows.schema.__class__([f if f.name != "text" else rows.schema.__class__().add("text", "binary")[0] for f in rows.schema]))
     done = packed.join(per_doc, "doc", "left").mapInArrow(cut, f"row {row}, text string, n_lines long, n_removed long")
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names), "n_lines", "n_removed")
+    changed = {text_col: F.col("text")}
+    if chars_col:
+        changed[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
+    return done.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in names), "n_lines", "n_removed")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

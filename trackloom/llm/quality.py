@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import read_table
-from trackloom.llm.words import BYTES, Words, batches_of, mixed, span_hash, sums
+from trackloom.llm.words import Words, batches_of, distinct, mixed, span_hash, sums
 
 #: Bytes by kind: lower-case letter, capital, digit, full stop, comma, other sentence marks, bar, rest.
 _KIND = np.full(256, 7, dtype=np.int64)
@@ -52,12 +52,12 @@ def text_features(words: Words) -> np.ndarray:
     capitals, small, odd = of(inside(1)), of(inside(0)), of(inside(7)) + of(inside(5))
     again = np.zeros(len(words), dtype=bool)
     again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (words.text[1:] == words.text[:-1])
-    key = np.unique(words.text.astype(np.uint64) << np.uint64(40) | words.hashes >> np.uint64(24))
-    distinct = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=n_texts)
+    key = distinct(words.text.astype(np.uint64) << np.uint64(40) | words.hashes >> np.uint64(24))
+    kinds_of_words = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=n_texts)
     lines = np.add.reduceat(np.append(words.bytes == 10, False), np.minimum(words.offsets[:-1], len(words.bytes))) + 1
     more = (
         per((capitals > 1) & (small == 0)), per(capitals > 0), per(odd > 0), per(odd > 1), per(again),
-        distinct / n, per(length == 1), per(length) / 10, np.log1p(n) / 10, lines / n,
+        kinds_of_words / n, per(length == 1), per(length) / 10, np.log1p(n) / 10, lines / n,
     )
     out[:, _SHAPES:] = np.stack(more, axis=1)
     return out
@@ -70,7 +70,7 @@ def meta_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.nda
     for block, column in enumerate((source, lang)):
         text = column.cast(pa.string()).fill_null("")
         for first, words in batches_of(text):
-            whole = span_hash(sums(BYTES[words.bytes]), words.offsets[:-1], words.offsets[1:])
+            whole = span_hash(sums(words.bytes + np.uint8(1)), words.offsets[:-1], words.offsets[1:])
             out[np.arange(first, first + len(whole)), 64 * block + (mixed(whole) & np.uint64(63)).astype(np.int64)] = 1
     size = n_chars.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
     out[:, 128] = np.log1p(np.maximum(size, 0)) / 10
