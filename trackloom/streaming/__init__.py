@@ -1 +1 @@
-"""See README.md."""
+"""The same folds and flows as Structured Streaming queries."""
