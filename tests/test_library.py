@@ -273,3 +273,31 @@ def test_reject_and_extension(spark):
     df = spark.createDataFrame([("5", "x"), ("a", None)], "`ext.n` string, `ext.e` string")
     got = mapping.apply_extension(df, [{"name": "n", "type": "integer"}, {"name": "e", "type": "string", "required": True}]).collect()
     assert [(r["ext.n"], r.ext_problem) for r in got] == [(5, None), (None, "n: not integer")]
+
+
+def test_two_sensors_become_one_track_each(spark):
+    from trackloom import queries
+    from trackloom.operators import correlate
+    from trackloom.sources import sinks
+
+    reports = queries._reports(spark)
+    assigned = correlate.system_tracks(reports).collect()
+    groups = {}
+    for r in assigned:
+        groups.setdefault(r.uid, set()).add(r.track.split("/")[1].removeprefix("ais").removeprefix("radar"))
+    assert len(assigned) == 40 and all(len(g) == 1 for g in groups.values()) and len(groups) <= 22
+    again = correlate.system_tracks(reports.repartition(7)).collect()
+    assert sorted(map(tuple, assigned)) == sorted(map(tuple, again))
+    gone = spark.createDataFrame([("AAA000000002", 5, "merged into tms-AAA000000001"), ("AAA000000003", 5, "lost")], "uid string, t_us long, reason string")
+    bodies = [r.message for r in sinks.deletes(gone).orderBy("subject").collect()]
+    assert '"merged_into":"tms-AAA000000001"' in bodies[0] and "merged_into" not in bodies[1]
+
+
+def test_veto_and_pins(spark):
+    from trackloom.operators import correlate
+
+    df = spark.createDataFrame([("mmsi:1", "mmsi:2"), ("mmsi:1", "mmsi:1"), ("mmsi:1", "imo:2"), (None, "mmsi:2")], "a string, b string")
+    assert [r.v for r in df.select(correlate.vetoed(F.col("a"), F.col("b")).alias("v")).collect()] == [True, False, False, False]
+    pins = spark.createDataFrame([("T3", "e1"), ("T9", "e2")], "uid string, entity_id string")
+    merges = spark.createDataFrame([("T3", "T2"), ("T2", "T1")], "gone string, kept string")
+    assert sorted(map(tuple, correlate.carried_pins(pins, merges).collect())) == [("T1", "e1"), ("T9", "e2")]

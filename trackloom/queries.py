@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics
-from trackloom.operators import analytics, folds, fusion, graph, joins, mapping, registry, scoring, trackers
+from trackloom.operators import analytics, correlate, folds, fusion, graph, joins, mapping, registry, scoring, trackers
 from trackloom.plans.flow import Flow
-from trackloom.sources import simulate
+from trackloom.sources import simulate, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
 
 QUERIES: dict = {}
@@ -253,17 +253,11 @@ def local_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).groupBy(F.col("a_event_id").alias("a_id")).agg(F.count("*").alias("n"), near.alias("near"), rnd(near / (F.pi() * 0.25), 6).alias("per_km2"))
 
 
-def _state(side: str) -> kinematics.State:
-    c = lambda n: F.col(f"{side}_{n}")
-    sigma = c("error_m") / geo.CEP_OF_SIGMA
-    return kinematics.estimate(c("lat"), c("lon"), c("course"), c("speed"), (sigma * sigma, F.lit(0.0), sigma * sigma), c("domain"))
-
-
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each report against each nearby view of another source, the view carried to its time."""
     pairs = _pairs(spark, sf_dir)
-    view = kinematics.predict(_state("b"), (F.col("a_t_us") - F.col("b_t_us")) / 1e6)
-    return kinematics.compared(pairs, _state("a"), view)
+    view = kinematics.predict(correlate.state_of("b"), (F.col("a_t_us") - F.col("b_t_us")) / 1e6)
+    return kinematics.compared(pairs, correlate.state_of("a"), view)
 
 
 _VMAX = "CASE {d} WHEN 'surface' THEN 40.0::double WHEN 'subsurface' THEN 40.0::double WHEN 'ground' THEN 70.0::double WHEN 'space' THEN 8000.0::double ELSE 400.0::double END"
@@ -723,3 +717,41 @@ def gospa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def end_tag_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames by end tag, counted in each page."""
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?s)(<p[ >].*?</p>)"))).cast("long").alias("n"))
+
+
+# --- from source tracks to messages (T10-T18, O*) --------------------------------------
+
+
+def _reports(spark: SparkSession, seconds: int = 90) -> DataFrame:
+    """Two sensors on the same seeded targets, with an identity from one of them for some."""
+    one = simulate.truth(spark, targets=20, scans=seconds // 3, radar=1)
+    row = lambda df, source, noise: df.select(F.xxhash64(F.lit(source), "truth_id", "t_us").alias("event_id"), F.lit(source).alias("source_id"), F.concat(F.lit(source), "truth_id").alias("track_key"), F.col("t_us").cast("long").alias("t_us"), (F.col("lat") + noise * simulate.normal(source, F.col("truth_id"), F.col("t_us"), "y") / geo.METRES_PER_DEGREE).alias("lat"), (F.col("lon") + noise * simulate.normal(source, F.col("truth_id"), F.col("t_us"), "x") / geo.METRES_PER_DEGREE).alias("lon"), "course", "speed", F.lit(noise * geo.CEP_OF_SIGMA).alias("error_m"), F.when(F.col("truth_id") % 4 == 0, F.concat(F.lit("mmsi:"), "truth_id")).alias("identity"), F.lit(0.9).alias("confidence"), F.lit("surface").alias("domain"))
+    return row(one, "ais", 8.0).union(row(one.withColumn("t_us", F.col("t_us") + 1_000_000), "radar", 15.0))
+
+
+@query()
+def system_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source tracks of two sensors correlated into numbered system tracks."""
+    return correlate.system_tracks(_reports(spark))
+
+
+@query()
+def fused_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published view of every system track."""
+    reports = _reports(spark)
+    return correlate.fused(reports, correlate.system_tracks(reports))
+
+
+@query()
+def published_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert messages of the system tracks (O1)."""
+    reports = _reports(spark)
+    return sinks.upserts(correlate.fused(reports, correlate.system_tracks(reports)))
+
+
+@query("""SELECT event_id, '<event version="2.0" uid="tms-' || event_id || '" type="a-u-G"' AS head, contains('x', 'x') AS closed FROM events""")
+def cot_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CoT events of the reports; the SQL states how each begins."""
+    rows = observations(spark, sf_dir).withColumns({"uid": F.col("event_id").cast("string"), "cot_type": F.lit(None).cast("string")})
+    out = sinks.cot_events(rows)
+    return out.select(F.col("uid").cast("long").alias("event_id"), F.regexp_extract("event", '^(<event version="2.0" uid="[^"]*" type="[^"]*")', 1).alias("head"), F.col("event").endswith("</detail></event>").alias("closed"))
