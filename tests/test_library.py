@@ -301,3 +301,53 @@ def test_veto_and_pins(spark):
     pins = spark.createDataFrame([("T3", "e1"), ("T9", "e2")], "uid string, entity_id string")
     merges = spark.createDataFrame([("T3", "T2"), ("T2", "T1")], "gone string, kept string")
     assert sorted(map(tuple, correlate.carried_pins(pins, merges).collect())) == [("T1", "e1"), ("T9", "e2")]
+
+
+def test_probe_proposes_a_mapping(spark):
+    import json
+
+    from trackloom.operators import probing
+
+    frames = spark.createDataFrame([(json.dumps({"now": 1, "ac": [{"hex": f"a{i}{j}", "lat": 50.0 + i, "lon": 1.0, "gs": 7, "track": 12.5, "t": "2026-01-01T00:00:00Z"} for j in range(3)]}),) for i in range(8)], "text string")
+    assert probing.record_path(frames, "text") == "ac"
+    records = spark.createDataFrame([(json.dumps({"hex": f"a{i}", "lat": 50.0 + i, "lon": 1.0, "gs": 7, "track": 12.5, "t": "2026-01-01T00:00:00Z", "kind": "x"}),) for i in range(30)], "text string")
+    rule = probing.propose(records, "text")["rules"][0]
+    assert rule["key"] == "hex" and rule["fields"]["position.latitude"] == "lat" and rule["fields"]["kinematics.course_deg"] == "track" and rule["fields"]["observed_at"]["path"] == "t"
+
+
+def test_cross_fixes_are_where_the_emitters_are(spark):
+    from trackloom.operators import bearings
+
+    lines = simulate.bearings(spark, targets=4, sensors=4, scans=6).cache()
+    truth = {r.line_id: r.truth_id for r in lines.collect()}
+    where = {(r.truth_id, r.t_us): (r.lat, r.lon) for r in simulate.truth(spark, targets=4, scans=6, radar=5).collect()}
+    known = [f for f in bearings.cross_fixes(lines, window_us=5_000_000).collect() if f.emitter]
+    assert known and all(len({truth[i] for i in f.lines}) == 1 for f in known)
+    near = 0
+    for f in known:
+        t = truth[f.lines[0]]
+        near += min(abs(lat - f.lat) * 111_320 + abs(lon - f.lon) * 65_000 for (k, _), (lat, lon) in where.items() if k == t) < 1500
+    assert near >= 0.9 * len(known)
+    got = bearings.associate(lines, simulate.truth(spark, targets=4, scans=6, radar=5).select(F.col("truth_id").cast("string").alias("uid"), "t_us", "lat", "lon"), window_us=1_000_000)
+    own = got.join(lines.select("line_id", "truth_id"), "line_id").where("uid = truth_id").select("line_id").distinct().count()
+    assert own >= 0.95 * len(truth)
+
+
+def test_best_set_against_enumeration():
+    from trackloom.operators import mht
+
+    rng = random.Random(2)
+    for _ in range(200):
+        leaves = [(rng.randrange(4), mht.Leaf(None, rng.random(), tuple({(1, rng.randrange(4)), (2, rng.randrange(4))}), 1)) for _ in range(rng.randrange(1, 8))]
+        keys = [{("t", t), *leaf.plots} for t, leaf in leaves]
+        sets = (s for n in range(len(leaves) + 1) for s in itertools.combinations(range(len(leaves)), n))
+        best = max(sum(leaves[i][1].score for i in s) for s in sets if sum(len(keys[i]) for i in s) == len(set().union(*(keys[i] for i in s))))
+        assert abs(sum(leaves[i][1].score for i in mht.best_set(leaves)) - best) < 1e-12
+
+
+def test_mht_follows_targets(spark):
+    from trackloom.operators import mht
+
+    tracks = mht.form_tracks(simulate.plots(spark, targets=5, radars=1, scans=30, clutter=2))
+    score = scoring.gospa(simulate.truth(spark, targets=5, scans=30), tracks.select("t_us", F.col("track_key").alias("track"), "lat", "lon")).where("t_us > 25000000").agg(F.avg("pairs").alias("p"), F.avg("false").alias("f")).first()
+    assert score.p > 4 and score.f < 300

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics
-from trackloom.operators import analytics, correlate, folds, fusion, graph, joins, mapping, registry, scoring, trackers
+from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, mapping, mht, registry, scoring, trackers
 from trackloom.plans.flow import Flow
 from trackloom.sources import simulate, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -755,3 +755,15 @@ def cot_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumns({"uid": F.col("event_id").cast("string"), "cot_type": F.lit(None).cast("string")})
     out = sinks.cot_events(rows)
     return out.select(F.col("uid").cast("long").alias("event_id"), F.regexp_extract("event", '^(<event version="2.0" uid="[^"]*" type="[^"]*")', 1).alias("head"), F.col("event").endswith("</detail></event>").alias("closed"))
+
+
+@query()
+def crossfix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes from seeded bearing sensors that hear the same emitters."""
+    return bearings.cross_fixes(simulate.bearings(spark, targets=10, sensors=4, scans=24))
+
+
+@query()
+def mht_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of a seeded radar by hypotheses over several scans."""
+    return mht.form_tracks(simulate.plots(spark, targets=6, radars=2, scans=40, clutter=3))

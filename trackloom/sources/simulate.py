@@ -72,3 +72,14 @@ def load(spark: SparkSession, *, tracks: int, seconds: int, seed: int = 1) -> Da
     course, speed = 360.0 * uniform(seed, k, "course"), 2.0 + 13.0 * uniform(seed, k, "speed")
     lat, lon = _place(200_000.0 * (uniform(seed, k, "n") - 0.5) + speed * F.cos(F.radians(course)) * F.col("s"), 200_000.0 * (uniform(seed, k, "e") - 0.5) + speed * F.sin(F.radians(course)) * F.col("s"))
     return grid.select(F.col("id").alias("event_id"), F.lit("load").alias("source_id"), k.cast("string").alias("track_key"), (F.col("s") * 1_000_000).cast("long").alias("t_us"), lat.alias("lat"), lon.alias("lon"), course.alias("course"), speed.alias("speed"), F.lit(10.0).alias("error_m"), F.lit("surface").alias("domain"))
+
+
+def bearings(spark: SparkSession, *, targets: int, sensors: int, scans: int, sigma_deg: float = 0.5, seed: int = 1) -> DataFrame:
+    """Rows (line_id, sensor, t_us, lat, lon, bearing, sigma, emitter): lines from fixed sensors
+    around the targets; every other target's emitter is known by kind."""
+    seen = truth(spark, targets=targets, scans=scans, radar=5, seed=seed)
+    at = seen.withColumn("sensor", F.explode(F.sequence(F.lit(0), F.lit(sensors - 1))))
+    slat, slon = _place(12_000.0 * F.cos(2.0 * math.pi * F.col("sensor") / sensors), 12_000.0 * F.sin(2.0 * math.pi * F.col("sensor") / sensors))
+    east = (F.col("lon") - slon) * F.cos(F.radians(slat))
+    line = F.pmod(F.degrees(F.atan2(east, F.col("lat") - slat)) + sigma_deg * normal(seed, "b", F.col("sensor"), F.col("truth_id"), F.col("t_us")), F.lit(360.0))
+    return at.select(F.xxhash64("sensor", "truth_id", "t_us").alias("line_id"), F.concat(F.lit("s"), F.col("sensor").cast("string")).alias("sensor"), "t_us", slat.alias("lat"), slon.alias("lon"), line.alias("bearing"), F.lit(sigma_deg).alias("sigma"), F.when(F.col("truth_id") % 2 == 0, F.concat(F.lit("e"), F.col("truth_id").cast("string"))).alias("emitter"), "truth_id")
