@@ -230,21 +230,24 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, words): the whole sets of the lines in ``ids`` (id), from their texts."""
+    """Rows (id, doc, line, words): the whole sets of the lines in ``ids`` (id), from their
+    texts; an id may come twice where rows are repeated."""
 
     def work(batches):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = [press.decompress(p) for p in batch.column(0).to_pylist()]
-            some, ids, sigs = [], [], []
-            for text, wanted in zip(texts, batch.column(1).to_pylist(), strict=True):
+            some, ids, sigs, docs, places = [], [], [], [], []
+            for text, doc, wanted in zip(texts, batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = text.split(b"\n")
                 for want in wanted:
                     if want["line"] < len(parts):
                         some.append(parts[want["line"]])
                         ids.append(want["id"])
                         sigs.append(want["sig1"])
-            ids, sigs = np.array(ids, dtype=np.int64), np.array(sigs, dtype=np.int64)
+                        docs.append(doc)
+                        places.append(want["line"])
+            ids, sigs, docs, places = (np.array(x, dtype=np.int64) for x in (ids, sigs, docs, places))
             for row, words in batches_of(pa.array(some, pa.binary()).cast(pa.string())):
                 line, begin, sets = line_sets(words, words.text, None)
                 if not len(line):
@@ -258,18 +261,18 @@ def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, tex
                 np.add.at(inside, ends[good + 1], -1)
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 own = sets[np.cumsum(inside[:-1]) > 0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + line[good]]), pa.ListArray.from_arrays(pa.array(at), pa.array(own))], ["id", "words"])
+                which = row + line[good]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own))], ["id", "doc", "line", "words"])
 
     per_doc = lines.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted"))
-    return packed_texts(docs, id_col, text_col).join(per_doc, "doc").select("packed", "wanted").mapInArrow(work, "id long, words array<long>")
+    return packed_texts(docs, id_col, text_col).join(per_doc, "doc").select("packed", "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>")
 
 
 def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The later line (id) of each of the ``pairs`` (a, b) whose whole sets match."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    place = F.struct("doc", "line").alias("at")
-    sets = materialize(_sets_of(docs, lines, ids, id_col, text_col).dropDuplicates(["id"]).join(lines.select("id", place), "id"))
+    sets = materialize(_sets_of(docs, lines, ids, id_col, text_col)).select("id", "words", F.struct("doc", "line").alias("at"))
     left, right = sets.toDF("a", "wa", "pa"), sets.toDF("b", "wb", "pb")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
