@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize, read_table
+from trackloom.llm.common import discard, materialize, read_table
 from trackloom.llm.words import Words, batches_of, distinct, mixed
 
 #: Entries of the table of word counts: 1 MB, whatever the size of the corpus.
@@ -127,25 +127,33 @@ def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: s
     return materialize(found.withColumn("id", F.monotonically_increasing_id()))
 
 
-def _may_match(a: str, b: str, num: int, den: int) -> Column:
-    """Length and bitmap bounds of two lines' columns."""
-    na, nb = F.col(a + "n"), F.col(b + "n")
-    apart = F.bit_count(F.col(a + "bitmap").bitwiseXOR(F.col(b + "bitmap")))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & ((na + nb - apart) * (num + den) >= 2 * num * (na + nb))
-
+def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a line and the first line that shares a smallest word and about its length.
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).where("a <> b").distinct()
+    The lines of a key come sorted, so a task holds the first one only, however many there are.
+    """
+    bucket = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
+    keyed = lines.select("id", "doc", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m"))
+    keyed = keyed.select(F.xxhash64("k", "m", bucket).alias("key"), "doc", "line", "n", "id", "bitmap")
 
+    def work(batches):
+        head = None
+        for batch in batches:
+            key, n, ids, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5))
+            if not len(key):
+                continue
+            if head is not None:
+                key, n, ids, bitmap = (np.append(h, x) for h, x in zip(head, (key, n, ids, bitmap), strict=True))
+            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            of = np.repeat(first, np.diff(np.append(first, len(key))))
+            both, least, most = n.astype(np.int64) + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
+            apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
+            keep = (ids != ids[of]) & (least.astype(np.int64) * den >= most.astype(np.int64) * num) & ((both - apart) * (num + den) >= 2 * num * both)
+            a, b = ids[keep], ids[of][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap)]
 
-def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a line and the first line that shares a smallest word and about its length."""
-    bucket = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-    keyed = lines.select("id", "doc", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m")).withColumn("key", F.xxhash64("k", "m", bucket))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc", "line", "id", "n", "bitmap")).alias("h"), F.count("*").alias("c"))
-    heads = heads.where("c > 1").select("key", *(F.col(f"h.{c}").alias(f"a_{c}") for c in ("id", "n", "bitmap")))
-    rows = keyed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "bitmap")))
-    return _pairs(rows.join(heads, "key").where(_may_match("a_", "b_", num, den)))
+    return keyed.repartition("key").sortWithinPartitions("key", "doc", "line").mapInArrow(work, "a long, b long").distinct()
 
 
 def _meet(num: int, den: int):
@@ -272,12 +280,15 @@ def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den:
     """The later line (id) of each of the ``pairs`` (a, b) whose whole sets match."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets_of(docs, lines, ids, id_col, text_col)).select("id", "words", F.struct("doc", "line").alias("at"))
+    table = materialize(_sets_of(docs, lines, ids, id_col, text_col))
+    sets = table.select("id", "words", F.struct("doc", "line").alias("at"))
     left, right = sets.toDF("a", "wa", "pa"), sets.toDF("b", "wb", "pb")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     sure = (shared * (num + den) >= (F.size("wa") + F.size("wb")) * num) & (F.col("pa") != F.col("pb"))
-    return materialize(both.where(sure).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    found = materialize(both.where(sure).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    discard(pairs, table)
+    return found
 
 
 def kept_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
