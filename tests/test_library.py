@@ -351,3 +351,22 @@ def test_mht_follows_targets(spark):
     tracks = mht.form_tracks(simulate.plots(spark, targets=5, radars=1, scans=30, clutter=2))
     score = scoring.gospa(simulate.truth(spark, targets=5, scans=30), tracks.select("t_us", F.col("track_key").alias("track"), "lat", "lon")).where("t_us > 25000000").agg(F.avg("pairs").alias("p"), F.avg("false").alias("f")).first()
     assert score.p > 4 and score.f < 300
+
+
+def test_responsibility_claims_and_yields():
+    from trackloom.operators import peers
+
+    s = 1_000_000
+    row = lambda t, kind, site=None, q=None: {"track": "a", "t_us": t * s, "kind": kind, "site": site, "quality": q}
+    got = fold_rows(peers.responsibility("B"), [row(0, "own", q=10), row(1, "heard", "C", 10), row(2, "own", q=10), row(3, "heard", "A", 10), row(4, "own", q=11), row(5, "own", q=12), row(6, "released", "A"), row(7, "heard", "A", 15), row(8, "own", q=1), row(9, "own", q=None)])
+    assert [r["reporting"] for r in got] == [True, True, True, False, False, True, True, True, False]
+
+
+def test_peer_reports_take_the_identity_known_before(spark):
+    from trackloom.operators import peers
+
+    reports = spark.createDataFrame([("A", "u", 1, 1.0, 2.0), ("A", "u", 5, 1.0, 2.0)], "site string, uid string, t_us long, lat double, lon double")
+    names = spark.createDataFrame([("A", "u", 3, "x"), ("B", "u", 0, "y")], "site string, uid string, t_us long, name string")
+    assert [(r.t_us, r.name) for r in peers.peer_observations(reports, names).orderBy("t_us").collect()] == [(1, None), (5, "x")]
+    clock = peers.tick(spark.createDataFrame([("n", 1, 5), ("n", 2, 3), ("n", 3, 9)], "node string, i long, ms long"), ["node"], ["i"], "ms")
+    assert [r.hlc for r in clock.orderBy("i").collect()] == [5 << 16, 5 << 16 | 1, 9 << 16]

@@ -130,3 +130,14 @@ def highest_uid(texts: DataFrame, column: str, site: str) -> DataFrame:
     """The highest track number of a site named anywhere in a text."""
     found = F.explode(F.regexp_extract_all(column, F.lit(rf"{site}(\d{{9}})")))
     return texts.select(found.alias("n")).agg(F.max(F.col("n").cast("long")).alias("highest"))
+
+
+def live(tracks: DataFrame, keys: list[str], entity: str = "entity_id") -> DataFrame:
+    """Tracks by state, domain or the like, and how many have an entity."""
+    return tracks.groupBy(*keys).agg(F.count("*").alias("n"), F.count(entity).alias("with_entity"))
+
+
+def attribute_keys(df: DataFrame, text: str) -> DataFrame:
+    """The keys of JSON objects with how often they occur (A5)."""
+    keys = F.explode(F.json_object_keys(text)).alias("key")
+    return df.select(keys).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics
-from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, mapping, mht, registry, scoring, trackers
+from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, mapping, mht, peers, registry, scoring, trackers
 from trackloom.plans.flow import Flow
 from trackloom.sources import simulate, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -767,3 +767,47 @@ def crossfix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mht_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of a seeded radar by hypotheses over several scans."""
     return mht.form_tracks(simulate.plots(spark, targets=6, radars=2, scans=40, clutter=3))
+
+
+# --- between sites, live counts (T23-T31, A1, A5, A6) ----------------------------------
+
+
+@query("""SELECT o_orderpriority AS state, o_orderstatus AS domain, count(*) AS n, count(*) FILTER (o_custkey % 3 = 0) AS with_entity FROM orders GROUP BY ALL""")
+def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks counted by state and domain, and those with an entity."""
+    tracks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("state"), F.col("o_orderstatus").alias("domain"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("entity_id"))
+    return analytics.live(tracks, ["state", "domain"])
+
+
+@query("""SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key ORDER BY n DESC, key""")
+def attribute_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute keys with how often they occur."""
+    return analytics.attribute_keys(table(spark, sf_dir, "events"), "props")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS track, o_orderkey % 50 AS tick, CASE WHEN o_orderkey % 97 = 0 THEN 1e300::double ELSE o_totalprice END AS urgency, 43 + o_orderkey % 7 AS size FROM orders),
+  u AS (SELECT *, sum(size) OVER (PARTITION BY tick ORDER BY urgency DESC, track ROWS UNBOUNDED PRECEDING) AS used FROM r) SELECT tick, count(*) FILTER (urgency > 1e299::double OR used <= 5000) AS sent, count(*) AS offered FROM u GROUP BY tick""")
+def link_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each tick's reports a thin link carries."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("track"), (F.col("o_orderkey") % 50).alias("tick"), F.when(F.col("o_orderkey") % 97 == 0, float("inf")).otherwise(F.col("o_totalprice")).alias("urgency"), (43 + F.col("o_orderkey") % 7).alias("size"))
+    return peers.within_budget(rows, "tick", "size", "urgency", 5000.0).groupBy("tick").agg(F.count_if("sent").alias("sent"), F.count("*").alias("offered"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, 'S' || (o_custkey % 5) AS site, o_custkey AS sig, o_orderkey % 11 <> 0 AS signed, CASE WHEN o_orderkey % 13 = 0 THEN 400000000 ELSE 0 END AS late FROM orders)
+  SELECT coalesce(CASE WHEN site = 'S0' THEN 'own site' WHEN site NOT IN ('S1', 'S2', 'S3') THEN 'not trusted' WHEN NOT signed THEN 'bad signature' WHEN late > 300000000 THEN 'clock'
+    WHEN row_number() OVER (PARTITION BY sig ORDER BY o_orderkey + late, site) > 1 THEN 'replay' END, 'let in') AS refused, count(*) AS n FROM m GROUP BY ALL""".replace("SELECT coalesce(CASE", "SELECT refused, count(*) AS n FROM (SELECT coalesce(CASE").replace("AS refused, count(*) AS n FROM m GROUP BY ALL", "AS refused FROM m) GROUP BY refused"))
+def peer_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peer messages let in or refused, with the reason."""
+    k = F.col("o_orderkey")
+    late = F.when(k % 13 == 0, 400_000_000).otherwise(0)
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string")).alias("site"), F.col("o_custkey").alias("signature"), (k % 11 != 0).alias("signed"), k.alias("sent_us"), (k + late).alias("received_us"))
+    return peers.admitted(rows, me="S0", trusted=["S1", "S2", "S3"]).groupBy(F.coalesce("refused", F.lit("let in")).alias("refused")).agg(F.count("*").alias("n"))
+
+
+@query()
+def responsibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who reports each track, as one site decides it from what it hears."""
+    e = observations(spark, sf_dir)
+    rows = e.select(F.col("track_key").alias("track"), F.col("t_us"), F.when(F.col("event_id") % 3 == 0, "heard").when(F.col("event_id") % 41 == 0, "released").otherwise("own").alias("kind"), F.concat(F.lit("S"), (F.col("event_id") % 4).cast("string")).alias("site"), (F.col("event_id") % 16).cast("int").alias("quality"), "event_id")
+    return folds.run(rows, peers.responsibility("S9"), ["track"], ["t_us", "event_id"])
