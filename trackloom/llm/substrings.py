@@ -132,7 +132,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = K) -> DataFram
     each = _paths(docs, window, k)
     edges = each.groupBy("edge").agg(*(f(c).alias(f"{c}_{n}") for c in ("h1", "h2", "doc") for n, f in (("least", F.min), ("most", F.max))))
     single = (F.col("h1_least") == F.col("h1_most")) & (F.col("h2_least") == F.col("h2_most"))
-    shared = edges.where("doc_least < doc_most").select("edge", F.col("doc_least").alias("least"), single.alias("single"))
+    # Written before it is joined back, so that both inputs are plain exchanges, which adaptive execution splits at a hot edge.
+    shared = materialize(edges.where("doc_least < doc_most").select("edge", F.col("doc_least").alias("least"), single.alias("single")))
     found = materialize(each.join(shared, "edge").where("not single or doc > least"))
 
     branching = found.where("not single").select("doc", "h1", "h2", "lo", "hi")
