@@ -22,7 +22,7 @@ def per_minute(df: DataFrame, keys: list[str], counters: dict[str, Column], time
 
 def zero_filled(counts: DataFrame, keys: list[str], first: int, last: int, values: list[str]) -> DataFrame:
     """Every minute from first to last for every key, absent ones zero (A2)."""
-    grid = counts.select(*keys).distinct().withColumn("minute", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    grid = counts.select(*keys).distinct().withColumn("minute", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
     return grid.join(counts, [*keys, "minute"], "left").fillna(0, values)
 
 
