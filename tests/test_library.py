@@ -370,3 +370,67 @@ def test_peer_reports_take_the_identity_known_before(spark):
     assert [(r.t_us, r.name) for r in peers.peer_observations(reports, names).orderBy("t_us").collect()] == [(1, None), (5, "x")]
     clock = peers.tick(spark.createDataFrame([("n", 1, 5), ("n", 2, 3), ("n", 3, 9)], "node string, i long, ms long"), ["node"], ["i"], "ms")
     assert [r.hlc for r in clock.orderBy("i").collect()] == [5 << 16, 5 << 16 | 1, 9 << 16]
+
+
+def gmti_packet(*segments):
+    import struct
+
+    body = b"".join(struct.pack(">BI", kind, len(data) + 5) + data for kind, data in segments)
+    return b"31" + struct.pack(">I", 32 + len(body)) + b"XX\x05XX\x00\x00\x00" + b"PLATFORM  " + struct.pack(">II", 7, 9) + body
+
+
+def gmti_dwell(targets):
+    import struct
+
+    places = [0, 1, 2, 3, 4, 5, 6, 7, 30, 31, 32, 35, 36]
+    mask = sum(1 << (63 - p) for p in places)
+    ang = lambda lat, lon: struct.pack(">iI", round(lat * 2**32 / 180), round(lon % 360 * 2**32 / 360))
+    out = struct.pack(">QHHBHI", mask, 3, 1, 0, len(targets), 3_600_000) + ang(50.0, -1.0) + struct.pack(">i", 900_000)
+    return out + b"".join(struct.pack(">H", i) + ang(lat, lon) + struct.pack(">hh", 12, -250) for i, (lat, lon) in enumerate(targets))
+
+
+def test_gmti_targets(spark):
+    import struct
+
+    from trackloom.sources import gmti
+
+    mission = b" " * 35 + struct.pack(">HBB", 2026, 5, 4)
+    packet = gmti_packet((1, mission), (2, gmti_dwell([(51.5, -0.25), (-10.0, 179.5)])))
+    frames = spark.createDataFrame([(1, bytearray(packet)), (2, bytearray(packet[:-3])), (3, bytearray(b"x"))], "seq long, frame binary")
+    rows = gmti.packets(frames)
+    good = gmti.dated(rows.where("seq = 1")).withColumn("us", F.unix_micros("observed_at")).orderBy("lat").collect()
+    assert [(round(r.lat, 6), round(r.lon, 6), r.height_m, r.radial_mps) for r in good] == [(-10.0, 179.5, 12.0, -2.5), (51.5, -0.25, 12.0, -2.5)]
+    assert good[0].us == 1_777_856_400_000_000 and round(good[0].sensor_lon, 6) == -1.0
+    assert {r.error for r in rows.where("kind = 'error'").collect()} == {"packet ends early", "segment ends early", "no header"}
+
+
+def test_gmti_never_fails_on_noise():
+    from trackloom.sources import gmti
+
+    rng = random.Random(5)
+    packet = gmti_packet((2, gmti_dwell([(1.0, 2.0)])))
+    for _ in range(500):
+        data = bytearray(packet[: rng.randrange(len(packet) + 1)])
+        for _ in range(rng.randrange(4)):
+            if data:
+                data[rng.randrange(len(data))] = rng.randrange(256)
+        list(gmti.decode(bytes(data)))
+
+
+def test_protobuf_records(spark):
+    descriptor_pb2 = pytest.importorskip("google.protobuf.descriptor_pb2")
+    from trackloom.sources import protobuf
+
+    files = descriptor_pb2.FileDescriptorSet()
+    f = files.file.add(name="t.proto", package="t", syntax="proto3")
+    m = f.message_type.add(name="Track")
+    m.field.add(name="track_id", number=1, type=9, label=1)
+    m.field.add(name="speed", number=2, type=1, label=1)
+    batch = f.message_type.add(name="Batch")
+    batch.field.add(name="tracks", number=1, type=11, label=3, type_name=".t.Track")
+    made = protobuf.message_class(files.SerializeToString(), "t.Batch")(tracks=[{"track_id": "a", "speed": 2.5}, {"track_id": "b"}])
+    frames = spark.createDataFrame([(bytearray(made.SerializeToString()),), (bytearray(b"\xff\xff"),)], "frame binary")
+    got = protobuf.records(frames, files.SerializeToString(), "t.Batch", "tracks").collect()
+    import json
+
+    assert [json.loads(r.json)["track_id"] for r in got if r.json] == ["a", "b"] and [r.error for r in got] == [None, None, "not a t.Batch"]
