@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,8 +183,8 @@ def _meet(num: int, den: int):
             ends = np.cumsum(many)
             at = 0
             while at < len(own):
-                # Blocks of about a million pairs; a row with more is a block of its own.
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+                # Blocks of a bounded number of pairs; a row with more is a block of its own.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), side="right")))
                 size = many[at:to]
                 i = np.repeat(own[at:to], size)
                 j = others[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at:to], size)]
@@ -224,30 +223,16 @@ def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int)
     return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet(num, den), "a long, b long").where("a <> b").distinct()
 
 
-def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, packed): texts compressed for the shuffles that meet them with findings."""
-
-    def work(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            packed = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "packed"])
-
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
-    return docs.mapInArrow(work, "doc long, packed binary")
-
-
 def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, doc, line, words): the whole sets of the lines in ``ids`` (id), from their
     texts; an id may come twice where rows are repeated."""
 
     def work(batches):
-        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = [press.decompress(p) for p in batch.column(0).to_pylist()]
+            texts = batch.column(0).to_pylist()
             some, ids, sigs, docs, places = [], [], [], [], []
             for text, doc, wanted in zip(texts, batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = text.split(b"\n")
+                parts = (text or "").split("\n")
                 for want in wanted:
                     if want["line"] < len(parts):
                         some.append(parts[want["line"]])
@@ -256,7 +241,7 @@ def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, tex
                         docs.append(doc)
                         places.append(want["line"])
             ids, sigs, docs, places = (np.array(x, dtype=np.int64) for x in (ids, sigs, docs, places))
-            for row, words in batches_of(pa.array(some, pa.binary()).cast(pa.string())):
+            for row, words in batches_of(pa.array(some, pa.string())):
                 line, begin, sets = line_sets(words, words.text, None)
                 if not len(line):
                     continue
@@ -273,7 +258,8 @@ def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own))], ["id", "doc", "line", "words"])
 
     per_doc = lines.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted"))
-    return packed_texts(docs, id_col, text_col).join(per_doc, "doc").select("packed", "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
+    return texts.join(per_doc, "doc").select(text_col, "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>")
 
 
 def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -319,20 +305,12 @@ def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "d
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*(c for c in names if c != text_col)).alias("row"), F.col(text_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
 
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            packed = [press.compress((t or "").encode()) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, "text", pa.array(packed, pa.binary()))
-
     def cut(batches):
-        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = [press.decompress(t).decode() for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
             out, total, gone = [], [], []
             for text, none, stay in zip(texts, batch.column("none").to_pylist(), batch.column("kept").to_pylist(), strict=True):
-                lines, stay = text.split("\n"), set(stay or ())
+                lines, stay = (text or "").split("\n"), set(stay or ())
                 left = [x for i, x in enumerate(lines) if i in stay or not x.strip("\t\n\x0b\x0c\r ")]
                 out.append(None if none else "\n".join(left))
                 total.append(0 if none else len(lines))
@@ -340,8 +318,7 @@ def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
     row = rows.schema["row"].dataType.simpleString()
-    packed = rows.mapInArrow(pack, rows.schema.__class__([f if f.name != "text" else rows.schema.__class__().add("text", "binary")[0] for f in rows.schema]))
-    done = packed.join(per_doc, "doc", "left").mapInArrow(cut, f"row {row}, text string, n_lines long, n_removed long")
+    done = rows.join(per_doc, "doc", "left").mapInArrow(cut, f"row {row}, text string, n_lines long, n_removed long")
     changed = {text_col: F.col("text")}
     if chars_col:
         changed[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
