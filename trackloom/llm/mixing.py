@@ -94,7 +94,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     drawn = drawn.withColumn("base", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")) - F.col("n"))
 
     # Slots to blocks, by the permutation of the source's pass.
-    per = drawn.join(plan.select("rank", "source_size", "want", "blocks"), "rank").withColumn("j", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)))
+    # A row becomes a shard's share of a source, dozens of slots, each of which is permuted: small as they
+    # are, these rows are dealt to all tasks.
+    spread = drawn.join(plan.select("rank", "source_size", "want", "blocks"), "rank").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
+    per = spread.withColumn("j", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)))
     per = per.withColumn("pass", F.expr("j div blocks")).withColumn("q", F.expr("j % blocks"))
     key = F.xxhash64(F.lit(seed), F.col("rank"), F.col("pass"))
     per = per.withColumn("block", permuted(F.col("q"), F.col("blocks"), key)).withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), key, back=True))
