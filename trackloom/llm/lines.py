@@ -27,6 +27,8 @@ from trackloom.llm.words import Words, batches_of, distinct, mixed
 #: Entries of the table of word counts: 1 MB, whatever the size of the corpus.
 BUCKETS = 1 << 20
 _LAST = (1 << 63) - 1
+#: Ids of so many documents take some 20 MB as a broadcast table.
+MOST_BROADCAST_DOCS = 500_000
 _ROUNDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -122,7 +124,10 @@ def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: s
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
     each = docs.mapInArrow(work, "doc long, line long, n int, sig1 long, sig2 long, bitmap long, prefix array<int>, m0 int, m1 int")
     same = ("sig1", "sig2", "n", "bitmap", "prefix", "m0", "m1")
-    found = each.groupBy(*same).agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line", *same)
+    # The first place as one number, which aggregates by hash; a struct would be sorted for.
+    place = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
+    found = each.groupBy(*same).agg(F.min(place).alias("place")).withColumn("line", F.pmod("place", F.lit(1 << 31).cast("decimal(11,0)")).cast("long"))
+    found = found.select(F.expr("(place - line) div 2147483648").alias("doc"), "line", *same)
     return materialize(found.withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -223,9 +228,9 @@ def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int)
     return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet(num, den), "a long, b long").where("a <> b").distinct()
 
 
-def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, doc, line, words): the whole sets of the lines in ``ids`` (id), from their
-    texts; an id may come twice where rows are repeated."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, doc, line, words): the whole sets of the lines in ``wanted`` (doc, wanted),
+    from their texts; an id may come twice where rows are repeated."""
 
     def work(batches):
         for batch in batches:
@@ -257,23 +262,26 @@ def _sets_of(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, tex
                 which = row + line[good]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own))], ["id", "doc", "line", "words"])
 
-    per_doc = lines.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
-    return texts.join(per_doc, "doc").select(text_col, "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>")
+    if wanted.count() <= MOST_BROADCAST_DOCS:
+        # Few documents are wanted: the others' texts need not be shuffled.  Beyond that the join alone tells.
+        texts = texts.join(F.broadcast(wanted.select("doc")), "doc", "left_semi")
+    return texts.join(wanted, "doc").select(text_col, "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>")
 
 
 def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The later line (id) of each of the ``pairs`` (a, b) whose whole sets match."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    table = materialize(_sets_of(docs, lines, ids, id_col, text_col))
+    wanted = materialize(lines.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted")))
+    table = materialize(_sets_of(docs, wanted, id_col, text_col))
     sets = table.select("id", "words", F.struct("doc", "line").alias("at"))
     left, right = sets.toDF("a", "wa", "pa"), sets.toDF("b", "wb", "pb")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     sure = (shared * (num + den) >= (F.size("wa") + F.size("wb")) * num) & (F.col("pa") != F.col("pb"))
     found = materialize(both.where(sure).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    discard(pairs, table)
+    discard(pairs, wanted, table)
     return found
 
 
