@@ -27,6 +27,7 @@ from trackloom.llm.words import Words, batches_of, distinct, mixed
 #: Entries of the table of word counts: 1 MB, whatever the size of the corpus.
 BUCKETS = 1 << 20
 _LAST = (1 << 63) - 1
+_SKETCH = tuple(f"s{k}" for k in range(8))
 #: Ids of so many documents take some 20 MB as a broadcast table.
 MOST_BROADCAST_DOCS = 500_000
 _ROUNDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -94,6 +95,12 @@ def signatures(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.add.reduceat(mixed(sets, t), begin).view(np.int64) for t in (0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
 
+def sketches(sets: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """512 parity bits of each set: sets that differ in d words differ in at most d of them."""
+    place, bit = (sets >> np.uint64(49)) & np.uint64(7), np.uint64(1) << (sets >> np.uint64(58))
+    return [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), begin).view(np.int64) for k in range(len(_SKETCH))]
+
+
 def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The distinct word sets: id, first place (doc, line), size n, sig1, sig2, bitmap,
     prefix and the smallest words (m0, m1) under two random orders."""
@@ -229,8 +236,8 @@ def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, doc, line, words): the whole sets of the lines in ``wanted`` (doc, wanted),
-    from their texts; an id may come twice where rows are repeated."""
+    """Rows (id, doc, line, words, sketch): the whole sets of the lines in ``wanted`` (doc,
+    wanted), from their texts; an id may come twice where rows are repeated."""
 
     def work(batches):
         for batch in batches:
@@ -260,13 +267,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 own = sets[np.cumsum(inside[:-1]) > 0].view(np.int64)
                 which = row + line[good]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own))], ["id", "doc", "line", "words"])
+                wide = [pa.array(x[good]) for x in sketches(sets, begin)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own)), *wide], ["id", "doc", "line", "words", *_SKETCH])
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
     if wanted.count() <= MOST_BROADCAST_DOCS:
         # Few documents are wanted: the others' texts need not be shuffled.  Beyond that the join alone tells.
         texts = texts.join(F.broadcast(wanted.select("doc")), "doc", "left_semi")
-    return texts.join(wanted, "doc").select(text_col, "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>")
+    return texts.join(wanted, "doc").select(text_col, "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -277,11 +285,17 @@ def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den:
     table = materialize(_sets_of(docs, wanted, id_col, text_col))
     sets = table.select("id", "words", F.struct("doc", "line").alias("at"))
     left, right = sets.toDF("a", "wa", "pa"), sets.toDF("b", "wb", "pb")
-    both = pairs.join(left, "a").join(right, "b")
+    # The sketches bound the overlap; whole sets are only met where the bound allows a match.
+    short = table.select("id", F.size("words").alias("n"), *_SKETCH).dropDuplicates(["id"])
+    met = pairs.join(short.toDF("a", "na", *(f"a{c}" for c in _SKETCH)), "a").join(short.toDF("b", "nb", *(f"b{c}" for c in _SKETCH)), "b")
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SKETCH), F.lit(0))
+    size = F.col("na") + F.col("nb")
+    likely = materialize(met.where((size - apart) * (num + den) >= 2 * num * size).select("a", "b"))
+    both = likely.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     sure = (shared * (num + den) >= (F.size("wa") + F.size("wb")) * num) & (F.col("pa") != F.col("pb"))
     found = materialize(both.where(sure).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    discard(pairs, wanted, table)
+    discard(pairs, wanted, table, likely)
     return found
 
 
