@@ -168,6 +168,13 @@ def test_cycles_and_bombs_end():
     assert secrets.find_secrets("%25" * 50) and secrets.find_secrets("%2525252525") and secrets.find_secrets(None) == ([], [])
 
 
+@pytest.mark.parametrize("hidden", [base64.b64encode(f"x {SECRET} y".encode()).decode(), base64.b64encode(gzip.compress(base64.b64encode(SECRET.encode()), mtime=0)).decode()], ids=["plain", "gzip"])
+def test_secrets_are_found_at_every_place(hidden):
+    text = f"a {hidden} b {hidden}\n{hidden} %20 c"
+    places = [m.span() for m in re.finditer(re.escape(hidden), text)]
+    assert [(a, b) for a, b, k in secrets.find_secrets(text)[1] if k == "access"] == places and len(places) == 3
+
+
 def test_secret_rows(make, texts):
     rows = texts + [(900, f"a {SECRET}")]
     got = secrets.scan_documents(make(rows).withColumn("spans", F.lit(1))).collect()
