@@ -231,6 +231,19 @@ def test_forest_finds_nearly_all_links_and_none_below(vectors):
     assert {r.n_links for r in got if r.vec_id in (5, 6, 7, 8, 10, 50)} == {0}
 
 
+@pytest.mark.parametrize(("size", "cell_rows"), [(1500, forest.CELL_ROWS), (3000, 1024)])
+def test_forest_finds_the_links_of_dense_groups(spark, size, cell_rows):
+    """Groups of unequal near vectors (cosines about 0.95) among others, compared in a task and by block tasks."""
+    rng, dim = np.random.default_rng(size), 32
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    near = unit(unit(rng.standard_normal(dim)) + math.sqrt(1 / 0.95 - 1) * unit(rng.standard_normal((size, dim))))
+    x = np.concatenate([near, unit(rng.standard_normal((2 * size, dim)))]).astype(np.float32)
+    want = (unit(x.astype(float)) @ unit(x.astype(float)).T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(map(np.ndarray.tolist, x)), "label": 1}), VECTORS)
+    got = np.array([r.n_links for r in forest.near_vectors(df, cell_rows=cell_rows).orderBy("vec_id").collect()])
+    assert want.sum() > 0.8 * size * size and (got <= want).all() and got.sum() >= 0.95 * want.sum()
+
+
 def brute_top(rows, k=5, step=50):
     ints = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if _fine(v)}
     out = set()

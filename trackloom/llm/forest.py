@@ -5,10 +5,17 @@ goes to both sides (spill).  Cells that are too large for a task are split by Sp
 level by level; the rest of a tree is grown inside the task of its cell, down to leaves.
 All vectors of a leaf are compared, pairs are verified in double precision, and the pairs
 of all trees are united.  Equal vectors of a label are one entry throughout.
+
+Splits inside a dense group would part its pairs at random.  So a cell in which a sample
+of pairs links at a rate of ``DENSE`` or more is split no further, however large: all its
+vectors are compared, in blocks, which costs a bounded multiple of the links it yields.
+Dense cells that are too large for a task are compared by one task for each two blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +27,30 @@ from trackloom.llm.common import components, materialize, read_table
 SPILL = 0.1
 LEAF = 256
 CELL_ROWS = 16_384
+#: The rate of linked pairs from which a cell is compared whole, and how many vectors a sample of it has.
+DENSE, SAMPLE = 1 / 16, 128
+BLOCK = 1024
 
 
 def _direction(seed: int, tree: int, cell: int, dim: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, cell & (2**63 - 1), dim]).standard_normal(dim)
 
 
-def _split_large(cells: DataFrame, seed: int, most: int) -> DataFrame:
-    """Split cells (tree, cell, ...) of over ``most`` rows until none is larger, or until
-    splitting no longer makes the largest smaller."""
+def _is_dense(unit: np.ndarray, threshold: float) -> bool:
+    some = unit[np.linspace(0, len(unit) - 1, min(len(unit), SAMPLE)).astype(int)]
+    k = len(some)
+    return k > 1 and int((some @ some.T >= threshold).sum()) - k >= DENSE * k * (k - 1)
+
+
+def _split_large(cells: DataFrame, seed: int, most: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Split cells (tree, cell, ...) of over ``most`` rows until none is larger but dense ones,
+    or until splitting no longer makes the largest smaller.  Returns the cells of at most
+    ``most`` rows, and the others, which are to be compared whole, with their row count ``rows``."""
+
+    def density(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        dense = _is_dense(x / np.linalg.norm(x, axis=1, keepdims=True), threshold)
+        return pd.DataFrame({"tree": [key[0]], "cell": [key[1]], "dense": [dense]})
 
     @F.pandas_udf(T.DoubleType())
     def projected(tree: pd.Series, cell: pd.Series, v: pd.Series) -> pd.Series:
@@ -38,45 +60,90 @@ def _split_large(cells: DataFrame, seed: int, most: int) -> DataFrame:
             out[at] = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ _direction(seed, int(key[0]), int(key[1]), x.shape[1])
         return pd.Series(out)
 
-    before = None
+    before, whole = None, cells.withColumn("rows", F.lit(0).cast("long")).limit(0)
     while True:
-        sizes = cells.groupBy("tree", "cell").agg(F.count("*").alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0] or 0
-        if largest <= most or before is not None and largest >= before:
-            return cells
+        sizes = cells.groupBy("tree", "cell").agg(F.count("*").alias("rows"))
+        large = materialize(sizes.where(F.col("rows") > most))
+        largest = large.agg(F.max("rows")).first()[0]
+        if largest is None:
+            return cells, whole
+        small = cells.join(large, ["tree", "cell"], "left_anti")
+        if before is not None and largest >= before:
+            return materialize(small), materialize(whole.unionByName(cells.join(large, ["tree", "cell"])))
         before = largest
-        large = materialize(sizes.where(F.col("n") > most).select("tree", "cell"))
+        sample = cells.join(large, ["tree", "cell"]).where(F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("rows")) < SAMPLE)
+        dense = materialize(sample.groupBy("tree", "cell").applyInPandas(density, "tree int, cell long, dense boolean").where("dense").drop("dense"))
+        whole = materialize(whole.unionByName(cells.join(large.join(dense, ["tree", "cell"], "left_semi"), ["tree", "cell"])))
+        large = large.join(dense, ["tree", "cell"], "left_anti").select("tree", "cell")
         cut = materialize(cells.join(large, ["tree", "cell"], "left_semi").withColumn("p", projected("tree", "cell", "v")))
         bounds = materialize(cut.groupBy("tree", "cell").agg(F.percentile_approx("p", [0.5 - SPILL, 0.5 + SPILL]).alias("q")))
         sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("q")[1], 0), F.when(F.col("p") >= F.col("q")[0], 1)))
         split = cut.join(bounds, ["tree", "cell"]).withColumn("side", F.explode(sides)).withColumn("cell", F.xxhash64("cell", "side"))
-        cells = materialize(cells.join(large, ["tree", "cell"], "left_anti").unionByName(split.select(*cells.columns)))
+        cells = materialize(small.unionByName(split.select(*cells.columns)))
+
+
+class _Vectors:
+    """The vectors of a group of rows (uid, n, v), and the pairs of them that link."""
+
+    def __init__(self, pdf: pd.DataFrame, threshold: float) -> None:
+        self.uid, self.n, self.threshold = pdf["uid"].to_numpy(), pdf["n"].to_numpy(), threshold
+        self.raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        self.norms = np.sqrt((self.raw * self.raw).sum(axis=1))
+        self.unit = self.raw / self.norms[:, None]
+
+    def linked(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places (i, j) of the linked pairs of ``rows`` x ``others``, of equal ones only i before j."""
+        close = self.unit[rows] @ self.unit[others].T >= self.threshold - 1e-9
+        i, j = np.nonzero(np.triu(close, 1) if rows is others else close)
+        i, j = rows[i], others[j]
+        sure = (self.raw[i] * self.raw[j]).sum(axis=1) / (self.norms[i] * self.norms[j]) >= self.threshold
+        return i[sure], j[sure]
+
+    def blocks(self, rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        """All linked pairs of ``rows``, or of ``rows`` x ``others``, block by block."""
+        cut = lambda x: [x[a : a + BLOCK] for a in range(0, len(x), BLOCK)]
+        left = cut(rows)
+        right = left if others is None else cut(others)
+        for at, x in enumerate(left):
+            for y in right[at:] if others is None else right:
+                yield self.frame(*self.linked(x, y))
+
+    def frame(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        uid, n = self.uid, self.n
+        i, j = np.where(uid[i] < uid[j], i, j), np.where(uid[i] < uid[j], j, i)
+        return pd.DataFrame({"a": uid[i], "b": uid[j], "na": n[i], "nb": n[j]})
 
 
 def _grow(seed: int, threshold: float):
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        norms = np.sqrt((raw * raw).sum(axis=1))
-        unit = raw / norms[:, None]
+    def work(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = _Vectors(pd.concat(parts, ignore_index=True), threshold)
+        total = len(x.raw)
         rng = np.random.default_rng([seed, int(key[0]), int(key[1]) & (2**63 - 1)])
-        stack, pairs = [np.arange(len(raw))], set()
+        stack, pairs = [np.arange(total)], set()
         while stack:
             rows = stack.pop()
             if len(rows) > LEAF:
-                order = rows[np.argsort(unit[rows] @ rng.standard_normal(raw.shape[1]), kind="stable")]
+                if _is_dense(x.unit[rows], threshold):
+                    yield from x.blocks(rows)
+                    continue
+                order = rows[np.argsort(x.unit[rows] @ rng.standard_normal(x.raw.shape[1]), kind="stable")]
                 half, band = len(rows) // 2, int(len(rows) * SPILL)
                 stack += [order[: half + band], order[half - band :]]
                 continue
-            i, j = np.nonzero(np.triu(unit[rows] @ unit[rows].T >= threshold - 1e-9, 1))
-            i, j = rows[i], rows[j]
-            sure = (raw[i] * raw[j]).sum(axis=1) / (norms[i] * norms[j]) >= threshold
-            i, j = i[sure], j[sure]
-            pairs.update((np.minimum(i, j) * len(raw) + np.maximum(i, j)).tolist())
+            i, j = x.linked(rows, rows)
+            pairs.update((np.minimum(i, j) * total + np.maximum(i, j)).tolist())
         found = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
-        i, j = found // len(raw), found % len(raw)
-        uid, n = pdf["uid"].to_numpy(), pdf["n"].to_numpy()
-        i, j = np.where(uid[i] < uid[j], i, j), np.where(uid[i] < uid[j], j, i)
-        return pd.DataFrame({"a": uid[i], "b": uid[j], "na": n[i], "nb": n[j]})
+        yield x.frame(found // total, found % total)
+
+    return work
+
+
+def _meet(threshold: float):
+    def work(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True)
+        x, block = _Vectors(pdf, threshold), pdf["block"].to_numpy()
+        left, right = np.nonzero(block == key[2])[0], np.nonzero(block == key[3])[0]
+        yield from x.blocks(left, None if key[2] == key[3] else right)
 
     return work
 
@@ -98,8 +165,16 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 6,
     reps = materialize(usable.groupBy("label", "v").agg(F.min(F.struct("vec_id", "row")).alias("first"), F.count("*").alias("n")).select("label", "v", "n", F.col("first.row").alias("uid")))
 
     cells = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("cell", F.xxhash64("label", F.size("v"))).select("tree", "cell", "uid", "n", "v")
-    cells = _split_large(cells, seed, cell_rows)
-    pairs = materialize(cells.groupBy("tree", "cell").applyInPandas(_grow(seed, threshold), "a long, b long, na long, nb long").distinct())
+    cells, whole = _split_large(cells, seed, cell_rows, threshold)
+    made = "a long, b long, na long, nb long"
+    pairs = cells.groupBy("tree", "cell").applyInPandas(_grow(seed, threshold), made)
+    if not whole.isEmpty():
+        # Block i meets the blocks from i on: every row goes to as many tasks as there are blocks.
+        dealt = whole.withColumn("blocks", F.ceil(F.col("rows") * 2 / cell_rows)).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(1)), "blocks"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("tree", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "n", "v")
+        pairs = pairs.union(dealt.groupBy("tree", "cell", "i", "j").applyInPandas(_meet(threshold), made))
+    pairs = materialize(pairs.distinct())
 
     links = pairs.select(F.col("a").alias("uid"), F.col("nb").alias("others")).union(pairs.select("b", "na")).groupBy("uid").agg(F.sum("others").alias("others"))
     linked = components(pairs.select("a", "b")).select(F.col("id").alias("uid"), "component")
