@@ -80,6 +80,23 @@ def test_mixed_documents_hold_what_was_taken(make, texts):
         assert abs(taken[s] - target) <= 2
 
 
+def test_mixed_documents_are_the_drawn_blocks(make):
+    """Blocks from all over a long document reach the output, in one piece where they adjoin."""
+    texts = {0: "".join(f"a{i}\n\t" for i in range(3000)), 1: "\n".join(f"b{i}" for i in range(9000)), 2: "  c0\r\nc1  c2 "}
+    rows = [(i, t, "xyz"[i]) for i, t in texts.items()]
+    table = make(rows)
+    out = mixing.mixed_documents(table, block_words=16, shard_slots=64, weights=(1, 3, 1)).collect()
+    assert all(r.text in texts[r.doc_id] and r.text.strip() for r in out)
+    placed, ranges = mixing.draw(table, block_words=16, shard_slots=64, weights=(1, 3, 1))
+    drawn = Counter((r.doc_id, w) for r in ranges.collect() for w in WORD.findall(texts[r.doc_id])[r.a : r.b])
+    got = Counter((r.doc_id, w) for r in out for w in WORD.findall(r.text))
+    assert got.total() == drawn.total() and max(got.values()) <= 3
+    tail = [int(w[1:]) for d, w in got if d == 0]
+    assert 2000 < len(tail) < 3000 and max(tail) > 2900 and sum(x >= 2000 for x in tail) > 0.5 * len(tail) / 3
+    assert [r.text for r in out if r.doc_id == 2] == [texts[2]] * 3
+    assert {(r.doc_id, r.taken) for r in mixing.mix(table, block_words=16, shard_slots=64, weights=(1, 3, 1)).collect()} == {(d, sum(n for (x, _), n in drawn.items() if x == d)) for d in texts}
+
+
 def test_mixing_of_empty_tables(make):
     assert mixing.mix(make([])).collect() == []
     assert [r.taken for r in mixing.mix(make([(1, None), (2, " ")])).collect()] == [0, 0]

@@ -57,12 +57,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return t.select("source", "rank", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 128, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
-    """Rows (uid, doc_id, size, source_size, target, taken), one for each row of ``docs``.
+def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 128, shard_slots: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The documents placed in their sources' streams and what was drawn of them.
 
-    uid numbers the input rows.  Null texts count no words; a null source is a source of
-    its own; rows with equal ids are separate rows; documents without words take none;
-    an empty table gives no rows.  Further columns of ``docs`` are not read.
+    The first has rows (uid, doc_id, size, source_size, target), one for each row of ``docs``;
+    uid numbers the input rows.  The second has rows (shard, pass, block, uid, doc_id, a, b): the words
+    a to b - 1 of a document that lie in a drawn block, once for each pass over its source
+    in which a shard drew the block.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -103,27 +104,48 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     per = per.withColumn("block", permuted(F.col("q"), F.col("blocks"), key)).withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), key, back=True))
     short = F.col("source_size") - (F.col("blocks") - 1) * block_words
     done = F.col("pass") * F.col("source_size") + F.col("q") * block_words - F.when(F.col("q") > F.col("short_at"), block_words - short).otherwise(0)
-    per = per.select("rank", "block", F.least(F.when(F.col("block") == F.col("blocks") - 1, short).otherwise(F.lit(block_words)), F.col("want") - done).alias("take")).where("take > 0")
+    per = per.select("shard", "pass", "rank", "block", F.least(F.when(F.col("block") == F.col("blocks") - 1, short).otherwise(F.lit(block_words)), F.col("want") - done).alias("take")).where("take > 0")
 
     # Blocks to documents.
     last = (F.col("begin") + F.col("size") - 1)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"begin div {block_words}"), F.floor(last / block_words))))
-    pieces = pieces.select("rank", "block", "uid", F.greatest(F.col("begin") - F.col("block") * block_words, F.lit(0)).alias("a"), F.least(F.col("begin") + F.col("size") - F.col("block") * block_words, F.lit(block_words)).alias("b"))
-    taken = pieces.join(per, ["rank", "block"]).where("take > a").groupBy("uid").agg(F.sum(F.least("b", "take") - F.col("a")).alias("taken"))
+    pieces = pieces.select("rank", "block", "uid", "doc_id", (F.col("block") * block_words - F.col("begin")).alias("shift"), F.greatest(F.col("begin") - F.col("block") * block_words, F.lit(0)).alias("a"), F.least(F.col("begin") + F.col("size") - F.col("block") * block_words, F.lit(block_words)).alias("b"))
+    ranges = pieces.join(per, ["rank", "block"]).where("take > a")
+    return placed, ranges.select("shard", "pass", "block", "uid", "doc_id", (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.least("b", "take")).alias("b"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Rows (uid, doc_id, size, source_size, target, taken), one for each row of ``docs``;
+    options as of ``draw``, whose ranges add up to taken.
+
+    uid numbers the input rows.  Null texts count no words; a null source is a source of
+    its own; rows with equal ids are separate rows; documents without words take none;
+    an empty table gives no rows.  Further columns of ``docs`` are not read.
+    """
+    placed, ranges = draw(docs, **options)
+    taken = ranges.groupBy("uid").agg(F.sum(F.col("b") - F.col("a")).alias("taken"))
     return placed.join(taken, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a document taken n times whole and r words more gives n
-    whole rows and one of its first r words.  Columns as in ``docs``; needs text, n_chars."""
+    """The mix as documents: a row for each stretch of a document's words that the blocks drawn
+    in one pass over its source cover without a gap, with the white space between its words.
+    A stretch of all words is the whole text.  Columns as in ``docs``; needs text, n_chars."""
     names = docs.columns
     uid = docs.withColumn("_uid", F.monotonically_increasing_id())
     uid = materialize(uid)
-    counts = mix(uid.drop("doc_id").withColumnRenamed("_uid", "doc_id"), **options).select(F.col("doc_id").alias("_uid"), "size", "taken")
-    rows = uid.join(counts, "_uid").where("taken > 0").withColumn("_whole", F.expr("taken div size")).withColumn("_rest", F.expr("taken % size"))
-    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_whole") - F.when(F.col("_rest") == 0, 1).otherwise(0))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("_rest").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_part") < F.col("_whole"), F.col("text")).otherwise(cut)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    placed, ranges = draw(uid.drop("doc_id").withColumnRenamed("_uid", "doc_id"), **options)
+    in_order = Window.partitionBy("doc_id").orderBy("pass", "a")
+    gap = F.when((F.lag("pass").over(in_order) == F.col("pass")) & (F.lag("b").over(in_order) == F.col("a")), 0).otherwise(1)
+    runs = ranges.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order)).groupBy("doc_id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_runs")).withColumnRenamed("doc_id", "_uid")
+    rows = uid.join(runs, "_uid").join(placed.select(F.col("doc_id").alias("_uid"), F.col("size").alias("_size")), "_uid")
+    whole = lambda r: (r["a"] == 0) & (r["b"] == F.col("_size"))
+    # The words are bound once for all runs of a text; each has the white space before it.
+    words = F.when(F.exists("_runs", lambda r: ~whole(r)), F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})")))
+    cut = lambda w, r: F.regexp_replace(F.array_join(F.slice(w, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")), ""), r"\A[\x20\x09-\x0D]+", "")
+    texts = F.transform(F.array(words), lambda w: F.transform("_runs", lambda r: F.when(whole(r), F.col("text")).otherwise(cut(w, r))))[0]
+    rows = rows.withColumn("text", F.explode(texts)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)
 
 
