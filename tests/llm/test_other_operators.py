@@ -278,6 +278,35 @@ def test_top_k_is_exact(spark):
         assert {tuple(r) for r in got.collect()} == brute_top(rows)
 
 
+def test_top_k_of_large_components_ties_and_repeated_ids(spark):
+    """Whole integers rank beyond what doubles or longs hold; such scores saturate."""
+    big = [3e38, 1e30, -1e30, -3e38, 2.0**40, 2.0**33 + 1 / 256, 1e-40]
+    rng = random.Random(6)
+    rows = [(i, [rng.choice(big), rng.choice([1.0, -2.5, 0.0]), rng.choice(big + [1.0] * 9)], 0) for i in range(160)]
+    rows += [(200 + i, [1.0, float(i % 2), 0.0], 0) for i in range(150)]
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v], n) for i, v, n in rows], VECTORS).repartition(4)
+    plain = [(r.vec_id, r.embedding, 0) for r in df.collect()]
+    want = {(q, r, c, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, r, c, s in brute_top(plain)}
+    for shard_rows in (8192, 40):
+        assert {tuple(r) for r in topk.top_k(df, shard_rows=shard_rows, block_rows=2).collect()} == want
+    twice = spark.createDataFrame([(50, [1.0], 0), (50, [1.0], 0), (1, [3.0], 0), (2, [float(1e30)], 0)], VECTORS)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(twice).collect())
+    assert got == sorted([(50, 1, 2, (1 << 63) - 1), (50, 2, 1, 768 * 256), (50, 3, 50, 65536)] * 2)
+
+
+def test_top_k_over_regions(spark):
+    """Far clusters: regions are split, most are never asked, and results are exact."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(30, 8)) * 4
+    rows = [(i, [float(np.float32(c)) for c in base[i % 30] + rng.normal(scale=0.1, size=8)], 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    x = {i: np.floor(256 * np.array(v)) for i, v, _ in rows}
+    got = topk.top_k(df, query_step=500, shard_rows=200).collect()
+    for q in range(0, 3000, 500):
+        best = sorted((-int(x[q] @ x[c]), c) for c in x if c != q)[:5]
+        assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == best
+
+
 def test_vector_edge_cases(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert topk.top_k(empty).collect() == [] and forest.near_vectors(empty).collect() == []
