@@ -370,12 +370,28 @@ def test_packing_round_trip(make, texts):
     assert packing.pack(make([]), path).collect() == []
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "ab" * 500_000, "a\u00a0\u2003" + "\t " * 300_000 + "b", "x" * 5000 + " y"], ids=["spaces", "newlines", "letters", "mixed", "word"])
+def test_very_long_runs_encode(text):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = packing.Encoder(tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_equal_rows(make):
+    """Equal rows are packed each, with row ids of their own."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    got = packing.pack(make([(1, "a b c")] * 3 + [(None, None)] * 2 + [(2, " " * 700_000 + "z")]), tokenizers.path("byte_bpe_50k.json")).toPandas()
+    assert len(got[got["piece"] == 0]) == 6 and got["row_id"].nunique() == 6
+    assert got[got["doc_id"] == 1].groupby("row_id")["length"].sum().tolist() == [4] * 3
+    assert (got.groupby("sequence_id")["length"].sum() <= 2048).all() and got[got["doc_id"] == 2]["length"].sum() > 100_000
+
+
 def test_reduction_keeps_an_optimal_packing():
     rng = random.Random(5)
     for _ in range(300):
         sizes = [rng.randrange(1, 31) for _ in range(rng.randrange(1, 9))]
         left = packing.Sizes(np.array(sizes), 30)
-        fixed = packing.reduce_sizes(left, 30)
+        fixed = packing.reduce_sizes(left, 30, rng.choice([64, None]))
         rest = [s for s, n in enumerate(left.count) for _ in range(n)]
         assert sorted(sum(fixed, []) + rest) == sorted(sizes) and all(sum(b) <= 30 for b in fixed)
         assert len(fixed) + _least_bins(rest, 30) == _least_bins(sizes, 30)
