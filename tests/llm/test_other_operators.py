@@ -1,10 +1,15 @@
 """Operators 2, 3, 4, 5, 7, 9 and 10 against brute force, round trips or held-out labels."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import math
 import random
 import re
+import textwrap
+import time
+import urllib.parse
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -12,6 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from trackloom.llm import forest, mixing, packing, quality, secrets, topk, urls
@@ -181,15 +187,130 @@ def test_base_spans():
     assert set(base) <= set(spans)
 
 
+def _percent(data: bytes) -> str:
+    return "".join(f"%{b:02x}" for b in data)
+
+
+_B64 = lambda data: base64.b64encode(data).decode()
+_NOISE = bytes(random.Random(8).randrange(256) for _ in range(90))
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        _B64(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())),
+        _B64(zstandard.compress(b"nothing here") + zstandard.compress(SECRET.encode())),
+        _B64(gzip.compress(SECRET.encode()) + b"trailing"), _B64(gzip.compress(b"x" * 40 + SECRET.encode() + b"y" * 40)[:-6]),
+        _B64(gzip.compress(bz2.compress(lzma.compress(zlib.compress(SECRET.encode()))))),
+        _percent(gzip.compress(SECRET.encode())), urllib.parse.quote(zlib.compress(b"a b " + SECRET.encode())), repr(gzip.compress(SECRET.encode()))[2:-1], "".join(f"\\u{b:04x}" for b in zlib.compress(SECRET.encode())),
+        base64.encodebytes(b"k" * 50 + SECRET.encode() + b"v" * 120).decode().strip(), "\r\n\t".join(textwrap.wrap(_B64(gzip.compress(_NOISE + SECRET.encode())), 64)),
+        _B64(f"caf\u00e9 {SECRET}".encode("latin-1")), _B64(SECRET.encode("utf-16")), _B64(SECRET.encode("utf-16-le")),
+        "/files/" + _B64(f" x {SECRET} y ".encode()), "a-b_" + _B64(gzip.compress(SECRET.encode())), "id_1/" + _B64(f"{SECRET} y".encode()) + "/end",
+        "%25" * 3 + "25" * 5000 + "41" + "%4B" + "IA" + "Q7" * 8, "\\ud83d\\ude00" + "\\u005c" + "u005c" * 40 + "u0041" + SECRET[1:], "&amp;" + "amp;" * 300 + "#65;" + SECRET[1:],
+    ],
+)
+def test_secrets_are_found_in_other_wrappings(hidden):
+    text = f"\u00e9 before {hidden} after"
+    own = [s for s in secrets.find_secrets(text)[1] if s[2] == "access"]
+    assert own and all(text.index(hidden) <= a < b <= text.index(hidden) + len(hidden) for a, b, _ in own)
+
+
+def test_secrets_through_random_layers():
+    """Any nesting of wrappings gives the secret back, at its place, and nothing where there is none."""
+    rng = random.Random(3)
+    wraps = [
+        lambda b: _percent(b).encode(), lambda b: "".join(f"\\x{c:02x}" for c in b).encode(), lambda b: "".join(f"&#{c};" for c in b).encode(),
+        base64.b64encode, base64.urlsafe_b64encode, lambda b: base64.b64encode(gzip.compress(b)), lambda b: base64.b64encode(zlib.compress(b)),
+        lambda b: base64.b64encode(lzma.compress(b)), lambda b: b"q=" + base64.b64encode(b"> " + b), lambda b: base64.encodebytes(b).strip(),
+    ]
+    for _ in range(150):
+        data, clean = SECRET.encode(), b"no thing to be seen"
+        for wrap in rng.choices(wraps, k=rng.randrange(1, 4)):
+            data, clean = wrap(data), wrap(clean)
+        hidden = data.decode()
+        text = f"<{rng.choice(['', 'abc '])}\u00fc {hidden} tail"
+        own = [s for s in secrets.find_secrets(text)[1] if s[2] == "access"]
+        assert own and all(text.index(hidden) <= a < b <= text.index(hidden) + len(hidden) for a, b, _ in own), hidden[:200]
+        assert not [s for s in secrets.find_secrets(clean.decode())[1] if s[2] == "access"]
+
+
+def test_percent_escapes_map_one_by_one():
+    text = "\u00fc " + _percent("\u00e9\u4e2d ".encode()) + _percent(SECRET.encode()) + "%20%21"
+    assert [text[a:b] for a, b, k in secrets.find_secrets(text)[1] if k == "access"] == [_percent(SECRET.encode())]
+
+
 def test_cycles_and_bombs_end():
     assert secrets.find_secrets("%25" * 50) and secrets.find_secrets("%2525252525") and secrets.find_secrets(None) == ([], [])
+    start = time.perf_counter()
+    for text in ("%" + "25" * 200_000 + "41", "\\" + "u005c" * 50_000 + "u0041", "&" + "amp;" * 60_000, "%5c" + "u0025" * 30_000, "x^" * 300_000, "A" * 500_000 + "b1" * 200_000, "Qa1/" * 100_000 + "\n" + "Zb2/" * 100_000):
+        assert secrets.find_secrets(text)
+    bomb = gzip.compress(gzip.compress(b"\0" * 300_000_000 + f" {SECRET} ".encode()))
+    assert len(bomb) < 5000 and [k for *_, k in secrets.find_secrets(_B64(bomb))[1]] == ["access"]
+    deep = SECRET.encode()
+    for _ in range(2000):
+        deep = zlib.compress(deep, 0)
+    assert [k for *_, k in secrets.find_secrets(_B64(deep))[1]] == ["access"]
+    assert time.perf_counter() - start < 90
+
+
+def brute_base(text):
+    """Base matches by steps through the text, without patterns."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    letters = set("abcdefghijklmnopqrstuvwxyz")
+    value = letters | {c.upper() for c in letters} | set("0123456789+/_.=-")
+
+    def run(i, some):
+        j = i
+        while j < len(text) and text[j] in some:
+            j += 1
+        return j
+
+    out, i = [], 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i):
+                j = i + len(word)
+                for k in (j + 1, j) if text[j : j + 1] in ('"', "'") and text[j : j + 1] else (j,):
+                    k = run(k, {" "})
+                    if text[k : k + 1] in (":", "=") and text[k : k + 1]:
+                        k = run(k + 1, {" "})
+                        quoted = text[k : k + 1] in ('"', "'") and bool(text[k : k + 1])
+                        v = run(k + quoted, value)
+                        if v > k + quoted:
+                            end = (v, v - k - quoted)
+                            break
+                if end:
+                    break
+        if end and end[1] >= 8:
+            out.append((i, end[0], "assign"))
+        i = end[0] if end else i + 1
+    for kind, head, some, least in (("access", "AKIA", {c.upper() for c in letters} | set("0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            j = run(i + len(head), some) if text.startswith(head, i) else i
+            if j > i + len(head) and j - i >= least:
+                out.append((i, j, kind))
+            i = max(j, i + 1) if j > i + len(head) else i + 1
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2]), s[1]))
+
+
+def test_base_spans_against_brute_force(texts):
+    rng = random.Random(7)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "api-key", '"', "'", " ", "  ", ":", "=", "AKIA", "A1B2C3D4", "0123456789abcdef", "f" * 20, "x", "-", "\u00fc", "\u212a", "\n", "hunter22"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert secrets.find_secrets(text)[0] == brute_base(text), text
+    for _, text in texts:
+        assert secrets.find_secrets(text)[0] == brute_base(text or "")
 
 
 @pytest.mark.parametrize("hidden", [base64.b64encode(f"x {SECRET} y".encode()).decode(), base64.b64encode(gzip.compress(base64.b64encode(SECRET.encode()), mtime=0)).decode()], ids=["plain", "gzip"])
 def test_secrets_are_found_at_every_place(hidden):
     text = f"a {hidden} b {hidden}\n{hidden} %20 c"
     places = [m.span() for m in re.finditer(re.escape(hidden), text)]
-    assert [(a, b) for a, b, k in secrets.find_secrets(text)[1] if k == "access"] == places and len(places) == 3
+    # The two lines may also be one wrapped run.
+    assert set(places) <= {(a, b) for a, b, k in secrets.find_secrets(text)[1] if k == "access"} <= {*places, (places[1][0], places[2][1])} and len(places) == 3
 
 
 def test_secret_rows(make, texts):
