@@ -103,6 +103,25 @@ def test_mixed_documents_are_the_drawn_blocks(make):
     assert {(r.doc_id, r.taken) for r in mixing.mix(table, block_words=16, shard_slots=64, weights=(1, 3, 1)).collect()} == {(d, sum(n for (x, _), n in drawn.items() if x == d)) for d in texts}
 
 
+def test_mixes_do_not_depend_on_partitioning(make, texts):
+    """Also with repeated and null ids, equal rows, a very long text and one source only."""
+    rows = [(d if i % 3 else None, t, "ab"[i % 2]) for i, (d, t) in enumerate(texts)] + [(7, "one two three four five " * 9, "a")] * 4 + [(7, "l" + " l" * 200_000, "b")]
+    for sources in ("ab", "aa"):
+        made = [(d, t, sources["ab".index(s)]) for d, t, s in rows]
+        mixes = []
+        for parts in (2, 7):
+            table = make(made, parts).withColumn("uid", F.lit("clash")).withColumn("runs", F.col("doc_id"))
+            mixes.append(Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_documents(table, block_words=16, shard_slots=64).collect()))
+        assert mixes[0] == mixes[1] and mixes[0]
+
+
+def test_sums_before(spark):
+    df = spark.createDataFrame([(i % 3, i * 7 % 101, i) for i in range(300)], "k long, o long, v long").dropDuplicates(["k", "o"])
+    rows = df.collect()
+    got = mixing.before(df, "k", "o", "v", block=8).collect()
+    assert len(got) == len(rows) and all(r.before == sum(x.v for x in rows if x.k == r.k and x.o < r.o) for r in got)
+
+
 def test_mixing_of_empty_tables(make):
     assert mixing.mix(make([])).collect() == []
     assert [r.taken for r in mixing.mix(make([(1, None), (2, " ")])).collect()] == [0, 0]

@@ -123,18 +123,36 @@ def test_simhash_links_are_exact(spark, make, texts):
     for i, (d, p) in enumerate(prints):
         ids = [x for (x, _), g in zip(prints, label) if g == label[i] and x is not None]
         assert got[d, p] == min(ids, default=None)
-    kept = [r.doc_id for r in simhash.keep_first(make(texts)).collect()]
-    assert len([k for k in kept if k is not None]) == len({got[d, p] for d, p in prints if d is not None})
+    groups = {}
+    for i, (d, _) in enumerate(texts):
+        groups.setdefault(label[i], []).append((d is None, d))
+    kept = [(r.doc_id is None, r.doc_id) for r in simhash.keep_first(make(texts), shingle=4).collect()]
+    assert sorted(kept, key=str) == sorted((min(g) for g in groups.values()), key=str)
 
 
-def test_near_pairs_reach_every_distance_up_to_four(spark):
+def test_keep_first_tells_rows_apart_by_content(make):
+    """Unlike documents of one id stay, equal rows become one, at any partitioning."""
+    unlike = ["a b c d e f g h", "nine lives of ten cats are eleven lives too many", "zz yy xx ww vv uu tt ss rr qq"]
+    rows = [(7, unlike[0]), (7, unlike[1]), (7, unlike[0]), (None, unlike[2]), (None, unlike[2]), (None, unlike[1]), (3, unlike[1])]
+    for parts in (1, 5):
+        table = make([(d, t, "s") for d, t in rows], parts).withColumn("fp", F.lit("clash")).withColumn("id", F.lit(0))
+        assert sorted(((r.doc_id, r.text) for r in simhash.keep_first(table).collect()), key=str) == sorted([(3, unlike[1]), (7, unlike[0]), (None, unlike[2])], key=str)
+
+
+def test_fingerprint_of_a_very_long_text():
+    text = " ".join(f"w{i % 977}" for i in range(150_000))
+    assert simhash.fingerprint(text) == brute_print(text)
+
+
+@pytest.mark.parametrize("layout", [*simhash.LAYOUTS, None])
+def test_near_pairs_reach_every_distance_up_to_four(spark, layout):
     import random
 
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = {*base} | {b ^ sum(1 << x for x in rng.sample(range(64), n)) for b in base for n in (1, 2, 3, 4, 4, 4, 5, 6)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    got = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long"), layout).collect()}
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert got == want
 
@@ -143,3 +161,10 @@ def test_near_pairs_reach_every_distance_up_to_four(spark):
 def test_empty_and_null_tables(make, apply):
     assert apply(make([])).collect() == []
     assert len(apply(make([(1, None), (2, None)])).collect()) == (1 if apply is simhash.keep_first else 2)
+
+
+def test_layouts_follow_the_number_of_fingerprints():
+    best = [min(simhash.LAYOUTS, key=lambda x: x.work(n)) for n in (10**3, 10**5, 10**7, 10**9)]
+    assert best[0] == simhash.LAYOUTS[0] and best[-1] == simhash.LAYOUTS[-1]
+    work = [min(x.work(n) for x in simhash.LAYOUTS) for n in (10**3, 10**9)]
+    assert work[1] < 20 * work[0]

@@ -5,10 +5,14 @@ output shard draws source counts; each drawn slot is the next number of its sour
 which a pseudorandom permutation of the source's block numbers (one per pass over the
 source) maps to a block; blocks are joined by number.
 
-The draws are multinomial given the totals: slots of all shards together hit each
-source as often as its target needs, and a keyed permutation deals them to the shards.
-So sums meet the targets and no source is used beyond ``most`` passes, which
-independent draws would only meet on average.
+The counts of a shard are multinomial draws conditioned on the totals, that is, draws
+without replacement: the slots of all shards together hit each source as often as its
+target needs, and a keyed permutation deals them to the shards.  So sums meet the targets
+and no source is used beyond ``most`` passes, which independent multinomial draws would
+only meet on average.
+
+Rows are placed by their id and the hash of all their columns, so that the mix does not
+depend on how the table is partitioned; equal rows are interchangeable.
 
 Permutations are swap-or-not shuffles: each round either keeps x or swaps it with
 K - x (mod n), as a hash of the larger of the two decides.  Every round is its own
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import WORD, materialize, read_table
+from trackloom.llm.common import WORD, free_name, materialize, read_table
 
 ROUNDS = 24
 
@@ -36,6 +40,17 @@ def permuted(x: Column, n: Column, seed: Column, back: bool = False) -> Column:
     return F.aggregate(rounds, x.cast("long"), step)
 
 
+def before(df: DataFrame, by: str, order: str, value: str, block: int = 1024) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows of the same ``by`` and a lower
+    ``order`` (long).  Sums of blocks of orders come first, so that a long ``by`` is many tasks."""
+    cut = df.withColumn("block", F.expr(f"{order} div {block}"))
+    blocks = cut.groupBy(by, "block").agg(F.sum(value).alias("all"))
+    blocks = blocks.select(F.col(by).alias("of"), F.col("block").alias("at"), (F.sum("all").over(Window.partitionBy(by).orderBy("block")) - F.col("all")).alias("earlier"))
+    within = F.sum(value).over(Window.partitionBy(by, "block").orderBy(order)) - F.col(value)
+    met = cut.withColumn("within", within).join(blocks, (F.col(by) == F.col("of")) & (F.col("block") == F.col("at")))
+    return met.select(*df.columns, (F.col("earlier") + F.col("within")).alias("before"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """``sizes`` (source, source_size) with rank and target.
 
@@ -57,21 +72,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return t.select("source", "rank", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 128, shard_slots: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 128, shard_slots: int = 1024, seed: int = 7, uid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents placed in their sources' streams and what was drawn of them.
 
     The first has rows (uid, doc_id, size, source_size, target), one for each row of ``docs``;
-    uid numbers the input rows.  The second has rows (shard, pass, block, uid, doc_id, a, b): the words
+    uid numbers the input rows, or is ``uid_col``, whose numbers do not change the mix.  The second has rows (shard, pass, block, uid, doc_id, a, b): the words
     a to b - 1 of a document that lie in a drawn block, once for each pass over its source
     in which a shard drew the block.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("uid", F.monotonically_increasing_id()))
+    content = F.xxhash64(*(c for c in docs.columns if c != uid_col)).alias("content")
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), content, uid.alias("uid")))
     buckets = max(256, base.count() // 4096)
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "content"), F.lit(buckets)))
 
-    # Streams: documents in order of (bucket, doc_id); a hot source has as many buckets as any.
+    # Streams: documents in order of (bucket, doc_id, content); a hot source has as many buckets as any.
     by_bucket = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     plan = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     plan = plan.withColumn("want", F.floor("target")).withColumn("blocks", F.ceil(F.col("source_size") / block_words))
@@ -81,9 +98,10 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     plan = materialize(plan.withColumn("first", F.sum("slots").over(Window.orderBy("rank")) - F.col("slots")))
     total = plan.agg(F.sum("slots")).first()[0] or 0
 
-    starts = by_bucket.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("start", F.sum("bucket_size").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("bucket_size"))
-    starts = starts.select(F.col("source").alias("of"), F.col("bucket").alias("at"), "rank", "source_size", "target", "start")
-    within = base.withColumn("before", F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    starts = by_bucket.join(plan.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
+    starts = before(starts.select("source", "bucket", "rank", "source_size", "target", "bucket_size"), "rank", "bucket", "bucket_size")
+    starts = starts.select(F.col("source").alias("of"), F.col("bucket").alias("at"), "rank", "source_size", "target", F.col("before").alias("start"))
+    within = base.withColumn("before", F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("doc_id", "content", "uid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = within.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
     placed = materialize(placed.select("uid", "doc_id", "size", "rank", "source_size", "target", (F.col("start") + F.col("before")).alias("begin")))
 
@@ -92,7 +110,7 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     owners = plan.where("slots > 0").withColumn("cell", F.explode(F.sequence(F.expr(f"first div {cell}"), F.expr(f"(first + slots - 1) div {cell}")))).select("cell", "rank", "first", "slots")
     tickets = spark.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), permuted(F.col("id"), F.lit(max(total, 1)), F.lit(seed)).alias("ticket"))
     drawn = tickets.withColumn("cell", F.expr(f"ticket div {cell}")).join(owners, "cell").where("ticket >= first and ticket < first + slots").groupBy("shard", "rank").agg(F.count("*").alias("n"))
-    drawn = drawn.withColumn("base", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")) - F.col("n"))
+    drawn = before(drawn, "rank", "shard", "n").withColumnRenamed("before", "base")
 
     # Slots to blocks, by the permutation of the source's pass.
     # A row becomes a shard's share of a source, dozens of slots, each of which is permuted: small as they
@@ -131,20 +149,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each stretch of a document's words that the blocks drawn
     in one pass over its source cover without a gap, with the white space between its words.
     A stretch of all words is the whole text.  Columns as in ``docs``; needs text, n_chars."""
-    names = docs.columns
-    uid = docs.withColumn("_uid", F.monotonically_increasing_id())
-    uid = materialize(uid)
-    placed, ranges = draw(uid.drop("doc_id").withColumnRenamed("_uid", "doc_id"), **options)
-    in_order = Window.partitionBy("doc_id").orderBy("pass", "a")
+    names, key, runs_col, size_col = docs.columns, free_name(docs, "uid"), free_name(docs, "runs"), free_name(docs, "size")
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    placed, ranges = draw(rows, uid_col=key, **options)
+    in_order = Window.partitionBy("uid").orderBy("pass", "a")
     gap = F.when((F.lag("pass").over(in_order) == F.col("pass")) & (F.lag("b").over(in_order) == F.col("a")), 0).otherwise(1)
-    runs = ranges.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order)).groupBy("doc_id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_runs")).withColumnRenamed("doc_id", "_uid")
-    rows = uid.join(runs, "_uid").join(placed.select(F.col("doc_id").alias("_uid"), F.col("size").alias("_size")), "_uid")
-    whole = lambda r: (r["a"] == 0) & (r["b"] == F.col("_size"))
+    runs = ranges.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order)).groupBy("uid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    runs = runs.groupBy(F.col("uid").alias(key)).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(runs_col))
+    rows = rows.join(runs, key).join(placed.select(F.col("uid").alias(key), F.col("size").alias(size_col)), key)
+    whole = lambda r: (r["a"] == 0) & (r["b"] == F.col(size_col))
     # The words are bound once for all runs of a text; each has the white space before it.
-    words = F.when(F.exists("_runs", lambda r: ~whole(r)), F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})")))
+    words = F.when(F.exists(runs_col, lambda r: ~whole(r)), F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})")))
     cut = lambda w, r: F.regexp_replace(F.array_join(F.slice(w, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")), ""), r"\A[\x20\x09-\x0D]+", "")
-    texts = F.transform(F.array(words), lambda w: F.transform("_runs", lambda r: F.when(whole(r), F.col("text")).otherwise(cut(w, r))))[0]
+    texts = F.transform(F.array(words), lambda w: F.transform(runs_col, lambda r: F.when(whole(r), F.col("text")).otherwise(cut(w, r))))[0]
     rows = rows.withColumn("text", F.explode(texts)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)
 
