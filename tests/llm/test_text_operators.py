@@ -29,15 +29,14 @@ def test_words_match_the_pattern(texts):
 
 
 def brute_lines(rows):
-    place = lambda d: (1, 0) if d is None else (0, d)
-    every = [(place(d), n, frozenset(WORD.findall(x)), k, x) for k, (d, t) in enumerate(rows) if t is not None for n, x in enumerate(t.split("\n"))]
+    def place(d, t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return (1, 0, h % 2**62) if d is None else (0, d, h % 2**31)
+
+    every = [(place(d, t), n, frozenset(WORD.findall(x)), k, x) for k, (d, t) in enumerate(rows) if t is not None for n, x in enumerate(t.split("\n"))]
     kept = {k: [] for k in range(len(rows))}
-    stay = set()
-    for d, n, s, k, x in every:
-        if s and not any(e[2] and (e[0], e[1]) < (d, n) and 5 * len(s & e[2]) >= 4 * len(s | e[2]) for e in every):
-            stay.add((d, n))
     for d, n, s, k, x in every:
-        if not s or (d, n) in stay:
+        if not s or not any(e[2] and (e[0], e[1]) < (d, n) and 5 * len(s & e[2]) >= 4 * len(s | e[2]) for e in every):
             kept[k].append(x)
     count = lambda t: 0 if t is None else len(t.split("\n"))
     out = [(d, None if t is None else "\n".join(kept[k]), count(t), count(t) - len(kept[k])) for k, (d, t) in enumerate(rows)]
@@ -52,6 +51,23 @@ def test_line_dedup_is_exact(make, texts):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("ids", [(5, 7, 7), (None, None, None), (7, 7, 7), (-3, None, None), ((1 << 63) - 1, (1 << 63) - 1, None)])
+def test_line_dedup_keeps_by_row(make, ids):
+    """Rows of one id, or of none, are told apart by their texts."""
+    x, y = "an early line of some words", "and another one to be kept"
+    rows = list(zip(ids, [x, y, x + "\n" + y + " too"])) + [(ids[1], y), (9, y)]
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(make(rows)).collect()), key=str)
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_of_very_long_lines_and_a_hot_word(make):
+    long = " ".join(f"v{i % 5000}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, " ".join(f"u{i}" for i in range(30_000)) + "\nend of it")]
+    rows += [(10 + i, f"the same five words again {i} {i + 1} {i * 7}") for i in range(150)] + [(None, "the same five words again")] * 30
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(make(rows)).collect()), key=str)
+    assert got == brute_lines(rows)
+
+
 def test_line_dedup_of_a_large_group_of_near_copies(make):
     base = [f"t{i}" for i in range(30)]
     rows = [(i, " ".join(base[: i % 30] + [f"x{i}"] + base[i % 30 + 1 :])) for i in range(200)]

@@ -7,6 +7,9 @@ prefixes.  The join meets on prefix words under a length filter, a positional fi
 a bound from the lines' parity bitmaps, all exact bounds; what is left is verified on
 the whole sets.  A line goes if any earlier line of the corpus matches it.
 
+Rows are known by (doc, h): their id and a hash of their text, so that rows which share an
+id, or have none, are told apart; rows of the same id and text share their fate.
+
 Lines with the same set are one entry.  Before the join a cheap round compares each line
 with the first line that shares its smallest word under a random order; lines that this
 settles need no longer look for a match themselves (others still meet them), so large
@@ -18,7 +21,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import discard, materialize, read_table
@@ -26,6 +30,8 @@ from trackloom.llm.words import Words, batches_of, distinct, mixed
 
 #: Entries of the table of word counts: 1 MB, whatever the size of the corpus.
 BUCKETS = 1 << 20
+#: Numbers of lines are below 2^LINE_BITS (a text has fewer bytes), hashes of texts have HASH_BITS, or NULL_BITS in rows without an id.
+LINE_BITS, HASH_BITS, NULL_BITS = 31, 31, 62
 _LAST = (1 << 63) - 1
 _SKETCH = tuple(f"s{k}" for k in range(8))
 #: Ids of so many documents take some 20 MB as a broadcast table.
@@ -101,15 +107,38 @@ def sketches(sets: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), begin).view(np.int64) for k in range(len(_SKETCH))]
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """The columns doc and h that name a row; rows without an id come last."""
+    none, h = F.col(id_col).isNull(), F.xxhash64(text_col)
+    bits = F.when(none, h.bitwiseAND(F.lit((1 << NULL_BITS) - 1))).otherwise(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), bits.alias("h")]
+
+
+def _place() -> Column:
+    """(doc, h, line) as one number in their order, which aggregates by hash; a struct would be sorted for."""
+    return F.expr(f"cast(cast(cast(doc as decimal(20,0)) * {1 << HASH_BITS}BD + h as decimal(38,0)) * {1 << LINE_BITS}BD + line as decimal(38,0))")
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """``found`` with doc, h and line in place of ``place``."""
+    unit = f"{1 << LINE_BITS}BD"
+    found = found.withColumn("line", F.expr(f"cast(pmod(place, {unit}) as long)"))
+    found = found.withColumn("row", F.expr(f"cast((place - line) / {unit} as decimal(38,0))"))
+    # Hashes of rows without an id are wider than their part of the number; what lies above _LAST's is theirs.
+    found = found.withColumn("over", F.expr(f"row - {_LAST << HASH_BITS}BD"))
+    found = found.withColumn("h", F.expr(f"cast(if(over >= 0, over, pmod(row, {1 << HASH_BITS}BD)) as long)"))
+    return found.withColumn("doc", F.expr(f"if(over >= 0, {_LAST}L, cast((row - h) / {1 << HASH_BITS}BD as long))")).drop("place", "row", "over")
+
+
 def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The distinct word sets: id, first place (doc, line), size n, sig1, sig2, bitmap,
+    """The distinct word sets: id, first place (doc, h, line), size n, sig1, sig2, bitmap,
     prefix and the smallest words (m0, m1) under two random orders."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(word_classes(docs, text_col))
 
     def work(batches):
         for batch in batches:
-            for row, words in batches_of(batch.column(1)):
+            for row, words in batches_of(batch.column(2)):
                 if not len(words):
                     continue
                 lines, firsts = line_numbers(words)
@@ -123,48 +152,76 @@ def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: s
                 ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets[inside].astype(np.uint32).view(np.int32)))
                 text = np.searchsorted(firsts, line, side="right") - 1
-                doc = batch.column(0).slice(row).take(pa.array(text))
-                columns = [doc, pa.array(line - firsts[text], pa.int64()), pa.array(n.astype(np.int32)), *map(pa.array, (sig1, sig2, bitmap)), prefix, *map(pa.array, small)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "line", "n", "sig1", "sig2", "bitmap", "prefix", "m0", "m1"])
+                named = [batch.column(c).slice(row).take(pa.array(text)) for c in (0, 1)]
+                columns = [*named, pa.array(line - firsts[text], pa.int64()), pa.array(n.astype(np.int32)), *map(pa.array, (sig1, sig2, bitmap)), prefix, *map(pa.array, small)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "sig1", "sig2", "bitmap", "prefix", "m0", "m1"])
 
-    # Rows without an id come last.
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
-    each = docs.mapInArrow(work, "doc long, line long, n int, sig1 long, sig2 long, bitmap long, prefix array<int>, m0 int, m1 int")
+    docs = docs.select(*row_key(id_col, text_col), text_col)
+    each = docs.mapInArrow(work, "doc long, h long, line long, n int, sig1 long, sig2 long, bitmap long, prefix array<int>, m0 int, m1 int")
     same = ("sig1", "sig2", "n", "bitmap", "prefix", "m0", "m1")
-    # The first place as one number, which aggregates by hash; a struct would be sorted for.
-    place = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
-    found = each.groupBy(*same).agg(F.min(place).alias("place")).withColumn("line", F.pmod("place", F.lit(1 << 31).cast("decimal(11,0)")).cast("long"))
-    found = found.select(F.expr("(place - line) div 2147483648").alias("doc"), "line", *same)
-    return materialize(found.withColumn("id", F.monotonically_increasing_id()))
+    found = _placed(each.groupBy(*same).agg(F.min(_place()).alias("place")))
+    return materialize(found.select("doc", "h", "line", *same).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _heads(c: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (key, doc, h, line, n, id, bitmap) sorted by key and place: the ids a and b of
+    those that may match the first row of their key, and where the first rows are."""
+    key, n, ids, bitmap = c[0], c[4].astype(np.int64), c[5], c[6]
+    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    of = np.repeat(first, np.diff(np.append(first, len(key))))
+    both, least, most = n + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
+    apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
+    keep = (ids != ids[of]) & (least * den >= most * num) & ((both - apart) * (num + den) >= 2 * num * both)
+    a, b = ids[keep], ids[of][keep]
+    return np.minimum(a, b), np.maximum(a, b), first
 
 
 def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a line and the first line that shares a smallest word and about its length.
+    """Pairs of a line and a first line that shares a smallest word and about its length.
 
-    The lines of a key come sorted, so a task holds the first one only, however many there are.
+    The lines of each batch meet the first one of their key in the batch; only these first
+    ones are shuffled, so a key that a third of all lines have sends few rows to its task.
+    There they come sorted, so that the task holds the first one of a key only.
     """
     bucket = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-    keyed = lines.select("id", "doc", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m"))
-    keyed = keyed.select(F.xxhash64("k", "m", bucket).alias("key"), "doc", "line", "n", "id", "bitmap")
-
-    def work(batches):
+    keyed = lines.select("id", "doc", "h", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m"))
+    names = ["key", "doc", "h", "line", "n", "id", "bitmap"]
+    keyed = keyed.withColumn("key", F.xxhash64("k", "m", bucket)).select(*names)
+    # Pairs that are made before the shuffle go through it with a number of their own as the key.
+    schema = "key long, doc long, h long, line long, n int, id long, bitmap long, a long, b long"
+
+    def made(c: list[np.ndarray], rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none, zero = pa.nulls(len(rows), pa.int64()), np.zeros(len(a), dtype=np.int64)
+        rest = [pa.concat_arrays([pa.array(x[rows]), pa.array(zero.astype(x.dtype))]) for x in c[1:]]
+        key = pa.concat_arrays([pa.array(c[0][rows]), pa.array(mixed(a.view(np.uint64)).view(np.int64))])
+        return pa.RecordBatch.from_arrays([key, *rest, *(pa.concat_arrays([none, pa.array(x)]) for x in (a, b))], [*names, "a", "b"])
+
+    def within(batches):
+        for batch in batches:
+            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            if len(c[0]):
+                order = np.lexsort((c[3], c[2], c[1], c[0]))
+                c = [x[order] for x in c]
+                a, b, first = _heads(c, num, den)
+                yield made(c, first, a, b)
+
+    def across(batches):
         head = None
         for batch in batches:
-            key, n, ids, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5))
-            if not len(key):
+            paired = batch.column(7).is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(paired) for i in (7, 8)], ["a", "b"])
+            free = pc.invert(paired)
+            c = [batch.column(i).filter(free).to_numpy(zero_copy_only=False) for i in range(7)]
+            if not len(c[0]):
                 continue
             if head is not None:
-                key, n, ids, bitmap = (np.append(h, x) for h, x in zip(head, (key, n, ids, bitmap), strict=True))
-            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-            of = np.repeat(first, np.diff(np.append(first, len(key))))
-            both, least, most = n.astype(np.int64) + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
-            apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
-            keep = (ids != ids[of]) & (least.astype(np.int64) * den >= most.astype(np.int64) * num) & ((both - apart) * (num + den) >= 2 * num * both)
-            a, b = ids[keep], ids[of][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap)]
+                c = [np.append(h, x) for h, x in zip(head, c, strict=True)]
+            a, b, first = _heads(c, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            head = [x[first[-1] : first[-1] + 1] for x in c]
 
-    return keyed.repartition("key").sortWithinPartitions("key", "doc", "line").mapInArrow(work, "a long, b long").distinct()
+    heads = keyed.mapInArrow(within, schema).repartition("key").sortWithinPartitions("key", "doc", "h", "line")
+    return heads.mapInArrow(across, "a long, b long").distinct()
 
 
 def _meet(num: int, den: int):
@@ -236,14 +293,14 @@ def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, doc, line, words, sketch): the whole sets of the lines in ``wanted`` (doc,
-    wanted), from their texts; an id may come twice where rows are repeated."""
+    """Rows (id, doc, h, line, words, sketch): the whole sets of the lines in ``wanted`` (doc,
+    h, wanted), from their texts; an id may come twice where rows are repeated."""
 
     def work(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            some, ids, sigs, docs, places = [], [], [], [], []
-            for text, doc, wanted in zip(texts, batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            some, ids, sigs, docs, hashes, places = [], [], [], [], [], []
+            for text, wanted, doc, h in zip(texts, *(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 parts = (text or "").split("\n")
                 for want in wanted:
                     if want["line"] < len(parts):
@@ -251,14 +308,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                         ids.append(want["id"])
                         sigs.append(want["sig1"])
                         docs.append(doc)
+                        hashes.append(h)
                         places.append(want["line"])
-            ids, sigs, docs, places = (np.array(x, dtype=np.int64) for x in (ids, sigs, docs, places))
+            ids, sigs, docs, hashes, places = (np.array(x, dtype=np.int64) for x in (ids, sigs, docs, hashes, places))
             for row, words in batches_of(pa.array(some, pa.string())):
                 line, begin, sets = line_sets(words, words.text, None)
                 if not len(line):
                     continue
                 ends = np.append(begin, len(sets))
-                # Rows with equal ids may differ in text: only the line that was meant counts.
+                # Texts may share a hash: only the line that was meant counts.
                 good = np.flatnonzero(signatures(sets, begin)[0] == sigs[row + line])
                 size = np.diff(ends)[good]
                 inside = np.zeros(len(sets) + 1, dtype=np.int64)
@@ -268,22 +326,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 own = sets[np.cumsum(inside[:-1]) > 0].view(np.int64)
                 which = row + line[good]
                 wide = [pa.array(x[good]) for x in sketches(sets, begin)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own)), *wide], ["id", "doc", "line", "words", *_SKETCH])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[which]) for x in (ids, docs, hashes, places)), pa.ListArray.from_arrays(pa.array(at), pa.array(own)), *wide], ["id", "doc", "h", "line", "words", *_SKETCH])
 
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
+    texts = docs.select(*row_key(id_col, text_col), text_col)
     if wanted.count() <= MOST_BROADCAST_DOCS:
         # Few documents are wanted: the others' texts need not be shuffled.  Beyond that the join alone tells.
-        texts = texts.join(F.broadcast(wanted.select("doc")), "doc", "left_semi")
-    return texts.join(wanted, "doc").select(text_col, "wanted", "doc").mapInArrow(work, "id long, doc long, line long, words array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
+        texts = texts.join(F.broadcast(wanted.select("doc", "h")), ["doc", "h"], "left_semi")
+    return texts.join(wanted, ["doc", "h"]).select(text_col, "wanted", "doc", "h").mapInArrow(work, "id long, doc long, h long, line long, words array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The later line (id) of each of the ``pairs`` (a, b) whose whole sets match."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = materialize(lines.join(ids, "id").groupBy("doc").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted")))
+    wanted = materialize(lines.join(ids, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted")))
     table = materialize(_sets_of(docs, wanted, id_col, text_col))
-    sets = table.select("id", "words", F.struct("doc", "line").alias("at"))
+    sets = table.select("id", "words", F.struct("doc", "h", "line").alias("at"))
     left, right = sets.toDF("a", "wa", "pa"), sets.toDF("b", "wb", "pb")
     # The sketches bound the overlap; whole sets are only met where the bound allows a match.
     short = table.select("id", F.size("words").alias("n"), *_SKETCH).dropDuplicates(["id"])
@@ -300,16 +358,17 @@ def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den:
 
 
 def kept_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, line) of the lines with words that stay; the rest has an earlier match.
+    """Rows (doc, h, line) of the lines with words that stay; the rest has an earlier match.
 
-    ``num`` / ``den`` is the least Jaccard similarity.  Earlier is smaller (doc_id, line);
-    null ids come last; lines at the same place of rows with equal ids are not earlier
-    than each other.
+    ``num`` / ``den`` is the least Jaccard similarity.  Earlier is smaller (doc_id, hash of
+    the text, line), null ids last; the hash is the text's XXH64 (seed 42), of which the low
+    ``HASH_BITS`` count, ``NULL_BITS`` where the id is null.  Lines at the same place of equal
+    rows are not earlier than each other.
     """
     lines = distinct_lines(docs, num, den, id_col, text_col)
     first = matched(first_candidates(lines, num, den), docs, lines, num, den, id_col, text_col)
     more = matched(prefix_candidates(lines, first, num, den), docs, lines, num, den, id_col, text_col)
-    return lines.join(first.union(more), "id", "left_anti").select("doc", "line")
+    return lines.join(first.union(more), "id", "left_anti").select("doc", "h", "line")
 
 
 def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
@@ -323,9 +382,9 @@ def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "d
     and names in ``docs`` that clash with n_lines or n_removed are replaced.
     """
     kept = kept_lines(docs, num=num, den=den, id_col=id_col, text_col=text_col)
-    per_doc = kept.groupBy("doc").agg(F.collect_list("line").alias("kept"))
+    per_doc = kept.groupBy("doc", "h").agg(F.collect_list("line").alias("kept"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.struct(*(c for c in names if c != text_col)).alias("row"), F.col(text_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*(c for c in names if c != text_col)).alias("row"), F.col(text_col).isNull().alias("none"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
 
     def cut(batches):
         for batch in batches:
@@ -340,7 +399,7 @@ def dedup_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
     row = rows.schema["row"].dataType.simpleString()
-    done = rows.join(per_doc, "doc", "left").mapInArrow(cut, f"row {row}, text string, n_lines long, n_removed long")
+    done = rows.join(per_doc, ["doc", "h"], "left").mapInArrow(cut, f"row {row}, text string, n_lines long, n_removed long")
     changed = {text_col: F.col("text")}
     if chars_col:
         changed[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
