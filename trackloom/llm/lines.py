@@ -410,3 +410,23 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of its lines, of those removed, and a digest of what stays."""
     out = dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH one AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS n FROM one),
+s AS (SELECT *, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
+e AS (SELECT ws, min({'d': doc_id, 'n': n}) AS place, len(ws) AS size FROM s WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT place, size, ws, unnest(ws) AS word FROM e),
+c AS (SELECT word, count(*) AS many FROM t GROUP BY word),
+r AS (SELECT place, size, ws, word, row_number() OVER (PARTITION BY place, ws ORDER BY many, word) AS pos FROM t JOIN c USING (word)),
+x AS (SELECT place, size, ws, word FROM r WHERE pos <= size - (4 * size + 4) // 5 + 1),
+p AS (SELECT DISTINCT b.place AS place, a.ws AS aw, b.ws AS bw FROM x a JOIN x b ON a.word = b.word AND a.place < b.place AND 5 * a.size >= 4 * b.size AND 5 * b.size >= 4 * a.size),
+gone AS (SELECT DISTINCT place FROM p WHERE 9 * len(list_intersect(aw, bw)) >= 4 * (len(aw) + len(bw))),
+k AS (SELECT doc_id, count(*) AS stay, string_agg(line, chr(10) ORDER BY n) AS said
+  FROM s LEFT JOIN e USING (ws) LEFT JOIN gone ON gone.place = e.place
+  WHERE len(ws) = 0 OR (e.place = {'d': doc_id, 'n': n} AND gone.place IS NULL) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(parts), 0)::bigint AS n_lines, (coalesce(len(parts), 0) - coalesce(stay, 0))::bigint AS n_removed,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(said, '')) END AS kept_sha256
+FROM one LEFT JOIN k USING (doc_id)
+"""

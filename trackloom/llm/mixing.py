@@ -168,3 +168,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("uid")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2_mixing what SQL can tell: per document its size, its source's and the target."""
+    out = op2_mixing(spark, sf_dir)
+    return out.select("doc_id", "size", "source_size", (F.floor(F.col("target") * 1000 + 0.5) / 1000).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+s AS (SELECT source, sum(size)::double AS size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS weight FROM d GROUP BY source),
+-- One more round for every source that stops at its limit: [sources that stopped].
+r AS (SELECT 0 AS turn, []::varchar[] AS stopped UNION ALL
+  SELECT turn + 1, now FROM (SELECT turn, stopped, (
+    SELECT coalesce(list(coalesce(s.source, chr(0)) ORDER BY s.source), []) FROM s, (
+      SELECT (sum(o.size) - coalesce(sum(3 * o.size) FILTER (list_contains(stopped, coalesce(o.source, chr(0)))), 0)) / sum(o.weight) FILTER (NOT list_contains(stopped, coalesce(o.source, chr(0)))) AS level FROM s o) y
+    WHERE list_contains(stopped, coalesce(s.source, chr(0))) OR y.level * s.weight > 3 * s.size) AS now FROM r) z WHERE len(now) > len(stopped)),
+last AS (SELECT stopped FROM r ORDER BY turn DESC LIMIT 1),
+y AS (SELECT (sum(size) - coalesce(sum(3 * size) FILTER (list_contains(stopped, coalesce(source, chr(0)))), 0)) / sum(weight) FILTER (NOT list_contains(stopped, coalesce(source, chr(0)))) AS level FROM s, last),
+t AS (SELECT source, size, CASE WHEN list_contains(stopped, coalesce(source, chr(0))) THEN 3 * size ELSE level * weight END AS target FROM s, last, y)
+SELECT doc_id, d.size, t.size::bigint AS source_size, floor(target * 1000::double + 0.5::double) / 1000::double AS target
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

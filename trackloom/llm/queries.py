@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from trackloom.llm.forest import op5_embeddings
-from trackloom.llm.lines import op1_lines
-from trackloom.llm.mixing import op2_mixing
+from trackloom.llm.forest import OP5_SQL, op5_embeddings
+from trackloom.llm.lines import OP1_SQL, op1_lines
+from trackloom.llm.mixing import TARGETS_SQL, mixing_targets, op2_mixing
 from trackloom.llm.packing import op10_packing
 from trackloom.llm.quality import op3_quality
-from trackloom.llm.secrets import op4_secrets
+from trackloom.llm.secrets import BASE_SQL, op4_secrets, secrets_base
 from trackloom.llm.simhash import op8_simhash
-from trackloom.llm.substrings import op6_substrings
+from trackloom.llm.substrings import OP6_SQL, op6_substrings
 from trackloom.llm.topk import OP9_SQL, op9_topk
 from trackloom.llm.urls import OP7_SQL, op7_urls
 
@@ -24,5 +24,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
+    # Of operators that SQL cannot tell in whole, what it can.
+    "mixing_targets": mixing_targets,
+    "secrets_base": secrets_base,
 }
-SQL = {"op7_urls": OP7_SQL, "op9_topk": OP9_SQL}
+SQL = {"op1_lines": OP1_SQL, "op5_embeddings": OP5_SQL, "op6_substrings": OP6_SQL, "op7_urls": OP7_SQL, "op9_topk": OP9_SQL, "mixing_targets": TARGETS_SQL, "secrets_base": BASE_SQL}
