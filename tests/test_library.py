@@ -134,7 +134,7 @@ def fold_rows(fold, rows):
 
 def test_throttle_releases_after_a_change():
     at = lambda t, **k: {"t_us": t, "lat": 0.0, "lon": 0.0, **k}
-    fold = folds.throttle("t_us long", min_interval_us=10, heartbeat_us=100, min_move_m=50.0)
+    fold = folds.throttle("t_us long", min_interval_us=10, heartbeat_us=100, min_move_m=50.0, changes=("changed",))
     assert [r["t_us"] for r in fold_rows(fold, [at(0), at(20), at(25, changed=True), at(30), at(35), at(130)])] == [0, 25, 130]
 
 
@@ -152,9 +152,25 @@ def test_coalesced_writes():
     assert [(r["t_us"], r["published_us"]) for r in got] == [(0, 0), (6, 10), (14, 14), (15, 24)]
 
 
-def test_evidence_weighs_reused_reports():
-    row = lambda t, other, lr, side="a": {"t_us": t * 1_000_000, "other_us": other * 1_000_000, "ln_lr": lr, "side": side, "weight": 0.5, "outside": False}
-    got = fold_rows(folds.evidence("x long"), [row(0, 0, 2.0), row(1, 1, 2.0), row(5, 5, 2.0), row(20, 5, 2.0), row(22, 22, 9.0), row(60, 60, 1.0)])
+def test_lifecycle_as_a_plan_equals_the_fold(spark):
+    rows = simulate.load(spark, tracks=9, seconds=40).selectExpr("track_key as track", "t_us * (1 + xxhash64(track_key, t_us) % 5 * 400) as t_us", "event_id", "element_at(array('air', 'surface', 'ground'), cast(pmod(xxhash64(track_key), 3) as int) + 1) as domain").where("t_us >= 0")
+    want = folds.run(rows, folds.lifecycle(), ["track"], ["t_us", "event_id"]).collect()
+    got = folds.lifecycle_changes(rows).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.state for r in got}) == 4
+
+
+def test_send_rule_allows_the_greater_of_threshold_and_error():
+    at = lambda t, metres, error=0.0, state="confirmed", domain="surface": {"t_us": t * 1_000_000, "lat": 50.0 + metres / 111_194.9, "lon": 1.0, "course": 0.0, "speed": 0.0, "error_m": error, "domain": domain, "state": state}
+    sent = lambda *rows: [r["t_us"] // 1_000_000 for r in fold_rows(folds.send_rule(""), list(rows))]
+    assert sent(at(0, 0), at(1, 70, 40.0)) == [0, 1]
+    assert sent(at(0, 0), at(1, 45, 40.0), at(2, 70, 80.0), at(3, 81, 80.0), at(4, 81)) == [0, 3]
+    assert sent(at(0, 0, domain="air"), at(1, 190, domain="air"), at(2, 210, domain="air"), at(3, 210, state="lost", domain="air"), at(14, 210, state="lost", domain="air"), at(15, 210, state="lost", domain="air")) == [0, 2, 3, 15]
+
+
+def test_evidence_weighs_reused_reports(spark):
+    row = lambda t, other, lr: ("p", t * 1_000_000, "a", other * 1_000_000, lr, 0.5, False)
+    df = spark.createDataFrame([row(0, 0, 2.0), row(1, 1, 2.0), row(5, 5, 2.0), row(20, 5, 2.0), row(22, 22, 9.0), row(60, 60, 1.0)], "pair string, t_us long, side string, other_us long, ln_lr double, weight double, outside boolean")
+    got = folds.evidence(df, ["pair"], ["t_us"]).orderBy("t_us").collect()
     assert [(r["sum_ln_lr"], r["comparisons"]) for r in got] == [(2.0, 1), (4.0, 2), (5.0, 3), (1.0, 1)]
 
 
@@ -353,13 +369,14 @@ def test_mht_follows_targets(spark):
     assert score.p > 4 and score.f < 300
 
 
-def test_responsibility_claims_and_yields():
+def test_responsibility_claims_and_yields(spark):
     from trackloom.operators import peers
 
     s = 1_000_000
-    row = lambda t, kind, site=None, q=None: {"track": "a", "t_us": t * s, "kind": kind, "site": site, "quality": q}
-    got = fold_rows(peers.responsibility("B"), [row(0, "own", q=10), row(1, "heard", "C", 10), row(2, "own", q=10), row(3, "heard", "A", 10), row(4, "own", q=11), row(5, "own", q=12), row(6, "released", "A"), row(7, "heard", "A", 15), row(8, "own", q=1), row(9, "own", q=None)])
-    assert [r["reporting"] for r in got] == [True, True, True, False, False, True, True, True, False]
+    row = lambda t, kind, site=None, q=None: ("a", t * s, t, kind, site, q)
+    df = spark.createDataFrame([row(0, "own", q=10), row(1, "heard", "C", 10), row(2, "own", q=10), row(3, "heard", "A", 10), row(4, "own", q=11), row(5, "own", q=12), row(6, "released", "A"), row(7, "heard", "A", 15), row(8, "own", q=1), row(9, "own", q=None), row(40, "own", q=3), row(41, "heard", "C", 4), row(50, "own", q=5), row(66, "own", q=5)], "track string, t_us long, event_id long, kind string, site string, quality int")
+    got = peers.responsibility(df, "B").orderBy("t_us").collect()
+    assert [r["reporting"] for r in got] == [True, True, True, False, False, True, True, True, True, False, True, False, False, True]
 
 
 def test_peer_reports_take_the_identity_known_before(spark):

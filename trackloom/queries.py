@@ -482,32 +482,68 @@ def history_gap_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run(observations(spark, sf_dir).select(*_IN), fold, ["track_key"], ["t_us", "event_id"]).select("track_key", "t_us", "event_id")
 
 
-@query()
+@query(f"""WITH {OBS_SQL}, p AS (SELECT track_key AS track, t_us, event_id, lag(t_us) OVER w AS t0,
+    CASE lag(domain) OVER w WHEN 'air' THEN 60 WHEN 'surface' THEN 900 WHEN 'subsurface' THEN 1800 ELSE 900 END * 1000000 AS quiet FROM obs WINDOW w AS (PARTITION BY track_key ORDER BY t_us, event_id)),
+  g AS (SELECT *, coalesce(t_us - t0 >= quiet, false) AS lost, coalesce(t_us - t0 >= 21600000000, false) AS gone, sum((coalesce(t_us - t0 >= 21600000000, false))::int) OVER (PARTITION BY track ORDER BY t_us, event_id) AS life FROM p),
+  n AS (SELECT *, row_number() OVER (PARTITION BY track, life ORDER BY t_us, event_id) >= 3 AS sure FROM g),
+  c AS (SELECT *, lag(sure) OVER (PARTITION BY track ORDER BY t_us, event_id) AS was FROM n)
+  SELECT track, t0 + quiet AS t_us, 'lost' AS state FROM c WHERE lost UNION ALL SELECT track, t0 + 21600000000, 'dropped' FROM c WHERE gone
+  UNION ALL SELECT track, t_us, CASE WHEN sure THEN 'confirmed' ELSE 'tentative' END FROM c WHERE lost OR gone OR was IS NULL OR was <> sure""")
 def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tentative, confirmed, lost and dropped, in event time."""
     rows = observations(spark, sf_dir).select("t_us", "event_id", "domain", F.col("track_key").alias("track"))
-    return folds.run(rows, folds.lifecycle(), ["track"], ["t_us", "event_id"])
-
-
-@query()
+    return folds.lifecycle_changes(rows)
+
+
+@query(f"""WITH RECURSIVE {OBS_SQL}, o AS (SELECT track_key, t_us, event_id + 1 AS event_id, event_id % 10 = 9 AS urgent, row_number() OVER (PARTITION BY track_key ORDER BY t_us, event_id) AS r FROM obs),
+  f AS (SELECT track_key, r, t_us AS last, 0::bigint AS held, 0::bigint AS out_id, 0::bigint AS out_t, false AS out_urgent, 0::bigint AS out_at, event_id AS now_id, t_us AS now_t, urgent AS now_urgent, 0::bigint AS held_t, false AS held_urgent FROM o WHERE r = 1
+    UNION ALL SELECT track_key, r, CASE WHEN goes THEN t_us WHEN due THEN last + gap ELSE last END, CASE WHEN goes THEN 0 ELSE event_id END,
+      CASE WHEN due THEN held ELSE 0 END, held_t, held_urgent, last + gap, CASE WHEN goes THEN event_id ELSE 0 END, t_us, urgent, CASE WHEN goes THEN 0 ELSE t_us END, CASE WHEN goes THEN false ELSE urgent END
+    FROM (SELECT *, urgent OR t_us >= CASE WHEN due THEN last + 2 * gap ELSE last + gap END AS goes FROM (
+      SELECT f.track_key, o.r, o.t_us, o.event_id, o.urgent, f.last, f.held, f.held_t, f.held_urgent, f.held > 0 AND o.t_us >= f.last + 3600000000 AS due, 3600000000 AS gap FROM f JOIN o ON o.track_key = f.track_key AND o.r = f.r + 1) x) y)
+  SELECT track_key, now_t AS t_us, now_id AS event_id, now_urgent AS urgent, now_t AS published_us FROM f WHERE now_id > 0
+  UNION ALL SELECT track_key, out_t, out_id, out_urgent, out_at FROM f WHERE out_id > 0
+  UNION ALL SELECT track_key, held_t, held, held_urgent, last + 3600000000 FROM f WHERE held > 0 AND r = (SELECT max(r) FROM o WHERE o.track_key = f.track_key)""")
 def writer_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one message in an hour for each track, urgent ones at once."""
-    rows = observations(spark, sf_dir).select("track_key", "t_us", "event_id", (F.col("event_id") % 10 == 0).alias("urgent"))
+    rows = observations(spark, sf_dir).select("track_key", "t_us", (F.col("event_id") + 1).alias("event_id"), (F.col("event_id") % 10 == 9).alias("urgent"))
     return folds.run(rows, folds.coalesce_writes("track_key string, t_us long, event_id long, urgent boolean, published_us long", gap_us=3_600_000_000), ["track_key"], ["t_us", "event_id"])
 
 
-@query()
-def send_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports that peers need because their dead reckoning is off."""
-    return folds.run(observations(spark, sf_dir).select(*_IN), folds.send_rule(_OUT, heartbeat_us=36_000_000_000), ["track_key"], ["t_us", "event_id"]).select("event_id", "track_key", "t_us")
+_STATE = "CASE WHEN event_id % 40 = 0 THEN 'lost' ELSE 'confirmed' END"
+_EARTH = "6371008.8::double"
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS_SQL}, o AS (SELECT *, {_STATE} AS state, row_number() OVER (PARTITION BY track_key ORDER BY t_us, event_id) AS r FROM obs),
+  f AS (SELECT track_key, r, event_id, true AS sent, t_us, lat, lon, course, speed, state FROM o WHERE r = 1 UNION ALL
+    SELECT track_key, r, event_id, due, CASE WHEN due THEN t_us ELSE t0 END, CASE WHEN due THEN lat ELSE lat0 END, CASE WHEN due THEN lon ELSE lon0 END, CASE WHEN due THEN course ELSE course0 END, CASE WHEN due THEN speed ELSE speed0 END, CASE WHEN due THEN state ELSE state0 END
+    FROM (SELECT *, state <> state0 OR t_us - t0 >= 36000000000 OR {_EARTH} * sqrt(n * n + e * e) > greatest(CASE WHEN domain IN ('air', 'space') THEN 200.0::double ELSE 50.0::double END, error_m) AS due
+      FROM (SELECT *, radians(lat) - plat AS n, (radians(lon) - plon) * cos((radians(lat) + plat) / 2.0::double) AS e
+        FROM (SELECT *, radians(lat0) + way * cos(radians(course0)) AS plat, radians(lon0) + way * sin(radians(course0)) / greatest(cos(radians(lat0)), 1e-6::double) AS plon
+          FROM (SELECT o.*, f.t_us AS t0, f.lat AS lat0, f.lon AS lon0, f.course AS course0, f.speed AS speed0, f.state AS state0, f.speed * ((o.t_us - f.t_us) / 1e6::double) / {_EARTH} AS way
+            FROM f JOIN o ON o.track_key = f.track_key AND o.r = f.r + 1) a) b) c) d)
+  SELECT o.event_id, o.track_key, o.t_us FROM f JOIN o USING (track_key, r) WHERE f.sent""")
+def send_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that peers need because their dead reckoning is off."""
+    rows = observations(spark, sf_dir).select(*_IN, F.when(F.col("event_id") % 40 == 0, "lost").otherwise("confirmed").alias("state"))
+    return folds.run(rows, folds.send_rule("event_id long, track_key string, t_us long", heartbeat_us=36_000_000_000), ["track_key"], ["t_us", "event_id"])
+
+
+@query(f"""WITH RECURSIVE {KIN_SQL}, q AS (SELECT a_source || '/' || a_key || '+' || b_source || '/' || b_key AS pair, a_t AS t_us, b_t AS other_us, ln_lr, NOT pass AS outside, a_id, b_id FROM lr),
+  z AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t_us, other_us, a_id, b_id) AS r FROM q),
+  f AS (SELECT pair, r, t_us AS ua, other_us AS ub, [{{'t': t_us, 'v': ln_lr, 'o': outside}}] AS held, true AS counts, t_us FROM z WHERE r = 1 UNION ALL
+    SELECT pair, r, CASE WHEN share > 0 THEN t_us ELSE ua END, CASE WHEN share > 0 THEN other_us ELSE ub END,
+      CASE WHEN share > 0 THEN list_filter(list_append(held, {{'t': t_us, 'v': ln_lr * share, 'o': outside}})[-5:], lambda x: x.t >= t_us - 30000000) ELSE held END, share > 0, t_us
+    FROM (SELECT z.pair, z.r, z.t_us, z.other_us, z.ln_lr, z.outside, f.ua, f.ub, f.held,
+        CASE WHEN z.t_us - f.held[-1].t < 3000000 OR z.t_us <= f.ua THEN 0.0::double WHEN z.other_us > f.ub THEN 1.0::double WHEN z.t_us - f.held[-1].t >= 10000000 THEN 0.5::double ELSE 0.0::double END AS share
+      FROM f JOIN z ON z.pair = f.pair AND z.r = f.r + 1) x)
+  SELECT pair, t_us, {rsql('list_sum(list_transform(held, lambda x: x.v))', 2)} AS sum_ln_lr, len(held)::bigint AS comparisons, len(list_filter(held, lambda x: x.o))::bigint AS n_outside FROM f WHERE counts""".replace("b_domain, a.identity", "b_domain, b.track_key AS b_key, a.identity"))
 def evidence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for every pair of tracks summed over its last comparisons."""
-    rows = _compared(spark, sf_dir).select(F.concat("a_source_id", F.lit("/"), "a_track_key", F.lit("+"), "b_source_id", F.lit("/"), "b_track_key").alias("pair"), F.col("a_t_us").alias("t_us"), F.lit("a").alias("side"), F.col("b_t_us").alias("other_us"), "ln_lr", F.lit(0.5).alias("weight"), (~F.col("pass")).alias("outside"))
-    fold = folds.evidence("pair string, t_us long, sum_ln_lr double, comparisons long, n_outside long")
-    return folds.run(rows, fold, ["pair"], ["t_us", "other_us"]).withColumn("probability", kinematics.posterior(F.col("sum_ln_lr")))
+    name = lambda side: F.concat(f"{side}_source_id", F.lit("/"), f"{side}_track_key")
+    rows = _compared(spark, sf_dir).select(F.concat(name("a"), F.lit("+"), name("b")).alias("pair"), F.col("a_t_us").alias("t_us"), F.lit("a").alias("side"), F.col("b_t_us").alias("other_us"), "ln_lr", F.lit(0.5).alias("weight"), (~F.col("pass")).alias("outside"), "a_event_id", "b_event_id")
+    out = folds.evidence(rows, ["pair"], ["t_us", "other_us", "a_event_id", "b_event_id"])
+    return out.select("pair", "t_us", rnd(F.col("sum_ln_lr"), 2).alias("sum_ln_lr"), "comparisons", "n_outside")
 
 
 @query()
@@ -805,9 +841,18 @@ def peer_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.admitted(rows, me="S0", trusted=["S1", "S2", "S3"]).groupBy(F.coalesce("refused", F.lit("let in")).alias("refused")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {OBS_SQL}, e AS (SELECT track_key AS track, t_us, event_id, CASE WHEN event_id % 3 = 0 THEN 'heard' WHEN event_id % 41 = 0 THEN 'released' ELSE 'own' END AS kind, 'S' || (event_id % 4) AS site, (event_id % 16)::int AS quality FROM obs),
+  g AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t_us, event_id) AS no, last_value(CASE WHEN kind = 'released' THEN t_us END IGNORE NULLS) OVER (PARTITION BY track, site ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS gave FROM e),
+  h AS (SELECT *, kind = 'heard' AND NOT coalesce(t_us - gave < 21600000000, false) AS heard FROM g),
+  l AS (SELECT *, last_value(CASE WHEN heard THEN {{'no': no, 'site': site, 'q': quality, 't': t_us}} END IGNORE NULLS) OVER w AS them, last_value(CASE WHEN kind = 'own' THEN {{'q': CASE WHEN event_id % 7 > 0 THEN quality END}} END IGNORE NULLS) OVER w AS me FROM h WINDOW w AS (PARTITION BY track ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT *, last_value(CASE WHEN kind = 'released' AND site = them.site THEN no END IGNORE NULLS) OVER (PARTITION BY track ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS left_no FROM l),
+  s AS (SELECT *, CASE WHEN heard AND (me IS NULL OR me.q IS NULL OR them.q > me.q OR (them.q = me.q AND them.site < 'S2')) THEN false WHEN kind <> 'own' THEN NULL WHEN me.q IS NULL THEN false
+    WHEN them IS NULL OR t_us - them.t >= 21600000000 OR coalesce(left_no, 0) > them.no OR me.q >= them.q + 2 THEN true WHEN them.q > me.q OR (them.q = me.q AND them.site < 'S2') THEN false END AS says FROM k)
+  SELECT track, event_id, coalesce(last_value(says IGNORE NULLS) OVER (PARTITION BY track ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING), false) AS reporting FROM s""")
 def responsibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who reports each track, as one site decides it from what it hears."""
-    e = observations(spark, sf_dir)
-    rows = e.select(F.col("track_key").alias("track"), F.col("t_us"), F.when(F.col("event_id") % 3 == 0, "heard").when(F.col("event_id") % 41 == 0, "released").otherwise("own").alias("kind"), F.concat(F.lit("S"), (F.col("event_id") % 4).cast("string")).alias("site"), (F.col("event_id") % 16).cast("int").alias("quality"), "event_id")
-    return folds.run(rows, peers.responsibility("S9"), ["track"], ["t_us", "event_id"])
+    i = F.col("event_id")
+    kind = F.when(i % 3 == 0, "heard").when(i % 41 == 0, "released").otherwise("own")
+    quality = F.when((kind != "own") | (i % 7 > 0), (i % 16).cast("int"))
+    rows = observations(spark, sf_dir).select(F.col("track_key").alias("track"), "t_us", "event_id", kind.alias("kind"), F.concat(F.lit("S"), (i % 4).cast("string")).alias("site"), quality.alias("quality"))
+    return peers.responsibility(rows, "S2", take_over_us=21_600_000_000).select("track", "event_id", "reporting")
