@@ -1,16 +1,24 @@
 """Operator 3: a quality classifier by co-training of two views.
 
-One classifier sees a document's text (shapes of its words, repetition, layout), the
-other its metadata (source, language, stated length).  Both start from the labelled
-documents; in every round each view labels the unlabelled documents of which it is
-confident, and the other view learns from them.  How confident a view must be is set on
-held-out labels, per class, so that a view that cannot be right often enough labels
-nothing.  At last the views' scores are calibrated and combined on held-out labels, and
-the combination scores every document.
+One classifier sees a document's text (its words and pairs of words, their shapes,
+repetition, layout), the other its metadata (source, language, stated length).  Both start
+from a bounded sample of labelled documents.  In every round one job scores all other
+documents with both views; each view labels those of which it is confident, and the other
+view learns from all of them.  How confident a view must be is set on held-out labels, per
+class, so that a view that cannot be right often enough labels nothing.  At last the views'
+scores are calibrated and combined on held-out labels, and the combination scores every
+document.
+
+What a view learns from pseudo-labels are the mean documents of ``GROUPS`` groups of each
+class, dealt by a hash, as further rows of its fit.  They are sums over all documents that
+the other view labelled, so none is sampled or brought to the driver.  Either class of them
+weighs no more than that class of the labels, however many there are.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +36,15 @@ for _kind, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNO
     _KIND[list(_chars)] = _kind
 _KIND[0x80:] = 0
 _SHAPES = 8 * 8 * 4
-TEXT_FEATURES = _SHAPES + 10
+_WORDS, _PAIRS = 256, 128
+TEXT_FEATURES = _SHAPES + 10 + _WORDS + _PAIRS
 META_FEATURES = 2 * 64 + 3
 
 
 def text_features(words: Words) -> np.ndarray:
     """A row for each text of the batch: shares of word shapes (first and last byte's kind,
-    length), then layout and repetition."""
+    length), then layout and repetition, then square roots of the shares of hashed words
+    and pairs of words."""
     n_texts = len(words.offsets) - 1
     out = np.zeros((n_texts, TEXT_FEATURES), dtype=np.float32)
     if not len(words):
@@ -59,7 +69,14 @@ def text_features(words: Words) -> np.ndarray:
         per((capitals > 1) & (small == 0)), per(capitals > 0), per(odd > 0), per(odd > 1), per(again),
         kinds_of_words / n, per(length == 1), per(length) / 10, np.log1p(n) / 10, lines / n,
     )
-    out[:, _SHAPES:] = np.stack(more, axis=1)
+    out[:, _SHAPES : _SHAPES + 10] = np.stack(more, axis=1)
+    low = _SHAPES + 10
+    place = words.text * _WORDS + (words.hashes & np.uint64(_WORDS - 1)).astype(np.int64)
+    out[:, low : low + _WORDS] = np.sqrt(np.bincount(place, minlength=n_texts * _WORDS).reshape(n_texts, _WORDS) / n[:, None])
+    same = np.flatnonzero(words.text[1:] == words.text[:-1])
+    pair = mixed(words.hashes[same] * np.uint64(3) + words.hashes[same + 1]) & np.uint64(_PAIRS - 1)
+    place = words.text[same] * _PAIRS + pair.astype(np.int64)
+    out[:, low + _WORDS :] = np.sqrt(np.bincount(place, minlength=n_texts * _PAIRS).reshape(n_texts, _PAIRS) / n[:, None])
     return out
 
 
@@ -95,12 +112,21 @@ class Linear:
         return ((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0]
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12, balanced: bool = True) -> Linear:
-        """Newton's method; ``balanced``: both classes weigh the same, else as often as they occur."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12, balanced: bool = True, told: np.ndarray | None = None) -> Linear:
+        """Newton's method; ``balanced``: both classes weigh the same, else as often as they
+        occur.  ``told``: what ``taught`` gives; its rows of a class weigh as much as as many
+        labelled ones, but together no more than all of these."""
         x = x.astype(np.float64)
         mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
         share = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)) if balanced else np.ones(len(y))
+        for label in (0, 1) if told is not None else ():
+            n, sums = told[label, :, 0], told[label, :, 1:]
+            some, own = n > 0, share[y == label]
+            if some.any() and len(own):
+                x = np.vstack([x, sums[some] / n[some, None]])
+                y = np.append(y, np.full(some.sum(), label))
+                share = np.append(share, n[some] * own.mean() * min(1.0, len(own) / n.sum()))
+        z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
         penalty = np.full(z.shape[1], ridge)
         penalty[0] = 1e-6
         w = np.zeros(z.shape[1])
@@ -141,29 +167,45 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.mix[0] + self.mix[1] * a + self.mix[2] * b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, *, rounds: int = 4, per_round: int = 512, precision: float = 0.98) -> CoTrained:
-    """``y``: 1, 0, or -1 for unlabelled rows; labelled rows of ``fold`` 0 are held out: half
-    of them set the confidence levels, half calibrate and combine the views."""
-    known, held = (y >= 0) & (fold != 0), (y >= 0) & (fold == 0)
+Levels = list[tuple[float, float]]
+
+
+GROUPS = 16
+
+
+def taught(text: np.ndarray, meta: np.ndarray, models: list[Linear], levels: Levels) -> list[np.ndarray]:
+    """Of unlabelled rows what each view is told by the other: by label and group the number
+    of rows and the sums of their features.  Rows of which both views are confident but not
+    of one mind teach nothing."""
+    views, said = (text, meta), []
+    for view, model, (up, down) in zip(views, models, levels, strict=True):
+        logit = model.logit(view)
+        said.append(np.where(logit >= up, 1, np.where(logit <= down, 0, -1)))
+    at_odds = (said[0] >= 0) & (said[1] >= 0) & (said[0] != said[1])
+    group = np.fromiter((zlib.crc32(row.tobytes()) % GROUPS for row in text), dtype=np.int64, count=len(text))
+    out = []
+    for view, other in zip(views, reversed(said), strict=True):
+        sums = np.zeros((2 * GROUPS, 1 + view.shape[1]))
+        rows = np.flatnonzero((other >= 0) & ~at_odds)
+        np.add.at(sums, other[rows] * GROUPS + group[rows], np.hstack([np.ones((len(rows), 1)), view[rows]]))
+        out.append(sums.reshape(2, GROUPS, -1))
+    return out
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, tell: Callable[[list[Linear], Levels], list[np.ndarray]], *, rounds: int = 3, precision: float = 0.98) -> CoTrained:
+    """``y``: 1 or 0 of the labelled rows; those of ``fold`` 0 are held out: half of them set
+    the confidence levels, half calibrate and combine the views.  ``tell``: what ``taught``
+    gives over all unlabelled rows."""
+    known, held = fold != 0, fold == 0
     half = np.cumsum(held) % 2 == 0
     levels, combine = held & half, held & ~half
     views = [text, meta]
-    own = [y.copy(), y.copy()]
-    models: list[Linear] = []
-    for turn in range(rounds + 1):
-        models = [Linear.fit(x[use], lab[use]) for x, lab in zip(views, own, strict=True) for use in [known | (y < 0) & (lab >= 0)]]
-        if turn == rounds or not levels.any():
+    models = [Linear.fit(x[known], y[known]) for x in views]
+    for _ in range(rounds if levels.any() else 0):
+        sure = [confident(model.logit(x[levels]), y[levels], precision) for model, x in zip(models, views, strict=True)]
+        if not np.isfinite(sure).any():
             break
-        for i, other in ((0, 1), (1, 0)):
-            logit = models[i].logit(views[i])
-            up, down = confident(logit[levels], y[levels], precision)
-            free = np.flatnonzero((y < 0) & (own[other] < 0))
-            sure_up, sure_down = free[logit[free] >= up], free[logit[free] <= down]
-            # Most confident first, and as many of either class as the labels have.
-            share = (y[known] == 1).mean()
-            sure_up = sure_up[np.argsort(-logit[sure_up], kind="stable")][: int(per_round * share) + 1]
-            sure_down = sure_down[np.argsort(logit[sure_down], kind="stable")][: int(per_round * (1 - share)) + 1]
-            own[other][sure_up], own[other][sure_down] = 1, 0
+        models = [Linear.fit(x[known], y[known], told=told) for x, told in zip(views, tell(models, sure), strict=True)]
     both = np.stack([models[0].logit(text[combine]), models[1].logit(meta[combine])], axis=1)
     if len(set(y[combine])) < 2:
         return CoTrained(models[0], models[1], np.array([0.0, 1.0, 0.0]))
@@ -190,26 +232,57 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(chars_col).cast("double").alias("n_chars"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", most_labelled: int = 8192, most_unlabelled: int = 8192, **options) -> CoTrained | None:
-    """Fit on at most ``most_labelled`` labelled and ``most_unlabelled`` unlabelled documents,
-    those of least hash of their id; None where the labels do not hold both classes."""
+def _told_by_all(rest: DataFrame, models: list[Linear], levels: Levels) -> list[np.ndarray]:
+    """``taught`` over all rows (text, source, lang, n_chars) of ``rest``."""
+    shared = rest.sparkSession.sparkContext.broadcast((models, levels))
+
+    def each(batches):
+        models, levels = shared.value
+        sums = None
+        for batch in batches:
+            meta = meta_features(*(batch.column(c) for c in ("source", "lang", "n_chars")))
+            for row, words in batches_of(batch.column("text")):
+                text = text_features(words)
+                made = taught(text, meta[row : row + len(text)], models, levels)
+                sums = made if sums is None else [a + b for a, b in zip(sums, made, strict=True)]
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(sums[0].tobytes())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], ["part", "text_sums", "meta_sums"])
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        added = {c: [sum(np.frombuffer(x) for x in pdf[c]).tobytes()] for c in ("text_sums", "meta_sums")}
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], **added})
+
+    # One row of some 200 kB of each task is added up in two steps; 16 rows come to the driver.
+    schema = "part long, text_sums binary, meta_sums binary"
+    rows = rest.mapInArrow(each, schema)
+    for parts in (1024, 16):
+        rows = rows.withColumn("part", F.col("part") % parts).groupBy("part").applyInPandas(together, schema)
+    found = rows.collect()
+    shapes = [(2, GROUPS, len(m.weights)) for m in models]
+    return [sum((np.frombuffer(r[c]).reshape(shape) for r in found), np.zeros(shape)) for c, shape in zip(("text_sums", "meta_sums"), shapes, strict=True)]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", most_labelled: int = 8192, **options) -> CoTrained | None:
+    """Fit on at most ``most_labelled`` labelled documents, those of least hash of their id,
+    and on all others without their labels; None where the labels do not hold both classes."""
     slim = _slim(docs, id_col, text_col, source_col, lang_col, chars_col)
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    order = [F.xxhash64("id"), "id"]
     present = slim.where("id is not null").select(F.col("id").cast("long").alias("id")).distinct()
-    some = marks.join(present, "id").orderBy(*order).limit(most_labelled)
-    rest = present.join(marks, "id", "left_anti").orderBy(*order).limit(most_unlabelled).withColumn("y", F.lit(-1))
-    # At most most_labelled + most_unlabelled rows of two numbers: safe to broadcast.
-    chosen = some.select("id", "y").union(rest.select("id", "y")).toPandas()
+    # At most most_labelled rows of two numbers: safe to broadcast.
+    chosen = marks.join(present, "id").orderBy(F.xxhash64("id"), "id").limit(most_labelled).toPandas()
     if {0, 1} - set(chosen["y"]):
         return None
     spark = docs.sparkSession
     picks = F.broadcast(spark.createDataFrame(chosen[["id"]]))
-    rows = _features(slim.join(picks, slim["id"].cast("long") == picks["id"], "left_semi").withColumn("id", F.col("id").cast("long")))
-    table = rows.toPandas().drop_duplicates("id").merge(chosen, on="id").sort_values("id", ignore_index=True)
+    slim = slim.withColumn("id", F.col("id").cast("long"))
+    # Of rows with one id the one of least hash is meant.
+    row = F.struct("text", "source", "lang", "n_chars")
+    labelled = slim.join(picks, "id", "left_semi").groupBy("id").agg(F.min_by(row, F.xxhash64("text", "source", "lang", "n_chars")).alias("row")).select("id", "row.*")
+    table = _features(labelled).toPandas().merge(chosen, on="id").sort_values("id", ignore_index=True)
     text, meta = (np.stack([np.frombuffer(x, dtype=np.float32) for x in table[c]]) for c in ("text_x", "meta_x"))
     fold = (mixed(table["id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(3)).astype(np.int64)
-    return co_train(text, meta, table["y"].to_numpy(), fold, **options)
+    rest = slim.join(picks, "id", "left_anti").select("text", "source", "lang", "n_chars")
+    return co_train(text, meta, table["y"].to_numpy(), fold, lambda models, levels: _told_by_all(rest, models, levels), **options)
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars") -> DataFrame:
