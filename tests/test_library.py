@@ -451,3 +451,35 @@ def test_protobuf_records(spark):
     import json
 
     assert [json.loads(r.json)["track_id"] for r in got if r.json] == ["a", "b"] and [r.error for r in got] == [None, None, "not a t.Batch"]
+
+
+def test_links_that_join_unlike_identities_go(spark):
+    """A chain puts A and C of unlike ships together: its weakest link goes, others stay."""
+    from trackloom.operators import correlate
+
+    links = spark.createDataFrame([("A", "B", 0.99), ("B", "C", 0.9), ("C", "D", 0.95), ("X", "Y", 0.9)], "a string, b string, probability double")
+    tracks = spark.createDataFrame([("A", "mmsi:1"), ("B", None), ("C", None), ("D", "mmsi:2"), ("X", "mmsi:3"), ("Y", "icao:4")], "track string, identity string")
+    assert sorted((r.a, r.b) for r in correlate.without_conflicts(links, tracks).collect()) == [("A", "B"), ("C", "D"), ("X", "Y")]
+
+
+def test_audit_chain_finds_gaps_links_and_hashes(spark):
+    import hashlib
+
+    from trackloom.operators import analytics
+
+    rows, before = [], "0"
+    for i in range(3, 40):
+        own = hashlib.sha256((before + f"c{i}").encode()).hexdigest()
+        rows.append([i, before, own, f"c{i}"])
+        before = own
+    del rows[10]
+    rows[20][2], rows[30][3] = "x", "changed"
+    df = spark.createDataFrame([tuple(r) for r in rows], "seq long, prev_hash string, hash string, content string").repartition(5)
+    assert sorted((r.seq, r.problem) for r in analytics.chained(df).collect() if r.problem) == [(14, "gap"), (24, "hash"), (25, "link"), (34, "hash")]
+
+
+def test_numbers_follow_the_order(spark):
+    from trackloom.operators import joins
+
+    rows = joins.numbered(spark.range(1000).selectExpr("id * 7 % 1000 as x").repartition(7), ["x"]).collect()
+    assert all(r.number == r.x + 1 for r in rows) and len(rows) == 1000

@@ -117,3 +117,10 @@ def track_quality(error_m: Column) -> Column:
     """Quality 0-15: 15 to 10 m, one less with each doubling of the error; unknown is 0."""
     steps = F.greatest(F.ceil(F.log2(error_m / 10.0)), F.lit(0))
     return F.when(error_m <= 0, 15).when(error_m < float("inf"), F.greatest(15 - steps, F.lit(0))).otherwise(0).cast("int")
+
+
+def area_of(nn: Column, ne: Column, ee: Column, least_m: float = 2000.0) -> Column:
+    """The ellipse of a position that is an area rather than a point: where the root of its
+    variances' sum is over ``least_m``, else null (K23)."""
+    major, minor, orientation = covariance_ellipse(nn, ne, ee)
+    return F.when(F.sqrt(nn + ee) > least_m, F.struct(major.alias("semi_major_m"), minor.alias("semi_minor_m"), orientation.alias("orientation_deg")))

@@ -11,11 +11,13 @@ from trackloom.functions import geo
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` by way of the checkpoint folder, so that a loop's plan stays short.  Without a
-    folder (``spark.checkpoint.dir`` unset, as in tests) a temporary one is set."""
+    """``df`` by way of the checkpoint folder, so that a loop's plan stays short.  Only under a
+    local master, as in tests, may ``spark.checkpoint.dir`` be unset: a temporary one is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not folder:
             import tempfile
 
@@ -97,3 +99,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new")))
     return both.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_new")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """``df`` with its rows' numbers from 1 on in ``order``: by ranges, each a task, and the counts of those before."""
+    placed = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    # One row for each range.
+    before = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import expr, geo, kinematics
 from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, mapping, mht, peers, registry, scoring, trackers
 from trackloom.plans.flow import Flow
-from trackloom.sources import simulate, sinks
+from trackloom.sources import framing, simulate, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
 
 QUERIES: dict = {}
@@ -322,26 +322,23 @@ def ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", rnd(major, 6).alias("major"), rnd(nn, 6).alias("nn"), rnd(geo.circular_error(F.col("error_m"), F.lit(3.0)), 6).alias("cep"), geo.track_quality(F.col("error_m")).alias("quality"))
 
 
-@query(f"""WITH {OBS_SQL} SELECT event_id, (lat - 50.0::double) * 10.0::double + (lon + 1.0::double) * 10.0::double < 1.0::double AS inside FROM obs WHERE lat > 50.0::double AND lon > -1.0::double""")
+@query(f"""WITH {OBS_SQL} SELECT event_id, (lat - 49.99995::double) / 0.10035::double + (lon + 1.00005::double) / 0.10005::double < 1.0::double AS inside FROM obs""")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ray casting in a triangle; the SQL states its third side."""
-    corners = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((50.0, -1.0), (50.1, -1.0), (50.0, -0.9))))
-    df = observations(spark, sf_dir).where("lat > 50.0D and lon > -1.0D")
-    at = F.lit(-0.9) + (F.lit(-1.0) - F.lit(-0.9)) * (F.col("lat") - 50.0) / (F.lit(50.1) - 50.0)
-    slanted = F.abs(F.col("lon") - at) < 1e-9
-    inside = geo.inside_polygon(F.col("lat"), F.col("lon"), corners)
-    return df.select("event_id", F.when(slanted, (F.col("lat") - 50.0) * 10.0 + (F.col("lon") + 1.0) * 10.0 < 1.0).otherwise(inside).alias("inside"))
-
-
-@query(f"""WITH RECURSIVE {OBS_SQL}, e AS (SELECT DISTINCT 's' || source_id || '/' || track_key AS t, 'i' || (track_key::bigint % 30) AS i FROM obs WHERE identity IS NOT NULL)
-  SELECT 's' || source_id || '/' || track_key AS track, coalesce(min(m.t), 's' || source_id || '/' || track_key) AS component FROM (SELECT DISTINCT source_id, track_key FROM obs) o
-  LEFT JOIN e ON e.t = 's' || o.source_id || '/' || o.track_key LEFT JOIN e m ON m.i = e.i GROUP BY source_id, track_key""")
+    """Ray casting in a triangle, on whose sides no position lies; the SQL states its third side."""
+    corners = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((49.99995, -1.00005), (50.1003, -1.00005), (49.99995, -0.9))))
+    return observations(spark, sf_dir).select("event_id", geo.inside_polygon(F.col("lat"), F.col("lon"), corners).alias("inside"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT o_orderkey AS t, 'a' || (o_orderkey // 4) AS i FROM orders WHERE o_orderkey % 4 < 3 UNION SELECT o_orderkey, 'b' || ((o_orderkey + 2) // 4) FROM orders WHERE o_orderkey % 20 > 6),
+  r AS (SELECT t, t AS other FROM m UNION SELECT r.t, b.t FROM r JOIN m a ON a.t = r.other JOIN m b ON b.i = a.i)
+  SELECT o_orderkey::varchar AS track, coalesce(min(lpad(r.other::varchar, 12, '0')), lpad(o_orderkey::varchar, 12, '0')) AS component FROM orders LEFT JOIN r ON r.t = o_orderkey GROUP BY o_orderkey""")
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source tracks that share identities are one object."""
-    obs = observations(spark, sf_dir)
-    track = F.concat(F.lit("s"), "source_id", F.lit("/"), "track_key").alias("track")
-    shared = F.when(F.col("identity").isNotNull(), F.concat(F.lit("i"), (F.col("track_key").cast("long") % 30).cast("string"))).alias("identity")
-    return joins.identity_components(obs.select(track, shared).distinct())
+    """Tracks that share identities, through chains of others, are one object."""
+    k = F.col("o_orderkey")
+    name = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    ids = F.array_compact(F.array(F.when(k % 4 < 3, name("a", F.expr("o_orderkey div 4"))), F.when(k % 20 > 6, name("b", F.expr("(o_orderkey + 2) div 4")))))
+    rows = table(spark, sf_dir, "orders").select(F.lpad(k.cast("string"), 12, "0").alias("track"), F.explode_outer(ids).alias("identity"))
+    return joins.identity_components(rows).select(F.col("track").cast("long").cast("string").alias("track"), "component")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS held FROM events""")
@@ -546,17 +543,30 @@ def evidence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair", "t_us", rnd(F.col("sum_ln_lr"), 2).alias("sum_ln_lr"), "comparisons", "n_outside")
 
 
+def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anonymous plots of one radar for every four customers' ships, whose orders are its scans."""
+    o = table(spark, sf_dir, "orders")
+    ship, k = F.col("o_custkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    jitter = lambda n: (F.pmod(F.xxhash64("o_orderkey", F.lit(n)), F.lit(101)) - 50) * 1e-6
+    at = o.select("o_orderkey", ship.alias("truth_id"), k.alias("k"))
+    lat, lon = 54.0 + (F.col("truth_id") % 4) / 100.0 + F.col("k") * 1e-4, F.lit(3.0)
+    return at.select(F.concat(F.lit("radar"), F.expr("truth_id div 4").cast("string")).alias("source_id"), (F.col("k") * 2_500_000).cast("long").alias("t_us"), (lat + jitter(1)).alias("lat"), (lon + jitter(2)).alias("lon"), F.lit(10.0).alias("error_m"), "truth_id", lat.alias("true_lat"), lon.alias("true_lon"))
+
+
 @query()
 def gnn_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks from the anonymous plots of seeded radars, one scan at a time."""
-    return trackers.form_tracks(simulate.plots(spark, targets=12, radars=2, scans=60))
+    """Tracks from anonymous plots, one scan at a time."""
+    return trackers.form_tracks(_plots(spark, sf_dir).select("source_id", "t_us", "lat", "lon", "error_m"))
 
 
 @query()
 def gnn_gospa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GOSPA of the first radar's tracks against the seeded truth (Q3, Q13)."""
-    tracks = trackers.form_tracks(simulate.plots(spark, targets=12, radars=1, scans=60)).where("state = 'confirmed'")
-    return scoring.gospa(simulate.truth(spark, targets=12, scans=60, radar=0), tracks.select("t_us", F.col("track_key").alias("track"), "lat", "lon"))
+    """GOSPA of the tracks of a radar against where its ships are, scan by scan (Q3)."""
+    seen = _plots(spark, sf_dir)
+    tracks = trackers.form_tracks(seen.select("source_id", "t_us", "lat", "lon", "error_m")).where("state = 'confirmed'")
+    moment = lambda df: df.withColumn("t_us", F.xxhash64("source_id", "t_us"))
+    truth = moment(seen).select("t_us", "truth_id", F.col("true_lat").alias("lat"), F.col("true_lon").alias("lon"))
+    return scoring.gospa(truth, moment(tracks).select("t_us", F.col("track_key").alias("track"), "lat", "lon"))
 
 
 # --- analytics (A*, T24-T25, P2) -------------------------------------------------------
@@ -749,40 +759,127 @@ def gospa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.gospa(truth, tracks)
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '(?s)<p[ >].*?</p>')) AS n FROM pages""")
+# --- frames and codecs (F*, C*, O8) -----------------------------------------------------
+
+
+def _chunks(df: DataFrame, stream: str, text: str, size: int) -> DataFrame:
+    """The bytes of a text as they may arrive on a connection: rows (stream, seq, bytes)."""
+    data = F.col(text).cast("binary")
+    seq = F.explode(F.sequence(F.lit(0), F.expr(f"(octet_length({text}) - 1) div {size}")))
+    return df.where(f"octet_length({text}) > 0").withColumn("seq", seq).select(F.col(stream).alias("stream"), "seq", F.substring(data, F.col("seq") * size + 1, F.lit(size)).alias("bytes"))
+
+
+@query("""SELECT page_id::varchar AS stream, (len(html) - len(replace(html, '</p>', ''))) // 4 AS n FROM pages WHERE contains(html, '</p>')""")
 def end_tag_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames by end tag, counted in each page."""
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?s)(<p[ >].*?</p>)"))).cast("long").alias("n"))
+    """Frames by end tag from chunks of each page."""
+    return framing.framed(_chunks(table(spark, sf_dir, "pages"), "page_id", "html", 1000), {"type": "end_tag", "tag": "p"}).groupBy("stream").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END AS line FROM l)
+  SELECT doc_id::varchar AS stream, count(*) AS n, sum(strlen(line))::bigint AS bytes FROM c WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY doc_id""")
+def line_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from chunks of each document; blank ones are none (F2)."""
+    out = framing.framed(_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 777), {"type": "lines"})
+    return out.groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.octet_length("frame")).cast("long").alias("bytes"))
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(text, '. ') AS parts FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(parts[:-2]) AS part FROM p)
+  SELECT doc_id::varchar AS stream, count(*) AS n, sum(strlen(part))::bigint AS bytes FROM l WHERE part <> '' GROUP BY doc_id""")
+def delimiter_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by delimiter from chunks of each document; an unfinished one is none."""
+    out = framing.framed(_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 777), {"type": "delimiter", "delimiter": ". "})
+    return out.groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.octet_length("frame")).cast("long").alias("bytes"))
+
+
+@query("""SELECT kind, user_id::varchar AS stream, row_number() OVER (PARTITION BY kind, user_id ORDER BY event_id) - 1 AS frame_no, event_type AS body FROM events CROSS JOIN (VALUES ('u8'), ('u16'), ('varint'), ('length_field'), ('message')) k(kind)""")
+def counted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their lengths before or in them, across chunks, and datagrams."""
+    events, n, body = table(spark, sf_dir, "events"), F.length("event_type"), F.col("event_type").cast("binary")
+    byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    kinds = {
+        "u8": ({"type": "length_prefixed", "width": "u8"}, F.concat(byte(n), body)), "u16": ({"type": "length_prefixed", "width": "u16"}, F.concat(byte(F.lit(0)), byte(n), body)),
+        "varint": ({"type": "length_prefixed", "width": "varint"}, F.concat(byte(n), body)), "length_field": ({"type": "length_field", "offset": 1, "width": 1}, F.concat(byte(F.lit(126)), byte(n + 2), body)), "message": ({"type": "message"}, body),
+    }
+    out = None
+    for kind, (how, data) in kinds.items():
+        # Each frame comes in two chunks, but for datagrams, which come whole.
+        cuts = [(0, data)] if kind == "message" else [(0, F.substring(data, 1, 3)), (1, F.substring(data, 4, 99))]
+        chunks = events.withColumn("c", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), d.alias("d")) for i, d in cuts)))).select(F.col("user_id").alias("stream"), (F.col("event_id") * 2 + F.col("c.i")).alias("seq"), F.col("c.d").alias("bytes"))
+        text = F.col("frame").cast("string")
+        found = framing.framed(chunks, how).select(F.lit(kind).alias("kind"), "stream", "frame_no", (F.substring(text, 3, 99) if kind == "length_field" else text).alias("body"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def json_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON frames as records, with context of the frame beside them."""
+    frames = table(spark, sf_dir, "events").select(F.format_string('{"n": %d, "list": [{"p": %s}]}', "event_id", "props").alias("frame"))
+    out = framing.records_at(framing.as_json(frames), "list", ("n",))
+    return out.select(F.col("n").cast("long").alias("event_id"), F.try_variant_get("record", "$.p.k", "string").alias("k"))
+
+
+@query("""SELECT n_nationkey::varchar AS id, n_name AS name, n_regionkey::bigint AS region FROM nation""")
+def xml_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML frames by schema: attributes and children."""
+    text = F.format_string('<nation id="%s"><name>%s</name><region>%s</region></nation>', F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
+    out = framing.xml_records(table(spark, sf_dir, "nation").select(text.alias("frame")), "frame", "`@id` string, name string, region long")
+    return out.select(F.col("record.`@id`").alias("id"), "record.name", "record.region")
+
+
+@query(f"""WITH {OBS_SQL} SELECT 'AAA' AS site, event_id AS number, t_us // 1000000 * 1000000 AS t_us, {rsql('lat', 7)} AS lat, {rsql('lon', 7)} AS lon, course, floor(speed * 10.0::double) / 10.0::double AS speed, error_m, domain FROM obs""")
+def report_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports packed to 32 bytes and back."""
+    out = framing.unpacked(framing.packed(observations(spark, sf_dir).select(F.lit("AAA").alias("site"), F.col("event_id").alias("number"), "t_us", "lat", "lon", "course", (F.floor(F.col("speed") * 10.0) / 10.0).alias("speed"), "error_m", "domain")))
+    return out.select("site", "number", "t_us", rnd(F.col("lat"), 7).alias("lat"), rnd(F.col("lon"), 7).alias("lon"), "course", "speed", "error_m", "domain")
 
 
 # --- from source tracks to messages (T10-T18, O*) --------------------------------------
 
 
-def _reports(spark: SparkSession, seconds: int = 90) -> DataFrame:
-    """Two sensors on the same seeded targets, with an identity from one of them for some."""
-    one = simulate.truth(spark, targets=20, scans=seconds // 3, radar=1)
-    row = lambda df, source, noise: df.select(F.xxhash64(F.lit(source), "truth_id", "t_us").alias("event_id"), F.lit(source).alias("source_id"), F.concat(F.lit(source), "truth_id").alias("track_key"), F.col("t_us").cast("long").alias("t_us"), (F.col("lat") + noise * simulate.normal(source, F.col("truth_id"), F.col("t_us"), "y") / geo.METRES_PER_DEGREE).alias("lat"), (F.col("lon") + noise * simulate.normal(source, F.col("truth_id"), F.col("t_us"), "x") / geo.METRES_PER_DEGREE).alias("lon"), "course", "speed", F.lit(noise * geo.CEP_OF_SIGMA).alias("error_m"), F.when(F.col("truth_id") % 4 == 0, F.concat(F.lit("mmsi:"), "truth_id")).alias("identity"), F.lit(0.9).alias("confidence"), F.lit("surface").alias("domain"))
-    return row(one, "ais", 8.0).union(row(one.withColumn("t_us", F.col("t_us") + 1_000_000), "radar", 15.0))
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of two sensors on each customer's ship: orders are moments of a straight course,
+    seen by one sensor with an identity for some and by the other a second later."""
+    o = table(spark, sf_dir, "orders")
+    ship, k = F.col("o_custkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    at = o.select("o_orderkey", ship.alias("ship"), k.alias("k"))
+    row = lambda source, late, shift: at.select(
+        (F.col("o_orderkey") * 2 + late).alias("event_id"), F.lit(source).alias("source_id"), F.col("ship").cast("string").alias("track_key"), ((F.col("k") * 10 + late) * 1_000_000).cast("long").alias("t_us"),
+        (50.0 + (F.col("ship") % 300) / 20.0 + F.col("k") * 1e-4 + shift * F.pmod(F.col("o_orderkey"), F.lit(7)) * 1e-5).alias("lat"), (-1.0 + F.expr("ship div 300") / 20.0).alias("lon"),
+        F.lit(0.0).alias("course"), F.lit(1.1132).alias("speed"), F.lit(10.0 + 5.0 * late).alias("error_m"),
+        F.when((F.lit(late) == 0) & (F.col("ship") % 4 == 0), F.concat(F.lit("mmsi:"), F.col("ship").cast("string"))).alias("identity"), F.lit(0.9).alias("confidence"), F.lit("surface").alias("domain"),
+    )
+    return row("ais", 0, 0).union(row("radar", 1, 1))
 
 
-@query()
+#: Ships with enough comparisons pair; a number follows the first sight, ties in order of the track.
+_SHIPS = """s AS (SELECT o_custkey AS ship, count(*) AS n FROM orders GROUP BY 1),
+  t AS (SELECT 'ais/' || ship AS track, ship, n, 10000000 AS first_us, CASE WHEN ship % 4 = 0 THEN 'mmsi:' || ship END AS identity FROM s UNION ALL SELECT 'radar/' || ship, ship, n, 11000000, NULL FROM s),
+  c AS (SELECT *, CASE WHEN n >= 3 THEN 'ais/' || ship ELSE track END AS head FROM t),
+  u AS (SELECT head, 'AAA' || lpad((row_number() OVER (ORDER BY min(first_us), min_by(track, (first_us, track))))::varchar, 9, '0') AS uid FROM c GROUP BY head)"""
+
+
+@query(f"""WITH {_SHIPS} SELECT track, uid, first_us::bigint AS first_us, identity, n AS reports FROM c JOIN u USING (head)""")
 def system_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source tracks of two sensors correlated into numbered system tracks."""
-    return correlate.system_tracks(_reports(spark))
+    return correlate.system_tracks(_reports(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_SHIPS}, v AS (SELECT uid, count(*) AS contributors, sum(n)::bigint AS reports, max(identity) AS identity FROM c JOIN u USING (head) GROUP BY uid)
+  SELECT uid, contributors, reports, identity, CASE WHEN reports >= 3 THEN 'confirmed' ELSE 'tentative' END AS state, reports >= 3 AS published FROM v""")
 def fused_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published view of every system track."""
-    reports = _reports(spark)
-    return correlate.fused(reports, correlate.system_tracks(reports))
+    """Of every system track its contributors, identity and state."""
+    reports = _reports(spark, sf_dir)
+    return correlate.fused(reports, correlate.system_tracks(reports)).select("uid", "contributors", "reports", "identity", "state", "published")
 
 
-@query()
+@query(f"""WITH {_SHIPS}, v AS (SELECT uid, count(*) AS members, sum(n) AS reports FROM c JOIN u USING (head) GROUP BY uid) SELECT 'track.' || uid AS subject, 'tms-' || uid AS track_id, 'upsert' AS type, members FROM v WHERE reports >= 3""")
 def published_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert messages of the system tracks (O1)."""
-    reports = _reports(spark)
-    return sinks.upserts(correlate.fused(reports, correlate.system_tracks(reports)))
+    reports = _reports(spark, sf_dir)
+    out = sinks.upserts(correlate.fused(reports, correlate.system_tracks(reports)))
+    of = lambda path: F.get_json_object("message", path)
+    return out.select("subject", of("$.track_id").alias("track_id"), of("$.type").alias("type"), F.size(F.from_json(of("$.members"), "array<string>")).cast("long").alias("members"))
 
 
 @query("""SELECT event_id, '<event version="2.0" uid="tms-' || event_id || '" type="a-u-G"' AS head, contains('x', 'x') AS closed FROM events""")
@@ -801,8 +898,8 @@ def crossfix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mht_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks of a seeded radar by hypotheses over several scans."""
-    return mht.form_tracks(simulate.plots(spark, targets=6, radars=2, scans=40, clutter=3))
+    """Tracks from anonymous plots by hypotheses over several scans."""
+    return mht.form_tracks(_plots(spark, sf_dir).select("source_id", "t_us", "lat", "lon", "error_m"))
 
 
 # --- between sites, live counts (T23-T31, A1, A5, A6) ----------------------------------
@@ -856,3 +953,148 @@ def responsibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.when((kind != "own") | (i % 7 > 0), (i % 16).cast("int"))
     rows = observations(spark, sf_dir).select(F.col("track_key").alias("track"), "t_us", "event_id", kind.alias("kind"), F.concat(F.lit("S"), (i % 4).cast("string")).alias("site"), quality.alias("quality"))
     return peers.responsibility(rows, "S2", take_over_us=21_600_000_000).select("track", "event_id", "reporting")
+
+
+# --- identities, messages and scores that are told in plain SQL -------------------------
+
+
+@query(f"""WITH {OBS_SQL} SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN domain END IGNORE NULLS) OVER (PARTITION BY track_key ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS name FROM obs""")
+def sticky_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A track keeps its name where a report has none."""
+    rows = observations(spark, sf_dir).select("event_id", "track_key", "t_us", F.when(F.col("event_id") % 3 == 0, F.col("domain")).alias("name"))
+    return fusion.sticky(rows, ["track_key"], ["t_us", "event_id"], ["name"]).select("event_id", "name")
+
+
+@query("""SELECT lpad((o_orderkey // 5 * 5)::varchar, 9, '0') AS uid, o_custkey AS entity_id FROM orders""")
+def carried_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities pinned to tracks follow chains of merges to the track that goes on."""
+    o = table(spark, sf_dir, "orders")
+    uid = lambda c: F.lpad(c.cast("string"), 9, "0")
+    k = F.col("o_orderkey")
+    merges = spark.range(5).crossJoin(o.select(F.expr("o_orderkey div 5 * 5").alias("first")).distinct()).where("id > 0").select(uid(F.col("first") + F.col("id")).alias("gone"), uid(F.col("first") + F.col("id") - 1).alias("kept"))
+    return correlate.carried_pins(o.select(uid(k).alias("uid"), F.col("o_custkey").alias("entity_id")), merges)
+
+
+@query("""SELECT 'tms-SIA' || lpad(o_orderkey::varchar, 9, '0') AS track_id, 'delete' AS type, CASE WHEN o_orderkey % 2 = 0 THEN 'tms-SIA' || lpad((o_orderkey + 1)::varchar, 9, '0') END AS merged_into FROM orders""")
+def delete_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete messages; a merge names the track that goes on (O2)."""
+    k = F.col("o_orderkey")
+    uid = lambda c: F.concat(F.lit("SIA"), F.lpad(c.cast("string"), 9, "0"))
+    reason = F.when(k % 2 == 0, F.concat(F.lit("merged into "), F.when(k % 4 == 0, "tms-").otherwise(""), uid(k + 1))).otherwise("lost")
+    of = lambda path: F.get_json_object("message", path)
+    out = sinks.deletes(table(spark, sf_dir, "orders").select(uid(k).alias("uid"), F.lit(0).cast("long").alias("t_us"), reason.alias("reason")))
+    return out.select(of("$.track_id").alias("track_id"), of("$.type").alias("type"), of("$.merged_into").alias("merged_into"))
+
+
+@query("""WITH m AS (SELECT CASE max(CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'MACHINERY' THEN 2 ELSE 1 END) WHEN 4 THEN 'SECRET' WHEN 2 THEN 'RESTRICTED' ELSE 'UNCLASSIFIED' END AS label FROM customer)
+  SELECT label || '//' || (SELECT string_agg(DISTINCT 'R' || (c_custkey % 3), '/' ORDER BY 'R' || (c_custkey % 3)) FROM customer) || '//REL TO A, B' AS marking FROM m""")
+def output_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined marking of a whole output."""
+    c = table(spark, sf_dir, "customer")
+    label = F.when(F.col("c_mktsegment") == "BUILDING", "SECRET").when(F.col("c_mktsegment") == "MACHINERY", "RESTRICTED").otherwise("UNCLASSIFIED")
+    sharing = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("A"), F.lit("B"), F.lit("C"))).otherwise(F.array(F.lit("B"), F.lit("A")))
+    return sinks.marked(c.select(label.alias("label"), F.array(F.concat(F.lit("R"), (F.col("c_custkey") % 3).cast("string"))).alias("restrictions"), sharing.alias("sharing")))
+
+
+@query(f"""WITH {OBS_SQL} SELECT event_id, 'Feature' AS type, lon, lat, domain FROM obs""")
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks as GeoJSON features."""
+    of = lambda path: F.get_json_object("feature", path)
+    out = sinks.geojson(observations(spark, sf_dir).select("event_id", "lat", "lon", "domain"))
+    at = F.from_json(of("$.geometry.coordinates"), "array<double>")
+    return out.select(of("$.properties.event_id").cast("long").alias("event_id"), of("$.type").alias("type"), at[0].alias("lon"), at[1].alias("lat"), of("$.properties.domain").alias("domain"))
+
+
+@query("""WITH t AS (SELECT 'seen AAA' || lpad(o_orderkey::varchar, 9, '0') || ' and BBB' || lpad((o_orderkey * 2)::varchar, 9, '0') AS x FROM orders) SELECT max(regexp_extract(x, 'AAA(\\d{9})', 1)::bigint) AS highest FROM t""")
+def highest_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest number of a site named in any text, from which numbering goes on."""
+    k = F.col("o_orderkey")
+    return analytics.highest_uid(table(spark, sf_dir, "orders").select(F.concat(F.lit("seen AAA"), F.lpad(k.cast("string"), 9, "0"), F.lit(" and BBB"), F.lpad((k * 2).cast("string"), 9, "0")).alias("x")), "x", "AAA")
+
+
+@query("""SELECT 'track.' || o_orderkey AS subject FROM orders WHERE o_orderkey % 7 = 0""")
+def stale_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published subjects whose track no longer lives."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("uid"))
+    return correlate.stale_subjects(o.withColumn("subject", F.concat(F.lit("track."), "uid")), o.where("uid % 7 <> 0")).select("subject")
+
+
+@query(f"""WITH {OBS_SQL}, e AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN domain || event_id END AS said FROM obs),
+  h AS (SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY source_id, track_key ORDER BY t_us, CASE WHEN said IS NULL THEN 1 ELSE 0 END, event_id ROWS UNBOUNDED PRECEDING) AS name FROM e)
+  SELECT 'peer:' || source_id AS source_id, track_key, t_us, name FROM h WHERE said IS NULL""")
+def peer_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers' reports with the identity known before."""
+    obs = observations(spark, sf_dir).select(F.col("source_id").alias("site"), F.col("track_key").alias("uid"), "t_us", "lat", "lon", "event_id", "domain")
+    names = obs.where("event_id % 4 = 0").select("site", "uid", "t_us", F.concat("domain", F.col("event_id").cast("string")).alias("name"))
+    return peers.peer_observations(obs.where("event_id % 4 <> 0").drop("event_id", "domain"), names).select("source_id", "track_key", "t_us", "name")
+
+
+@query(f"""WITH {OBS_SQL} SELECT event_id FROM obs WHERE source_id <> 'click'""")
+def own_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The local view is fused from what peers did not send."""
+    peer = F.when(F.col("source_id") == "click", F.concat(F.lit("peer:"), "source_id")).otherwise(F.col("source_id"))
+    return peers.own_sources(observations(spark, sf_dir).withColumn("source_id", peer)).select("event_id")
+
+
+@query("""SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders GROUP BY o_custkey""")
+def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old and new rows of a store, the newest of each key."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
+    return joins.upsert(rows.where("v % 2 = 0"), rows.where("v % 2 = 1"), ["k"], "v")
+
+
+@query(f"""WITH {OBS_SQL}, e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN speed END AS s FROM obs),
+  h AS (SELECT *, last_value(CASE WHEN s IS NOT NULL THEN {{'t': t_us, 'v': s}} END IGNORE NULLS) OVER (PARTITION BY track_key ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS held FROM e)
+  SELECT event_id, coalesce(s, CASE WHEN t_us - held.t <= 7200000000 THEN held.v END) AS speed FROM h""")
+def static_ttl_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a key carried to later reports for two hours at most (M8)."""
+    rows = observations(spark, sf_dir).withColumn("speed", F.when(F.col("event_id") % 3 == 0, F.col("speed")))
+    return joins.last_known(rows, ["track_key"], ["t_us", "event_id"], ["speed"], "t_us", 7_200_000_000).select("event_id", "speed")
+
+
+@query("""WITH p AS (SELECT o_orderkey % 300 AS t_us, o_custkey % 20 AS truth_id, (o_orderkey % 50)::double AS d FROM orders), m AS (SELECT t_us, truth_id, count(*) AS n, sum(d * d) AS sq FROM p GROUP BY ALL)
+  SELECT count(*) / (SELECT count(*) FROM events) AS completeness, sum(n) / count(*) AS ambiguity, ((SELECT count(*) FROM lineitem) - sum(n)) / (SELECT count(*) FROM lineitem) AS spuriousness, floor(sqrt(sum(sq) / sum(n)) * 1e6 + 0.5::double) / 1e6 AS rms_m FROM m""")
+def siap_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness, ambiguity, spuriousness and RMS of pairs (Q4)."""
+    pairs = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 300).alias("t_us"), (F.col("o_custkey") % 20).alias("truth_id"), (F.col("o_orderkey") % 50).cast("double").alias("distance_m"))
+    return scoring.siap(pairs, table(spark, sf_dir, "events"), table(spark, sf_dir, "lineitem")).withColumn("rms_m", rnd(F.col("rms_m"), 6))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_nationkey::bigint AS n FROM customer) SELECT coalesce(a.k, b.k) AS k, a.n AS n_before, b.n AS n_after, b.n - a.n AS n_delta FROM a FULL JOIN b ON a.k = b.k""")
+def run_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs' measures side by side (Q11)."""
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return scoring.deltas(a, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("n")), "k", ["n"])
+
+
+@query(f"""WITH {OBS_SQL}, d AS (SELECT uid, t_us, on_, coalesce(lag(on_) OVER (PARTITION BY uid ORDER BY t_us), false) AS was FROM (
+    SELECT track_key AS uid, t_us * 100000 + event_id AS t_us, CASE WHEN event_id % 11 = 0 THEN event_id % 2 = 0 ELSE confidence > 0.6::double END AS on_ FROM obs))
+  SELECT uid, t_us, CASE WHEN on_ THEN 'publish' ELSE 'withdraw' END AS op FROM d WHERE on_ <> was""".replace("t_us * 100000 + event_id", "t_us // 1000000 * 1000000 + event_id"))
+def publish_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks published and withdrawn, operators' overrides before the policy."""
+    i = F.col("event_id")
+    rows = observations(spark, sf_dir).select(F.col("track_key").alias("uid"), (F.expr("t_us div 1000000 * 1000000") + i).alias("t_us"), F.when(i % 11 == 0, i % 2 == 0).alias("override"), (F.col("confidence") > 0.6).alias("wanted"))
+    return correlate.publish_changes(rows)
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey % 500 AS scan, o_custkey % 7 AS plot, o_orderkey // 500 % 5 AS track, min(o_totalprice) AS d2 FROM orders GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY d2, plot, track) AS k FROM p),
+  g AS (SELECT scan, k, plot, track, d2, true AS kept, [plot] AS plots, [track] AS tracks FROM r WHERE k = 1 UNION ALL
+    SELECT scan, k, plot, track, d2, free, CASE WHEN free THEN list_append(plots, plot) ELSE plots END, CASE WHEN free THEN list_append(tracks, track) ELSE tracks END
+    FROM (SELECT r.*, g.plots, g.tracks, NOT list_contains(g.plots, r.plot) AND NOT list_contains(g.tracks, r.track) AS free FROM g JOIN r ON r.scan = g.scan AND r.k = g.k + 1) x)
+  SELECT scan, plot, track, d2 FROM g WHERE kept""")
+def detection_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots put to tracks, nearest first, one to one in each scan."""
+    pairs = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 500).alias("scan"), (F.col("o_custkey") % 7).alias("plot"), F.expr("o_orderkey div 500 % 5").alias("track")).agg(F.min("o_totalprice").alias("d2"))
+    return correlate.associate(pairs, ["scan"])
+
+
+@query(f"""WITH {OBS_SQL} SELECT event_id, CASE WHEN error_m / 1.1774::double * sqrt(2.0::double) * 100.0::double > 2000.0::double THEN {rsql('error_m / 1.1774::double * 100.0::double', 4)} END AS axis_m,
+  ln(10.0::double) * CASE WHEN event_id % 6 IN (0, 1, 3) THEN 1 ELSE 0 END AS bonus FROM obs""")
+def areas_and_emitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area of a position that is less than a point (K23), and the weight of a shared emitter."""
+    sigma = F.col("error_m") / geo.CEP_OF_SIGMA * 100.0
+    area = geo.area_of(sigma * sigma, F.lit(0.0), sigma * sigma)
+    i = F.col("event_id")
+    emitters = lambda n: F.when(i % n == 0, F.array(F.lit("e1"))).otherwise(F.array(F.concat(F.lit("x"), (i % n).cast("string")), F.lit("e1" if n == 2 else "e3")))
+    return observations(spark, sf_dir).select("event_id", rnd(area["semi_major_m"], 4).alias("axis_m"), kinematics.emitter_bonus(emitters(2), emitters(3)).alias("bonus"))

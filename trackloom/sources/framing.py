@@ -10,6 +10,7 @@ import struct
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,28 @@ def unpack_report(data: bytes) -> dict[str, Any] | None:
     return {"site": site.decode("latin-1").strip(), "number": number, "t_us": t * 1_000_000, "lat": lat / 1e7, "lon": lon / 1e7, "alt": float(alt), "course": course / 100, "speed": speed / 10, "error_m": float(error), "domain": domains[domain] if domain < len(domains) else "unknown"}
 
 
+def packed(reports: DataFrame) -> DataFrame:
+    """Reports (site, number, t_us, lat, lon, ...) as rows (report binary) of 32 bytes."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pack_reports(batch.to_pylist()), pa.binary())], ["report"])
+
+    return reports.mapInArrow(work, "report binary")
+
+
+def unpacked(frames: DataFrame, report: str = "report") -> DataFrame:
+    """The reports in rows of 32 bytes; rows of other lengths or versions are left out."""
+    kinds = {"site": pa.string(), "number": pa.int64(), "t_us": pa.int64(), "lat": pa.float64(), "lon": pa.float64(), "alt": pa.float64(), "course": pa.float64(), "speed": pa.float64(), "error_m": pa.float64(), "domain": pa.string()}
+
+    def work(batches):
+        for batch in batches:
+            rows = [r for b in batch.column(0).to_pylist() if (r := unpack_report(b or b"")) is not None]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(kinds.items())))
+
+    return frames.select(report).mapInArrow(work, "site string, number long, t_us long, lat double, lon double, alt double, course double, speed double, error_m double, domain string")
+
+
 def as_json(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """Frames decoded as JSON to a VARIANT ``record``; those that are none have an ``error``."""
     text = F.col(frame).cast("string")
