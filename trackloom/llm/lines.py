@@ -21,7 +21,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ BUCKETS = 1 << 20
 #: Numbers of lines are below 2^LINE_BITS (a text has fewer bytes), hashes of texts have HASH_BITS, or NULL_BITS in rows without an id.
 LINE_BITS, HASH_BITS, NULL_BITS = 31, 31, 62
 _LAST = (1 << 63) - 1
+#: So many keys of first lines are broadcast at most, some 50 bytes each.
+MOST_HOT = 4096
 _SKETCH = tuple(f"s{k}" for k in range(8))
 #: Ids of so many documents take some 20 MB as a broadcast table.
 MOST_BROADCAST_DOCS = 500_000
@@ -163,65 +164,47 @@ def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: s
     return materialize(found.select("doc", "h", "line", *same).withColumn("id", F.monotonically_increasing_id()))
 
 
-def _heads(c: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (key, doc, h, line, n, id, bitmap) sorted by key and place: the ids a and b of
-    those that may match the first row of their key, and where the first rows are."""
-    key, n, ids, bitmap = c[0], c[4].astype(np.int64), c[5], c[6]
-    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    of = np.repeat(first, np.diff(np.append(first, len(key))))
-    both, least, most = n + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
-    apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
-    keep = (ids != ids[of]) & (least * den >= most * num) & ((both - apart) * (num + den) >= 2 * num * both)
-    a, b = ids[keep], ids[of][keep]
-    return np.minimum(a, b), np.maximum(a, b), first
-
-
 def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a line and a first line that shares a smallest word and about its length.
+    """Pairs of a line and the first line that shares a smallest word and about its length.
 
-    The lines of each batch meet the first one of their key in the batch; only these first
-    ones are shuffled, so a key that a third of all lines have sends few rows to its task.
-    There they come sorted, so that the task holds the first one of a key only.
+    The lines of a key come sorted, so a task holds the first one only, however many there
+    are.  Keys that a sample shows to hold more than 1 / ``MOST_HOT`` of all rows, of which
+    there are at most ``MOST_HOT``, are not dealt to one task each: their first lines are
+    aggregated and broadcast, and their other lines meet them where they are.
     """
     bucket = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
     keyed = lines.select("id", "doc", "h", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m"))
-    names = ["key", "doc", "h", "line", "n", "id", "bitmap"]
-    keyed = keyed.withColumn("key", F.xxhash64("k", "m", bucket)).select(*names)
-    # Pairs that are made before the shuffle go through it with a number of their own as the key.
-    schema = "key long, doc long, h long, line long, n int, id long, bitmap long, a long, b long"
-
-    def made(c: list[np.ndarray], rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none, zero = pa.nulls(len(rows), pa.int64()), np.zeros(len(a), dtype=np.int64)
-        rest = [pa.concat_arrays([pa.array(x[rows]), pa.array(zero.astype(x.dtype))]) for x in c[1:]]
-        key = pa.concat_arrays([pa.array(c[0][rows]), pa.array(mixed(a.view(np.uint64)).view(np.int64))])
-        return pa.RecordBatch.from_arrays([key, *rest, *(pa.concat_arrays([none, pa.array(x)]) for x in (a, b))], [*names, "a", "b"])
-
-    def within(batches):
-        for batch in batches:
-            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            if len(c[0]):
-                order = np.lexsort((c[3], c[2], c[1], c[0]))
-                c = [x[order] for x in c]
-                a, b, first = _heads(c, num, den)
-                yield made(c, first, a, b)
-
-    def across(batches):
+    keyed = keyed.select(F.xxhash64("k", "m", bucket).alias("key"), "doc", "h", "line", "n", "id", "bitmap")
+    some = materialize(keyed.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("rows")))
+    total = some.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(some.where(F.col("rows") > max(8, total // MOST_HOT)).select("key"))
+
+    def work(batches):
         head = None
         for batch in batches:
-            paired = batch.column(7).is_valid()
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(paired) for i in (7, 8)], ["a", "b"])
-            free = pc.invert(paired)
-            c = [batch.column(i).filter(free).to_numpy(zero_copy_only=False) for i in range(7)]
-            if not len(c[0]):
+            key, n, ids, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4, 5, 6))
+            if not len(key):
                 continue
             if head is not None:
-                c = [np.append(h, x) for h, x in zip(head, c, strict=True)]
-            a, b, first = _heads(c, num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            head = [x[first[-1] : first[-1] + 1] for x in c]
-
-    heads = keyed.mapInArrow(within, schema).repartition("key").sortWithinPartitions("key", "doc", "h", "line")
-    return heads.mapInArrow(across, "a long, b long").distinct()
+                key, n, ids, bitmap = (np.append(h, x) for h, x in zip(head, (key, n, ids, bitmap), strict=True))
+            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            of = np.repeat(first, np.diff(np.append(first, len(key))))
+            both, least, most = n.astype(np.int64) + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
+            apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
+            keep = (ids != ids[of]) & (least.astype(np.int64) * den >= most.astype(np.int64) * num) & ((both - apart) * (num + den) >= 2 * num * both)
+            a, b = ids[keep], ids[of][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap)]
+
+    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "h", "line")
+    warm = keyed.join(hot, "key", "left_semi")
+    heads = warm.groupBy("key").agg(F.min_by(F.struct("id", "n", "bitmap"), F.struct("doc", "h", "line")).alias("head"))
+    heads = heads.select("key", F.col("head.id").alias("b"), F.col("head.n").alias("m"), F.col("head.bitmap").alias("bits"))
+    both = F.col("n") + F.col("m")
+    apart = F.bit_count(F.col("bitmap").bitwiseXOR(F.col("bits")))
+    close = (F.least("n", "m") * den >= F.greatest("n", "m") * num) & ((both - apart) * (num + den) >= 2 * num * both)
+    met = warm.join(F.broadcast(heads), "key").where((F.col("id") != F.col("b")) & close).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    return cold.mapInArrow(work, "a long, b long").union(met).distinct()
 
 
 def _meet(num: int, den: int):
