@@ -483,3 +483,26 @@ def test_numbers_follow_the_order(spark):
 
     rows = joins.numbered(spark.range(1000).selectExpr("id * 7 % 1000 as x").repartition(7), ["x"]).collect()
     assert all(r.number == r.x + 1 for r in rows) and len(rows) == 1000
+
+
+def test_splits_and_pairs_kept_apart(spark):
+    """Two tracks of one identity that drive apart are two; so are near ones that an operator keeps apart."""
+    from trackloom.operators import correlate
+
+    def rows(source, key, lat, identity, late=0):
+        return [(i * 2 + late, source, key, (i * 5 + late) * 1_000_000, lat + i * 1e-4, 1.0, 0.0, 2.2264, 10.0, identity, 0.9, "surface") for i in range(12)]
+
+    schema = "event_id long, source_id string, track_key string, t_us long, lat double, lon double, course double, speed double, error_m double, identity string, confidence double, domain string"
+    same = spark.createDataFrame(rows("x", "1", 50.0, "mmsi:1") + rows("y", "2", 50.02, "mmsi:1", 1), schema)
+    assert len({r.uid for r in correlate.system_tracks(same).collect()}) == 2
+    near = spark.createDataFrame(rows("x", "1", 50.0, None) + rows("y", "2", 50.0, None, 1), schema)
+    apart = spark.createDataFrame([("y/2", "x/1")], "a string, b string")
+    assert len({r.uid for r in correlate.system_tracks(near).collect()}) == 1
+    assert len({r.uid for r in correlate.system_tracks(near, apart=apart).collect()}) == 2
+
+
+def test_detections_go_to_the_nearest_track_once(spark):
+    from trackloom.operators import correlate
+
+    pairs = spark.createDataFrame([(1, 1, "a", 2.0), (1, 1, "b", 1.0), (1, 2, "b", 1.0), (1, 2, "a", 3.0), (2, 1, "a", 5.0)], "scan long, plot long, track string, d2 double")
+    assert sorted(map(tuple, correlate.associate(pairs, ["scan"]).collect())) == [(1, 1, "b", 1.0), (1, 2, "a", 3.0), (2, 1, "a", 5.0)]

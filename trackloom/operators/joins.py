@@ -26,8 +26,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def grid_pairs(reports: DataFrame, others: DataFrame, *, max_dt_us: int, cell_deg: float = 0.05, time_col: str = "t_us") -> DataFrame:
-    """Pairs of rows in neighbouring cells and within ``max_dt_us``, columns prefixed a_ and b_.
+def grid_pairs(reports: DataFrame, others: DataFrame, *, max_dt_us: int, cell_deg: float = 0.05, time_col: str = "t_us", earlier: bool = False) -> DataFrame:
+    """Pairs of rows in neighbouring cells and within ``max_dt_us``, columns prefixed a_ and b_;
+    ``earlier``: only those of which b is no later than a, which need fewer slices.
 
     An equi-join: the left side is in its own cell and time slice, the right side is listed
     in the nine cells around it and the two or three slices it can reach.  There is no wrap
@@ -41,8 +42,9 @@ def grid_pairs(reports: DataFrame, others: DataFrame, *, max_dt_us: int, cell_de
     left = left.withColumns({"cy": ay, "cx": ax, "ct": slice_of(F.col(f"a_{time_col}"))})
     right = right.withColumn("cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: by + d)))
     right = right.withColumn("cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bx + d)))
-    right = right.withColumn("ct", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: slice_of(F.col(f"b_{time_col}")) + d)))
-    near = F.abs(F.col(f"a_{time_col}") - F.col(f"b_{time_col}")) <= max_dt_us
+    right = right.withColumn("ct", F.explode(F.transform(F.array(*map(F.lit, (0, 1) if earlier else (-1, 0, 1))), lambda d: slice_of(F.col(f"b_{time_col}")) + d)))
+    apart = F.col(f"a_{time_col}") - F.col(f"b_{time_col}")
+    near = apart.between(0, max_dt_us) if earlier else F.abs(apart) <= max_dt_us
     return left.join(right, ["cy", "cx", "ct"]).where(near).drop("cy", "cx", "ct")
 
 

@@ -32,9 +32,9 @@ def propose(records: DataFrame, text: str, most: int = 1000) -> dict[str, Any]:
     """A mapping for JSON records: targets by name and by fit of their values, and as the key
     the field of most distinct values that is present nearly always.
 
-    The statistics are one row for each path of the first ``most`` records, a probe.
+    The statistics are one row for each path of a probe, the ``most`` records of least hash.
     """
-    sample = records.limit(most)
+    sample = records.orderBy(F.xxhash64(text), text).limit(most)
     total = sample.count()
     stats = {r["path"].removeprefix("$."): r for r in probe(sample, text).collect()}
     fields: dict[str, Any] = {}

@@ -228,7 +228,7 @@ MAX_AGE_US = 180_000_000
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
-    return joins.grid_pairs(obs, obs, max_dt_us=MAX_AGE_US).where("a_source_id <> b_source_id and a_t_us >= b_t_us and a_event_id <> b_event_id")
+    return joins.grid_pairs(obs, obs, max_dt_us=MAX_AGE_US, earlier=True).where("a_source_id <> b_source_id and a_event_id <> b_event_id")
 
 
 PAIRS_SQL = f"""{OBS_SQL}, cells AS (SELECT *, floor(lat / 0.05::double)::int AS cy, floor(lon / 0.05::double)::int AS cx FROM obs),
