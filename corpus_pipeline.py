@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm.common import materialize, read_table
+from trackloom.llm.common import cleared, discard, materialize, read_table
 from trackloom.llm.lines import dedup_lines
 from trackloom.llm.mixing import mixed_documents
 from trackloom.llm.packing import pack
@@ -58,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  What a stage wrote on its way is deleted once its result is
+    written, and so is the stage before's; what the last one reads stays, as its rows are yet to be read."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with cleared(spark) as kept:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

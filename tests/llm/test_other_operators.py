@@ -409,6 +409,17 @@ def test_forest_finds_nearly_all_links_and_none_below(vectors):
     assert {r.n_links for r in got if r.vec_id in (5, 6, 7, 8, 10, 50)} == {0}
 
 
+def test_forest_ties_multiples_and_clashing_columns(spark):
+    """Equal vectors, multiples of one direction and clashing names: links and components are exact."""
+    rng = np.random.default_rng(2)
+    base = [float(np.float32(c)) for c in rng.normal(size=8)]
+    rows = [(i, [c * (1 + i % 50) for c in base], 1) for i in range(300)] + [(300 + i, base, 1) for i in range(40)] + [(400, [-c for c in base], 1), (401, base, 2)]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("kept", F.lit(1)).withColumn("component_id", F.lit("clash")).withColumn("uid", F.lit(0)).repartition(3)
+    for cell_rows in (forest.CELL_ROWS, 16):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_vectors(df, cell_rows=cell_rows).collect()}
+        assert got == {i: (339, 0) for i in range(340)} | {400: (0, 400), 401: (0, 401)}
+
+
 @pytest.mark.parametrize(("size", "cell_rows"), [(1500, forest.CELL_ROWS), (3000, 1024)])
 def test_forest_finds_the_links_of_dense_groups(spark, size, cell_rows):
     """Groups of unequal near vectors (cosines about 0.95) among others, compared in a task and by block tasks."""
@@ -496,6 +507,10 @@ def test_urls(spark):
         (10, "ok.biz"): ("", None, "allow"),
     }
     assert urls.filter_urls(df.limit(0), listed).collect() == []
+    long = "http://pills.biz/a" + "/x" * 500_000
+    far = spark.createDataFrame([(1, long), (1, long), (2, long + "y?q"), (3, "http://" + "h" * 300_000)], "page_id long, url string")
+    known = spark.createDataFrame([(long[7:],)], "url string")
+    assert sorted((r.page_id, r.verdict) for r in urls.filter_urls(far, known).collect()) == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow")]
     assert {r.verdict for r in urls.filter_urls(df, listed.limit(0)).where("rule is null").collect()} == {"allow"}
 
 

@@ -75,3 +75,26 @@ def test_stages(spark, tmp_path):
     assert (ends.shift(fill_value=0) == rows["offset"]).all() and ends.max().max() <= 2048
     assert (rows["piece"] == 0).sum() == len(before)
     assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 2048) + 2
+
+
+def test_run_handles_odd_documents(spark, make, tmp_path):
+    """Nulls in every column, repeated ids and rows, very long and empty texts, extra columns with clashing names."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from trackloom.llm import common
+
+    text = brute("test_text_operators")
+    prose = [" ".join(f"w{(i * 37 + j * j) % 211}" for j in range(20 + i)) for i in range(30)]
+    rows = [(i, t, "abc"[i % 3]) for i, t in enumerate(prose)] + [(3, prose[3], "a"), (3, prose[9] + " unlike", None), (None, prose[4], "b"), (None, None, None), (50, "", "a"), (51, None, "b"), (52, "long " + " ".join(f"v{i}" for i in range(60_000)), "c")]
+    docs = make(rows).withColumn("uid", F.lit("clash")).withColumn("kept", F.col("doc_id")).withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert (first["length"] <= 2048).all() and len(first) and first.groupby("row_id")["start"].min().max() == 0
+    before = len(common._MADE)
+    again = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(str, first[key].values.tolist())) == sorted(map(str, again[key].values.tolist())) and len(common._MADE) - before <= 2
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == [] and text

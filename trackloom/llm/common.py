@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -52,20 +54,36 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table
 
 
-#: Where the tables are that ``materialize`` returned, as long as someone holds them.
+#: Where the tables are that ``materialize`` returned, as long as someone holds them, and all that were made.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_MADE: list[str] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """At the end of the block deletes the tables that ``materialize`` wrote in it, but for
+    those put on the list that it gives.  For work whose result is written within the block."""
+    begin, kept = len(_MADE), []
+    yield kept
+    stay = {_PATHS[table] for table in kept}
+    for path in [path for path in _MADE[begin:] if path not in stay]:
+        _MADE.remove(path)
+        _delete(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and that no later plan reads."""
     for table in tables:
-        _delete(table.sparkSession, _PATHS.pop(table))
+        path = _PATHS.pop(table)
+        _MADE.remove(path)
+        _delete(table.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -154,7 +154,9 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 6,
     Rows link if labels and lengths are equal, labels are not null and the cosine is at
     least ``threshold``.  Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing: no links, component of their own.  Repeated ids are
-    rows of their own; a null id never is the smallest.  The forest may miss pairs (recall
+    rows of their own; a null id never is the smallest.  Equal vectors and those of equal
+    cosines need no order, as links do not depend on one.  Further columns are not read, and
+    those named like the results are no part of it.  The forest may miss pairs (recall
     is measured in the tests); it never links one below the threshold.
     """
     x = F.col(vector_col)

@@ -35,7 +35,7 @@ _LAST = (1 << 63) - 1
 #: So many keys of first lines are broadcast at most, some 50 bytes each.
 MOST_HOT = 4096
 _SKETCH = tuple(f"s{k}" for k in range(8))
-#: Ids of so many documents take some 20 MB as a broadcast table.
+#: Ids and hashes of so many documents take some 40 MB as a broadcast table, the most that is ever sent.
 MOST_BROADCAST_DOCS = 500_000
 _ROUNDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 

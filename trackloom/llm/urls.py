@@ -75,7 +75,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id",
     ``listed`` (url): canonical URLs to block; nulls in it are left out.  A fitting rule
     decides; else block if the page's canonical URL is listed, else allow.  Null URLs and
     those without ``://`` have empty host and path, fit no rule and are allowed.  Rows
-    with equal ids or URLs are judged one by one; empty tables give no rows.
+    with equal ids or URLs are judged one by one; empty tables give no rows.  URLs may be of
+    any length; further columns are not read.
     """
     listed = materialize(listed.select("url").where("url is not null").distinct())
     blocks = max(1, -(-listed.count() * bits_per_url // 256))
@@ -94,12 +95,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id",
     judged = judged.join(table, F.col("at") == F.col("block"), "left")
     judged = judged.withColumn("maybe", F.col("canonical_url").isNotNull() & F.col("said").isNull() & F.coalesce(hit, F.lit(False)))
 
-    out = ("page_id", "host", "path", "rule", "canonical_url")
-    settled = judged.where("not maybe").select(*out, F.coalesce("said", F.lit("allow")).alias("verdict"))
-    exact = listed.select(F.col("url").alias("canonical_url"), F.lit("block").alias("listed"))
-    possible = judged.where("maybe").select(*out).join(exact, "canonical_url", "left")
-    possible = possible.select(*out, F.coalesce("listed", F.lit("allow")).alias("verdict"))
-    return settled.union(possible).select("page_id", "host", "path", "rule", "verdict", "canonical_url")
+    # Possible hits meet the list by URL.  All other rows pass the same join by keys of their
+    # own, so that pages are read once and no key gathers them.
+    exact = listed.select(F.col("url").alias("key"), F.lit(True).alias("maybe"), F.lit("block").alias("listed"))
+    own = F.xxhash64("page_id", "host", "path").cast("string")
+    met = judged.withColumn("key", F.when(F.col("maybe"), F.col("canonical_url")).otherwise(own)).join(exact, ["key", "maybe"], "left")
+    return met.select("page_id", "host", "path", "rule", F.coalesce("said", "listed", F.lit("allow")).alias("verdict"), "canonical_url")
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
