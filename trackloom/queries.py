@@ -845,7 +845,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = o.select("o_orderkey", ship.alias("ship"), k.alias("k"))
     row = lambda source, late, shift: at.select(
         (F.col("o_orderkey") * 2 + late).alias("event_id"), F.lit(source).alias("source_id"), F.col("ship").cast("string").alias("track_key"), ((F.col("k") * 10 + late) * 1_000_000).cast("long").alias("t_us"),
-        (50.0 + (F.col("ship") % 300) / 20.0 + F.col("k") * 1e-4 + shift * F.pmod(F.col("o_orderkey"), F.lit(7)) * 1e-5).alias("lat"), (-1.0 + F.expr("ship div 300") / 20.0).alias("lon"),
+        (50.0 + (F.col("ship") % 100) / 5.0 + F.col("k") * 1e-4 + shift * F.pmod(F.col("o_orderkey"), F.lit(7)) * 1e-5).alias("lat"), (-1.0 + F.expr("ship div 100") / 5.0).alias("lon"),
         F.lit(0.0).alias("course"), F.lit(1.1132).alias("speed"), F.lit(10.0 + 5.0 * late).alias("error_m"),
         F.when((F.lit(late) == 0) & (F.col("ship") % 4 == 0), F.concat(F.lit("mmsi:"), F.col("ship").cast("string"))).alias("identity"), F.lit(0.9).alias("confidence"), F.lit("surface").alias("domain"),
     )
