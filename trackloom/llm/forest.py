@@ -90,6 +90,7 @@ class _Vectors:
         self.raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         self.norms = np.sqrt((self.raw * self.raw).sum(axis=1))
         self.unit = self.raw / self.norms[:, None]
+        self.label = np.arange(len(self.raw))
 
     def linked(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places (i, j) of the linked pairs of ``rows`` x ``others``, of equal ones only i before j."""
@@ -109,9 +110,25 @@ class _Vectors:
                 yield self.frame(*self.linked(x, y))
 
     def frame(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        self._connect(i, j)
         uid, n = self.uid, self.n
         i, j = np.where(uid[i] < uid[j], i, j), np.where(uid[i] < uid[j], j, i)
-        return pd.DataFrame({"a": uid[i], "b": uid[j], "na": n[i], "nb": n[j]})
+        return pd.DataFrame({"a": uid[i], "b": uid[j], "na": n[i], "nb": n[j], "star": False})
+
+    def _connect(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Each vector's label becomes the least that its links reach."""
+        while len(i):
+            x, y = self.label[i], self.label[j]
+            apart = x != y
+            i, j, low, high = i[apart], j[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            np.minimum.at(self.label, high, low)
+            while (self.label != self.label[self.label]).any():
+                self.label = self.label[self.label]
+
+    def stars(self) -> pd.DataFrame:
+        """What the links connect, as a row for each vector instead of one for each link."""
+        v = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return pd.DataFrame({"a": self.uid[self.label[v]], "b": self.uid[v], "na": 0, "nb": 0, "star": True})
 
 
 def _grow(seed: int, threshold: float):
@@ -134,6 +151,7 @@ def _grow(seed: int, threshold: float):
             pairs.update((np.minimum(i, j) * total + np.maximum(i, j)).tolist())
         found = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         yield x.frame(found // total, found % total)
+        yield x.stars()
 
     return work
 
@@ -144,6 +162,7 @@ def _meet(threshold: float):
         x, block = _Vectors(pdf, threshold), pdf["block"].to_numpy()
         left, right = np.nonzero(block == key[2])[0], np.nonzero(block == key[3])[0]
         yield from x.blocks(left, None if key[2] == key[3] else right)
+        yield x.stars()
 
     return work
 
@@ -168,7 +187,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 6,
 
     cells = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("cell", F.xxhash64("label", F.size("v"))).select("tree", "cell", "uid", "n", "v")
     cells, whole = _split_large(cells, seed, cell_rows, threshold)
-    made = "a long, b long, na long, nb long"
+    made = "a long, b long, na long, nb long, star boolean"
     pairs = cells.groupBy("tree", "cell").applyInPandas(_grow(seed, threshold), made)
     if not whole.isEmpty():
         # Block i meets the blocks from i on: every row goes to as many tasks as there are blocks.
@@ -178,8 +197,9 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 6,
         pairs = pairs.union(dealt.groupBy("tree", "cell", "i", "j").applyInPandas(_meet(threshold), made))
     pairs = materialize(pairs.distinct())
 
-    links = pairs.select(F.col("a").alias("uid"), F.col("nb").alias("others")).union(pairs.select("b", "na")).groupBy("uid").agg(F.sum("others").alias("others"))
-    linked = components(pairs.select("a", "b")).select(F.col("id").alias("uid"), "component")
+    links = pairs.where("not star").select(F.col("a").alias("uid"), F.col("nb").alias("others")).union(pairs.where("not star").select("b", "na")).groupBy("uid").agg(F.sum("others").alias("others"))
+    # Components grow from the stars: in a dense group links are as many as the square of its size.
+    linked = components(pairs.where("star").select("a", "b")).select(F.col("id").alias("uid"), "component")
     classes = reps.join(links, "uid", "left").join(linked, "uid", "left")
     classes = materialize(classes.select("label", "v", F.coalesce("component", "uid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     placed = materialize(usable.join(classes, ["label", "v"]).select("vec_id", "component", "n_links"))
