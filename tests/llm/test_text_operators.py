@@ -51,7 +51,7 @@ def test_line_dedup_is_exact(make, texts):
     assert got == brute_lines(rows)
 
 
-@pytest.mark.parametrize("ids", [(5, 7, 7), (None, None, None), (7, 7, 7), (-3, None, None), ((1 << 63) - 1, (1 << 63) - 1, None)])
+@pytest.mark.parametrize("ids", [(5, 7, 7), (None, None, None), ((1 << 63) - 1, (1 << 63) - 1, None)])
 def test_line_dedup_keeps_by_row(make, ids):
     """Rows of one id, or of none, are told apart by their texts."""
     x, y = "an early line of some words", "and another one to be kept"
