@@ -17,6 +17,8 @@ the words at that place of the source's text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -89,12 +91,19 @@ def _paths(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(work, "doc long, edge long, h1 long, h2 long, s long, t long, lo int, n int")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Shorter batches, so that few texts are open at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """``docs`` with text compressed for a shuffle; null stays null."""
 
     def work(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index("text")
             texts = [None if t is None else press.compress(t.encode()) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
@@ -112,7 +121,7 @@ def _windows(docs: DataFrame, open_paths: DataFrame, window: int) -> DataFrame:
     """Rows (doc, at, h1, h2, s, t): every window of the given packed edges (doc, lo, n)."""
 
     def work(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             wanted = batch.column(2).to_pylist()
             for row, words in batches_of(_unpacked(batch.column(1))):
                 text, at = [], []
@@ -201,9 +210,9 @@ def _said(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def work(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in _slices(batches):
             wanted = batch.column(2).to_pylist()
-            for row, words in batches_of(_unpacked(batch.column(1)), 1 << 22):
+            for row, words in batches_of(_unpacked(batch.column(1)), 1 << 20):
                 which, at, size, said = [], [], [], []
                 starts, ends, data = words.starts, words.ends, words.bytes.tobytes()
                 for t in range(len(words.offsets) - 1):
@@ -244,9 +253,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, k: int = K, id_col: str
 
     def cut(batches):
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             found = batch.column(2)
-            for row, words in batches_of(_unpacked(batch.column(1)), 1 << 22):
+            for row, words in batches_of(_unpacked(batch.column(1)), 1 << 20):
                 n = len(words.offsets) - 1
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 own = found.slice(row, n)
