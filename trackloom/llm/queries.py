@@ -10,6 +10,7 @@ from trackloom.llm.quality import op3_quality
 from trackloom.llm.secrets import BASE_SQL, op4_secrets, secrets_base
 from trackloom.llm.simhash import op8_simhash
 from trackloom.llm.substrings import OP6_SQL, op6_substrings
+from trackloom.llm.trie import OP13_SQL, op13_trie
 from trackloom.llm.topk import OP9_SQL, op9_topk
 from trackloom.llm.urls import OP7_SQL, op7_urls
 
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
+    "op13_trie": op13_trie,
     # Of operators that SQL cannot tell in whole, what it can.
     "mixing_targets": mixing_targets,
     "secrets_base": secrets_base,
 }
-SQL = {"op1_lines": OP1_SQL, "op5_embeddings": OP5_SQL, "op6_substrings": OP6_SQL, "op7_urls": OP7_SQL, "op9_topk": OP9_SQL, "mixing_targets": TARGETS_SQL, "secrets_base": BASE_SQL}
+SQL = {"op13_trie": OP13_SQL, "op1_lines": OP1_SQL, "op5_embeddings": OP5_SQL, "op6_substrings": OP6_SQL, "op7_urls": OP7_SQL, "op9_topk": OP9_SQL, "mixing_targets": TARGETS_SQL, "secrets_base": BASE_SQL}
