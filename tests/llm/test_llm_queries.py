@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -34,7 +35,12 @@ def docs(duck):
 
 
 def rows(pdf):
-    plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else v.item() if isinstance(v, np.generic) else v
+    def plain(v):
+        v = v.item() if isinstance(v, np.generic) else v
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
+            return None
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
     names = sorted(pdf.columns)
     return names, sorted((tuple(map(plain, r)) for r in pdf[names].astype(object).itertuples(index=False, name=None)), key=repr)
 

@@ -6,6 +6,7 @@ from trackloom.llm.forest import OP5_SQL, op5_embeddings
 from trackloom.llm.lines import OP1_SQL, op1_lines
 from trackloom.llm.mixing import TARGETS_SQL, mixing_targets, op2_mixing
 from trackloom.llm.packing import op10_packing
+from trackloom.llm.phrases import OP12_SQL, op12_phrases
 from trackloom.llm.quality import op3_quality
 from trackloom.llm.secrets import BASE_SQL, op4_secrets, secrets_base
 from trackloom.llm.simhash import op8_simhash
@@ -25,9 +26,10 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
+    "op12_phrases": op12_phrases,
     "op13_trie": op13_trie,
     # Of operators that SQL cannot tell in whole, what it can.
     "mixing_targets": mixing_targets,
     "secrets_base": secrets_base,
 }
-SQL = {"op13_trie": OP13_SQL, "op1_lines": OP1_SQL, "op5_embeddings": OP5_SQL, "op6_substrings": OP6_SQL, "op7_urls": OP7_SQL, "op9_topk": OP9_SQL, "mixing_targets": TARGETS_SQL, "secrets_base": BASE_SQL}
+SQL = {"op12_phrases": OP12_SQL, "op13_trie": OP13_SQL, "op1_lines": OP1_SQL, "op5_embeddings": OP5_SQL, "op6_substrings": OP6_SQL, "op7_urls": OP7_SQL, "op9_topk": OP9_SQL, "mixing_targets": TARGETS_SQL, "secrets_base": BASE_SQL}
