@@ -221,7 +221,7 @@ def test_clusters():
     [
         ({"type": "lines"}, b"a\r\n\n b\nc", [b"a", b" b", b"c"]), ({"type": "delimiter", "delimiter": "|"}, b"a|b||c|", [b"a", b"b", b"c"]), ({"type": "length_prefix", "width": "u16"}, b"\x00\x02hi\x00\x01x\x00\x09", [b"hi", b"x"]),
         ({"type": "length_prefix", "width": "varint"}, b"\x02hi\x80\x01" + b"z" * 128, [b"hi", b"z" * 128]), ({"type": "length_field", "offset": 1, "width": 1, "adjust": 0}, b"T\x04abT\x03c", [b"T\x04ab", b"T\x03c"]),
-        ({"type": "end_tag", "tag": "e"}, b"noise<e>1</e> <e>2</e><e>", [b"<e>1</e>", b"<e>2</e>"]), ({"type": "lines", "max_len": 3}, b"abcdef\nxy\n", [None, b"xy"]),
+        ({"type": "end_tag", "tag": "</e>"}, b"noise<e>1</e> <e>2</e><e>", [b"<e>1</e>", b"<e>2</e>"]), ({"type": "lines", "max_len": 3}, b"abcdef\nxy\n", [None]),
     ],
 )
 def test_framing_across_chunks(spark, spec, data, want):
@@ -233,11 +233,47 @@ def test_framing_across_chunks(spark, spec, data, want):
         assert [None if r.frame is None else bytes(r.frame) for r in got] == want
 
 
+#: Chunks and what comes of them, errors by name: as the framing rules say, case by case.
+FRAMES = [
+    ({"type": "lines", "max_len": 100}, [b'{"a":1}\r\n{"b"', b':2}\n\n  \n{"c":3}'], [b'{"a":1}', b'{"b":2}']),
+    ({"type": "end_tag", "tag": "</event>", "max_len": 1000}, [b'\n<event uid="a"/></eve', b'nt>  <event uid="b"></event>'], [b'<event uid="a"/></event>', b'<event uid="b"></event>']),
+    ({"type": "delimiter", "delimiter": "\\x03", "max_len": 100}, [b"one\x03two\x03\x03thr", b"ee\x03"], [b"one", b"two", b"three"]),
+    ({"type": "delimiter", "delimiter": "\\n"}, [b"a\nb\n"], [b"a", b"b"]),
+    ({"type": "delimiter", "delimiter": "\\xFF\\x80"}, [b"a\xffb\xff\x80c"], [b"a\xffb"]),
+    ({"type": "delimiter", "delimiter": "→"}, ["x→y→".encode()], [b"x", b"y"]),
+    ({"type": "delimiter", "delimiter": "\\q\\xZ1"}, [b"a\\q\\xZ1b"], [b"a"]),
+    ({"type": "length_prefix", "width": "u16", "endian": "big", "max_len": 100}, [b"\x00\x03ab", b"c\x00\x02de"], [b"abc", b"de"]),
+    ({"type": "length_prefix", "width": "u32", "endian": "little", "max_len": 100}, [b"\x02\x00\x00\x00hi"], [b"hi"]),
+    ({"type": "length_prefix", "width": "varint", "max_len": 1000}, [b"\xac\x02" + b"x" * 300], [b"x" * 300]),
+    ({"type": "length_prefix", "width": "u8"}, [b"\x00\x01a"], [b"", b"a"]),
+    ({"type": "length_prefix", "width": "varint"}, [b"\xff" * 9, b"\xff", b"\x01a"], ["bad_varint", b"a"]),
+    ({"type": "lines", "max_len": 4}, [b"toolong\nnot seen\n", b"ok\n"], ["too_long", b"ok"]),
+    ({"type": "length_field", "offset": 2, "width": "u32", "max_len": 1000}, [b"30\x00\x00\x00", b"\x08ab30\x00", b"\x00\x00\x07c", b"30\x00\x00\x00\x02", b"30\x00\x00\x00\x06"], [b"30\x00\x00\x00\x08ab", b"30\x00\x00\x00\x07c", "bad_length", b"30\x00\x00\x00\x06"]),
+    ({"type": "length_field", "offset": 1, "width": 1}, [b"\x09\x00\x09\x03\x07"], ["bad_length"]),
+    ({"type": "message"}, [b"a\nb", b"c"], [b"a\nb", b"c"]),
+]
+
+
+@pytest.mark.parametrize("spec,chunks,want", FRAMES)
+def test_frames_case_by_case(spec, chunks, want):
+    got, rest = [], b""
+    for chunk in chunks:
+        frames, rest = framing.cut(spec, rest + chunk)
+        got += [frame if error is None else error for frame, error in frames]
+    assert got == want
+
+
+def test_delimiters_are_not_empty():
+    for spec in ({"type": "delimiter", "delimiter": ""}, {"type": "end_tag", "tag": ""}):
+        with pytest.raises(ValueError):
+            framing.cut(spec, b"abc")
+
+
 def test_framing_never_fails_on_noise():
     rng = random.Random(3)
     for _ in range(400):
         data = bytes(rng.randrange(256) for _ in range(rng.randrange(60)))
-        for spec in ({"type": "length_prefix", "width": "u8"}, {"type": "length_prefix", "width": "varint"}, {"type": "length_field", "offset": 0, "width": 2, "max_len": 50}, {"type": "end_tag", "tag": "x"}):
+        for spec in ({"type": "length_prefix", "width": "u8"}, {"type": "length_prefix", "width": "varint"}, {"type": "length_field", "offset": 0, "width": 2, "max_len": 50}, {"type": "end_tag", "tag": "</x>"}, {"type": "lines", "max_len": 9}, {"type": "delimiter", "delimiter": "\\x00"}):
             frames, rest = framing.cut(spec, data)
             assert len(rest) <= len(data) and all((f is None) == (e is not None) for f, e in frames)
 
@@ -292,16 +328,16 @@ def test_reject_and_extension(spark):
 
 
 def test_two_sensors_become_one_track_each(spark):
-    from trackloom import queries
     from trackloom.operators import correlate
     from trackloom.sources import sinks
 
-    reports = queries._reports(spark)
+    seen = simulate.load(spark, tracks=20, seconds=40).withColumns({"identity": F.lit(None).cast("string"), "confidence": F.lit(0.9)})
+    reports = seen.union(seen.withColumns({"source_id": F.lit("other"), "event_id": F.col("event_id") + 10**6, "t_us": F.col("t_us") + 500_000}))
     assigned = correlate.system_tracks(reports).collect()
     groups = {}
     for r in assigned:
-        groups.setdefault(r.uid, set()).add(r.track.split("/")[1].removeprefix("ais").removeprefix("radar"))
-    assert len(assigned) == 40 and all(len(g) == 1 for g in groups.values()) and len(groups) <= 22
+        groups.setdefault(r.uid, set()).add(r.track.split("/")[1])
+    assert len(assigned) == 40 and all(len(g) == 1 for g in groups.values()) and len(groups) == 20
     again = correlate.system_tracks(reports.repartition(7)).collect()
     assert sorted(map(tuple, assigned)) == sorted(map(tuple, again))
     gone = spark.createDataFrame([("AAA000000002", 5, "merged into tms-AAA000000001"), ("AAA000000003", 5, "lost")], "uid string, t_us long, reason string")
@@ -379,6 +415,36 @@ def test_responsibility_claims_and_yields(spark):
     assert [r["reporting"] for r in got] == [True, True, True, False, False, True, True, True, True, False, True, False, False, True]
 
 
+#: Site, events (seconds, kind, site, quality) and whether the site reports after each.
+REPORTERS = [
+    ("BBB", [(0, "own", None, 3)], [True]), ("BBB", [(0, "own", None, None)], [False]),
+    ("BBB", [(0, "heard", "AAA", 9), (1, "own", None, 10), (2, "own", None, 11)], [False, False, True]),
+    ("AAA", [(0, "own", None, 9), (1, "heard", "BBB", 9), (2, "own", None, 9), (3, "heard", "BBB", 10)], [True, True, True, False]),
+    ("BBB", [(0, "own", None, 9), (1, "heard", "AAA", 9), (2, "own", None, 9)], [True, False, False]),
+    ("BBB", [(0, "heard", "AAA", 12), (12, "own", None, 5), (24, "own", None, 5)], [False, False, True]),
+    ("BBB", [(0, "heard", "AAA", 12), (1, "released", "AAA", None), (2, "heard", "AAA", 12), (3, "own", None, 5)], [False, False, False, True]),
+    ("BBB", [(0, "own", None, 5), (1, "own", None, None)], [True, False]),
+    # A lower site does not take a better one's place; the better one's own next report does, even a worse one.
+    ("S2", [(0, "heard", "S1", 15), (1, "heard", "S3", 3), (2, "own", None, 6)], [False, False, False]),
+    ("S2", [(0, "heard", "S1", 15), (1, "heard", "S1", 3), (2, "own", None, 6)], [False, False, True]),
+    # The better one falls silent; what was heard of others meanwhile is not kept.
+    ("S2", [(0, "heard", "S1", 15), (20, "heard", "S3", 9), (25, "own", None, 6), (26, "heard", "S3", 9)], [False, False, True, False]),
+    # Only the last release counts.
+    ("S2", [(0, "released", "S1", None), (1, "released", "S3", None), (2, "heard", "S1", 9), (3, "own", None, 6)], [False, False, False, False]),
+]
+
+
+def test_reporters_case_by_case(spark):
+    from trackloom.operators import peers
+
+    for me in {m for m, _, _ in REPORTERS}:
+        cases = [(i, e, w) for i, (m, e, w) in enumerate(REPORTERS) if m == me]
+        rows = [(str(i), t * 1_000_000, n, kind, site, q) for i, events, _ in cases for n, (t, kind, site, q) in enumerate(events)]
+        df = spark.createDataFrame(rows, "track string, t_us long, event_id long, kind string, site string, quality int")
+        got = {(r.track, r.event_id): r.reporting for r in peers.responsibility(df, me).collect()}
+        assert got == {(str(i), n): x for i, _, want in cases for n, x in enumerate(want)}
+
+
 def test_peer_reports_take_the_identity_known_before(spark):
     from trackloom.operators import peers
 

@@ -772,11 +772,11 @@ def _chunks(df: DataFrame, stream: str, text: str, size: int) -> DataFrame:
 @query("""SELECT page_id::varchar AS stream, (len(html) - len(replace(html, '</p>', ''))) // 4 AS n FROM pages WHERE contains(html, '</p>')""")
 def end_tag_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames by end tag from chunks of each page."""
-    return framing.framed(_chunks(table(spark, sf_dir, "pages"), "page_id", "html", 1000), {"type": "end_tag", "tag": "p"}).groupBy("stream").agg(F.count("*").alias("n"))
+    return framing.framed(_chunks(table(spark, sf_dir, "pages"), "page_id", "html", 1000), {"type": "end_tag", "tag": "</p>"}).groupBy("stream").agg(F.count("*").alias("n"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END AS line FROM l)
-  SELECT doc_id::varchar AS stream, count(*) AS n, sum(strlen(line))::bigint AS bytes FROM c WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY doc_id""")
+  SELECT doc_id::varchar AS stream, count(*) AS n, sum(strlen(line))::bigint AS bytes FROM c WHERE trim(line, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> '' GROUP BY doc_id""")
 def line_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines from chunks of each document; blank ones are none (F2)."""
     out = framing.framed(_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 777), {"type": "lines"})
@@ -938,14 +938,20 @@ def peer_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.admitted(rows, me="S0", trusted=["S1", "S2", "S3"]).groupBy(F.coalesce("refused", F.lit("let in")).alias("refused")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {OBS_SQL}, e AS (SELECT track_key AS track, t_us, event_id, CASE WHEN event_id % 3 = 0 THEN 'heard' WHEN event_id % 41 = 0 THEN 'released' ELSE 'own' END AS kind, 'S' || (event_id % 4) AS site, (event_id % 16)::int AS quality FROM obs),
-  g AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t_us, event_id) AS no, last_value(CASE WHEN kind = 'released' THEN t_us END IGNORE NULLS) OVER (PARTITION BY track, site ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS gave FROM e),
-  h AS (SELECT *, kind = 'heard' AND NOT coalesce(t_us - gave < 21600000000, false) AS heard FROM g),
-  l AS (SELECT *, last_value(CASE WHEN heard THEN {{'no': no, 'site': site, 'q': quality, 't': t_us}} END IGNORE NULLS) OVER w AS them, last_value(CASE WHEN kind = 'own' THEN {{'q': CASE WHEN event_id % 7 > 0 THEN quality END}} END IGNORE NULLS) OVER w AS me FROM h WINDOW w AS (PARTITION BY track ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)),
-  k AS (SELECT *, last_value(CASE WHEN kind = 'released' AND site = them.site THEN no END IGNORE NULLS) OVER (PARTITION BY track ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS left_no FROM l),
-  s AS (SELECT *, CASE WHEN heard AND (me IS NULL OR me.q IS NULL OR them.q > me.q OR (them.q = me.q AND them.site < 'S2')) THEN false WHEN kind <> 'own' THEN NULL WHEN me.q IS NULL THEN false
-    WHEN them IS NULL OR t_us - them.t >= 21600000000 OR coalesce(left_no, 0) > them.no OR me.q >= them.q + 2 THEN true WHEN them.q > me.q OR (them.q = me.q AND them.site < 'S2') THEN false END AS says FROM k)
-  SELECT track, event_id, coalesce(last_value(says IGNORE NULLS) OVER (PARTITION BY track ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING), false) AS reporting FROM s""")
+#: Event by event: the rival (site, quality, time) that stands, the last release, the own view, and who reports.
+@query(f"""WITH RECURSIVE {OBS_SQL}, e AS (SELECT track_key AS track, t_us, event_id, CASE WHEN event_id % 3 = 0 THEN 'heard' WHEN event_id % 41 = 0 THEN 'released' ELSE 'own' END AS kind, 'S' || (event_id % 4) AS site,
+    CASE WHEN event_id % 3 = 0 OR event_id % 41 = 0 OR event_id % 7 > 0 THEN (event_id % 16)::int END AS q, row_number() OVER (PARTITION BY track_key ORDER BY t_us, event_id) AS n FROM obs),
+  s(track, n, event_id, rs, rq, rt, ls, lt, mine, reporting) AS (
+    SELECT DISTINCT track, 0::bigint, NULL::bigint, NULL::varchar, NULL::int, NULL::bigint, NULL::varchar, NULL::bigint, NULL::int, false FROM e
+    UNION ALL
+    SELECT e.track, e.n, e.event_id, CASE WHEN takes THEN e.site WHEN frees THEN NULL ELSE rs END, CASE WHEN takes THEN e.q WHEN frees THEN NULL ELSE rq END, CASE WHEN takes THEN e.t_us WHEN frees THEN NULL ELSE rt END,
+      CASE WHEN kind = 'released' THEN e.site ELSE ls END, CASE WHEN kind = 'released' THEN e.t_us ELSE lt END, CASE WHEN kind = 'own' THEN e.q ELSE mine END,
+      CASE WHEN counts AND (mine IS NULL OR e.q > mine OR (e.q = mine AND e.site < 'S2')) THEN false WHEN kind <> 'own' THEN reporting WHEN e.q IS NULL THEN false WHEN NOT live THEN true
+        WHEN reporting THEN NOT (rq > e.q OR (rq = e.q AND rs < 'S2')) ELSE e.q >= rq + 2 END
+    FROM s JOIN e ON e.track = s.track AND e.n = s.n + 1,
+      LATERAL (SELECT coalesce(e.t_us - rt < 21600000000, false) AS live, kind = 'heard' AND NOT coalesce(ls = e.site AND e.t_us - lt < 21600000000, false) AS counts, kind = 'released' AND coalesce(rs = e.site, false) AS frees),
+      LATERAL (SELECT counts AND (NOT live OR rs = e.site OR e.q > rq OR (e.q = rq AND e.site < rs)) AS takes))
+  SELECT track, event_id, reporting FROM s WHERE n > 0""")
 def responsibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who reports each track, as one site decides it from what it hears."""
     i = F.col("event_id")

@@ -6,6 +6,7 @@ so each stream is a fold over its chunks, which carries the unfinished rest.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from typing import Any
@@ -16,61 +17,115 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.folds import Fold, run
 
-TOO_LONG = "too_long"
+TOO_LONG, BAD_LENGTH, BAD_VARINT = "too_long", "bad_length", "bad_varint"
 Frame = tuple[bytes | None, str | None]
 
 
-def cut(framing: dict[str, Any], rest: bytes) -> tuple[list[Frame], bytes]:
-    """Whole frames in ``rest`` and what is left; an oversize frame is an error and clears the buffer."""
+class Broken(Exception):
+    """Bytes that cannot be a frame; what is buffered of the stream is dropped."""
+
+
+_ESCAPE = re.compile(r"\\(x.{0,2}|.)?", re.DOTALL)
+
+
+def unescaped(delimiter: str) -> bytes:
+    """A delimiter as configured: ``\\n``, ``\\r``, ``\\t``, ``\\0``, ``\\\\`` and ``\\xHH`` stand for
+    their bytes, any other escape for itself."""
+
+    def byte(found: re.Match) -> str:
+        said = found[1] or ""
+        if re.fullmatch("x[0-9a-fA-F]{2}", said):
+            return chr(0xDC00 + int(said[1:], 16))
+        return {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "\\": "\\"}.get(said, found[0])
+
+    # Bytes above 0x7F travel as lone surrogates; lower ones as themselves.
+    plain = _ESCAPE.sub(byte, delimiter)
+    return b"".join(bytes([ord(c) - 0xDC00]) if 0xDC00 <= ord(c) <= 0xDCFF else c.encode() for c in plain)
+
+
+def _within(size: int, most: int) -> None:
+    if size > most:
+        raise Broken(TOO_LONG)
+
+
+def _next(framing: dict[str, Any], data: bytes, at: int) -> tuple[int, int, int] | None:
+    """(first byte, end, where to go on) of the next frame from ``at`` on; none yet: None.
+    A frame that is to be skipped is empty.  Raises ``Broken``."""
     kind, most = framing["type"], framing.get("max_len", 1 << 20)
-    frames: list[Frame] = []
-    if kind == "message":
-        return ([(rest, None)] if rest else []), b""
     if kind in ("lines", "delimiter"):
-        mark = b"\n" if kind == "lines" else bytes(framing["delimiter"], "latin-1")
-        *whole, rest = rest.split(mark)
-        for part in whole:
-            if kind == "lines":
-                part = part.removesuffix(b"\r")
-            if part.strip() or (kind == "delimiter" and part):
-                frames.append((part, None) if len(part) <= most else (None, TOO_LONG))
-    elif kind == "end_tag":
-        end = f"</{framing['tag']}>".encode()
-        while (at := rest.find(end)) >= 0:
-            part, rest = rest[: at + len(end)], rest[at + len(end) :]
-            start = part.find(b"<")
-            frames.append((part[start:], None) if len(part) <= most else (None, TOO_LONG))
-    else:
-        while (found := _counted(framing, rest)) is not None:
-            head, size = found
-            if size > most:
-                return [*frames, (None, TOO_LONG)], b""
-            if len(rest) < head + size:
-                break
-            keep = 0 if kind == "length_field" else head
-            frames.append((rest[keep : head + size], None))
-            rest = rest[head + size :]
-    if len(rest) > most:
-        return [*frames, (None, TOO_LONG)], b""
-    return frames, rest
+        mark = b"\n" if kind == "lines" else framing["_mark"]
+        end = data.find(mark, at)
+        if end < 0:
+            _within(len(data) - at, most)
+            return None
+        stop = end - (kind == "lines" and end > at and data[end - 1] == 0x0D)
+        _within(stop - at, most)
+        blank = kind == "lines" and not data[at:stop].strip(b" \t\n\f\r")
+        return at, at if blank else stop, end + len(mark)
+    if kind == "end_tag":
+        start, tag = data.find(b"<", at), framing["tag"].encode()
+        if start < 0:
+            return len(data), len(data), len(data)
+        end = data.find(tag, start)
+        if end < 0:
+            _within(len(data) - start, most)
+            return None if start == at else (start, start, start)
+        _within(end + len(tag) - start, most)
+        return start, end + len(tag), end + len(tag)
+    found = _counted(framing, data[at : at + framing.get("offset", 0) + 10])
+    if found is None:
+        return None
+    head, size = found
+    _within(size, most)
+    end = at + head + size
+    return (at + head, end, end) if end <= len(data) else None
+
+
+def cut(framing: dict[str, Any], rest: bytes) -> tuple[list[Frame], bytes]:
+    """Whole frames in ``rest`` and what is left.  What cannot be a frame, or is too long, is an
+    error and drops all that is buffered, so that the stream goes on with what comes next."""
+    if framing["type"] == "message":
+        return ([(rest, None)] if rest else []), b""
+    if framing["type"] == "delimiter":
+        framing = {**framing, "_mark": unescaped(framing["delimiter"])}
+    if not framing.get("_mark", b"x") or not framing.get("tag", "x"):
+        raise ValueError("a delimiter or tag is not empty")
+    frames: list[Frame] = []
+    at = 0
+    try:
+        while at < len(rest) and (found := _next(framing, rest, at)) is not None:
+            start, end, at = found
+            # A length before a frame may be zero; between delimiters and in lines nothing is no frame.
+            if end > start or framing["type"] in ("length_prefix", "length_prefixed"):
+                frames.append((rest[start:end], None))
+    except Broken as error:
+        return [*frames, (None, str(error))], b""
+    return frames, rest[at:]
 
 
 def _counted(framing: dict[str, Any], rest: bytes) -> tuple[int, int] | None:
     """(header bytes, further bytes) of the frame that begins ``rest``; None if that is not known yet."""
     order = "little" if framing.get("endian") == "little" else "big"
+    width = framing["width"]
     if framing["type"] == "length_field":
         # The length field is part of the frame, whose header is kept.
-        at, width = framing["offset"], framing["width"]
+        at, width = framing["offset"], {"u8": 1, "u16": 2, "u32": 4}.get(width, width)
+        if width not in (1, 2, 4):
+            raise ValueError("a length field is 1, 2 or 4 bytes wide")
         if len(rest) < at + width:
             return None
-        return 0, max(int.from_bytes(rest[at : at + width], order) + framing.get("adjust", 0), at + width)
-    width = framing["width"]
+        size = int.from_bytes(rest[at : at + width], order) + framing.get("adjust", 0)
+        if size < at + width:
+            raise Broken(BAD_LENGTH)
+        return 0, size
     if width == "varint":
         value = 0
         for i, b in enumerate(rest[:10]):
             value |= (b & 0x7F) << (7 * i)
             if b < 0x80:
                 return i + 1, value
+        if len(rest) >= 10:
+            raise Broken(BAD_VARINT)
         return None
     n = {"u8": 1, "u16": 2, "u32": 4}[width]
     return (n, int.from_bytes(rest[:n], order)) if len(rest) >= n else None
