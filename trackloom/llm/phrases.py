@@ -40,6 +40,7 @@ _LOWER[list(UPPER.encode())] = list(LOWER.encode())
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[list(b" \t")] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_TOP = np.uint64(((1 << 20) - 1) << 44)
 
 
 class Run:
@@ -71,15 +72,15 @@ class Run:
 
     def words(self) -> pa.Array:
         """Each word with the blank behind it."""
-        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.at), pa.py_buffer(self.bytes)])
+        return pa.Array.from_buffers(pa.large_string(), len(self), [None, pa.py_buffer(self.at), pa.py_buffer(self.bytes)])
 
 
 def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The stretches [start, end) of ``data``."""
+    """The stretches [start, end) of ``data``, which begin and end with characters, as strings."""
     size = ends - starts
     at = np.concatenate([[0], np.cumsum(size)])
     index = np.arange(at[-1]) + np.repeat(starts - at[:-1], size)
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[index])])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[index])]).cast(pa.string())
 
 
 def _runs(batch: pa.RecordBatch, most_bytes: int):
@@ -111,7 +112,7 @@ def _pair(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
     return mixed((hashes ^ salt) * np.uint64(3) + np.append(hashes[1:], np.uint64(0)))
 
 
-def count_words(texts: DataFrame, most_bytes: int = 1 << 22) -> DataFrame:
+def count_words(texts: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     """Rows (lang, word, n, class): counts of words, and of classes of adjacent pairs
     (class not null), each once for every run at most."""
 
@@ -123,11 +124,11 @@ def count_words(texts: DataFrame, most_bytes: int = 1 << 22) -> DataFrame:
                 pairs += np.bincount((_pair(run.hashes, salt)[run.joined] & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
                 each = pc.value_counts(run.words())
                 size = len(each)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), each.field("values").cast(pa.binary()), each.field("counts"), pa.nulls(size, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), each.field("values").cast(pa.string()), each.field("counts"), pa.nulls(size, pa.int32())], names)
         some = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.binary()), pa.array(pairs[some]), pa.array(some.astype(np.int32))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.string()), pa.array(pairs[some]), pa.array(some.astype(np.int32))], names)
 
-    return texts.mapInArrow(work, "lang string, word binary, n long, class int").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(work, "lang string, word string, n long, class int").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:
@@ -135,7 +136,7 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
 
     def work(batches):
         for batch in batches:
-            words = batch.column(1).cast(pa.large_binary())
+            words = batch.column(1).cast(pa.large_string())
             if not len(words):
                 continue
             langs = batch.column(0).dictionary_encode()
@@ -154,8 +155,9 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
 
 
 def _suffixes(texts: DataFrame, frequent: np.ndarray, hot_words: np.ndarray, hot_pairs: np.ndarray, most_bytes: int) -> DataFrame:
-    """Rows (deal, part, lang, suffix, n): suffixes of two to four frequent words, each with a
-    blank behind every word, once for every run; ``part``: of a hot pair, dealt by the whole."""
+    """Rows (by, lang, suffix, n): suffixes of two to four frequent words, each with a blank
+    behind every word, once for every run; ``by``: words that deal it, 1, 2 of a hot word, or
+    all of a hot pair.  Rows that begin alike lie together, which shuffles in fewer bytes."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(np.packbits(frequent))
 
@@ -178,18 +180,16 @@ def _suffixes(texts: DataFrame, frequent: np.ndarray, hot_words: np.ndarray, hot
                 at = np.flatnonzero(size > 1)
                 if not len(at):
                     continue
-                order = at[np.argsort(whole[at])]
+                pair, word = _pair(run.hashes, salt), run.hashes ^ salt
+                key = mixed(word[at]) & _TOP | (pair[at] >> np.uint64(42)) << np.uint64(22) | whole[at] >> np.uint64(42)
+                order = at[np.argsort(key)]
                 begins = np.flatnonzero(np.append(True, whole[order][1:] != whole[order][:-1]))
                 one, count = order[begins], np.diff(np.append(begins, len(order)))
-                pair = _pair(run.hashes, salt)[one]
-                part = hot_pairs[(pair & np.uint64(CLASSES - 1)).astype(np.int64)]
-                # Hot words are dealt by pair; their phrases of two and more words still lie together.
-                word = run.hashes[one] ^ salt
-                deal = np.where(part, whole[one], np.where(np.isin(word, hot_words), pair, mixed(word)))
-                suffix = _slices(run.bytes, run.at[one], run.at[one + size[one]])
-                yield pa.RecordBatch.from_arrays([pa.array((deal >> np.uint64(33)).astype(np.int32)), pa.array(part), pa.array([lang] * len(one)), suffix.cast(pa.binary()), pa.array(count)], ["deal", "part", "lang", "suffix", "n"])
+                # A hot word is dealt by pair; its phrases of two and more words still lie together.
+                by = np.where(hot_pairs[(pair[one] & np.uint64(CLASSES - 1)).astype(np.int64)], MAX_WORDS, 1 + np.isin(word[one], hot_words))
+                yield pa.RecordBatch.from_arrays([pa.array(by.astype(np.int8)), pa.array([lang] * len(one)), _slices(run.bytes, run.at[one], run.at[one + size[one]]), pa.array(count)], ["by", "lang", "suffix", "n"])
 
-    return texts.mapInArrow(work, "deal int, part boolean, lang string, suffix binary, n long")
+    return texts.mapInArrow(work, "by byte, lang string, suffix string, n long")
 
 
 def _counted(least: int):
@@ -202,10 +202,10 @@ def _counted(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            suffix, langs = batch.column(2).cast(pa.large_binary()), batch.column(1)
-            part, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            suffix, langs = batch.column(2).cast(pa.large_string()), batch.column(1)
+            part, n = batch.column(0).to_numpy() == MAX_WORDS, batch.column(3).to_numpy()
             if before:  # stands before the batch, counts nothing itself
-                suffix, langs = pa.concat_arrays([pa.array([before[1]], pa.large_binary()), suffix]), pa.concat_arrays([pa.array([before[0]]), langs])
+                suffix, langs = pa.concat_arrays([pa.array([before[1]], pa.large_string()), suffix]), pa.concat_arrays([pa.array([before[0]]), langs])
                 part, n = np.append(before[2], part), np.append(0, n)
             offsets = np.frombuffer(suffix.buffers()[1], dtype=np.int64)[suffix.offset : suffix.offset + len(suffix) + 1]
             data = np.frombuffer(suffix.buffers()[2], dtype=np.uint8)
@@ -239,47 +239,46 @@ def _counted(least: int):
                     open_[k], stays[-1] = int(total[-1]), False
                 stays &= (total >= least) | part[here] & (k < MAX_WORDS)
                 if stays.any():
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(here[stays])), _slices(data, offsets[here[stays]], end[begins[stays]] - 1).cast(pa.binary()), pa.array(total[stays])], ["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(here[stays])), _slices(data, offsets[here[stays]], end[begins[stays]] - 1), pa.array(total[stays])], ["lang", "phrase", "n"])
             before = (langs[-1].as_py(), suffix[-1].as_py(), bool(part[-1]), open_)
         if before:
-            words = before[1].split(b" ")
-            got = [(before[0], b" ".join(words[:k]), c) for k, c in before[3].items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.string()), pa.array([r[1] for r in got], pa.binary()), pa.array([r[2] for r in got], pa.int64())], ["lang", "phrase", "n"])
+            words = before[1].split(" ")
+            got = [(before[0], " ".join(words[:k]), c) for k, c in before[3].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.string()), pa.array([r[1] for r in got], pa.string()), pa.array([r[2] for r in got], pa.int64())], ["lang", "phrase", "n"])
 
     return work
 
 
-def frequent_phrases(docs: DataFrame, *, least: int = 30, text_col: str = "text", lang_col: str = "lang", most_bytes: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, *, least: int = 30, text_col: str = "text", lang_col: str = "lang", most_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): rows (lang, phrase, n) of all phrases of one to four words that
     occur ``least`` times or more, and (lang, n) with the number of words of each language."""
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = materialize(count_words(texts, most_bytes))
     known = counts.where("word IS NOT NULL")
     totals = known.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = known.where(F.col("n") >= least).select("lang", F.expr("substring(word, 1, octet_length(word) - 1)").alias("phrase"), "n", "word")
+    frequent = known.where(F.col("n") >= least).select("lang", F.rtrim("word").alias("phrase"), "n", "word")
 
     every = known.agg(F.sum("n")).first()[0] or 0
     common = known.where(F.col("n") * HOT > every).select("lang", "word").collect()  # fewer than HOT
     whole = lambda x: span_hash(sums(np.frombuffer(x, dtype=np.uint8)), np.array([0]), np.array([len(x)]))[0]
     word = lambda x: span_hash(sums(np.frombuffer(x, dtype=np.uint8) + np.uint8(1)), np.array([0]), np.array([len(x) - 1]))[0]
-    hot_words = np.array([word(bytes(r.word)) ^ whole(r.lang.encode() + b"\n") for r in common], dtype=np.uint64)
+    hot_words = np.array([word(r.word.encode()) ^ whole(r.lang.encode() + b"\n") for r in common], dtype=np.uint64)
     hot_pairs = np.zeros(CLASSES, dtype=bool)
     for r in counts.where(F.col("class").isNotNull()).where(F.col("n") * HOT > every).select("class").collect():
         hot_pairs[r["class"]] = True
 
     rows = _suffixes(texts, _bitmap(frequent.select("lang", "word")), hot_words, hot_pairs, most_bytes)
-    dealt = rows.repartition("deal").sortWithinPartitions(F.desc("lang"), F.desc("suffix")).select("part", "lang", "suffix", "n")
-    counted = dealt.mapInArrow(_counted(least), "lang string, phrase binary, n long")
+    dealt = rows.repartition("lang", F.expr("substring_index(suffix, ' ', CAST(by AS INT))")).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    counted = dealt.mapInArrow(_counted(least), "lang string, phrase string, n long")
     phrases = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    text = F.col("phrase").cast("string").alias("phrase")
-    return materialize(frequent.select("lang", text, "n").unionByName(phrases.select("lang", text, "n"))), totals
+    return materialize(frequent.select("lang", "phrase", "n").unionByName(phrases)), totals
 
 
 def _whole(x: Column) -> Column:
     return x.cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, text_col: str = "text", lang_col: str = "lang", most_bytes: int = 1 << 22) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, text_col: str = "text", lang_col: str = "lang", most_bytes: int = 1 << 20) -> DataFrame:
     """Each language's best phrases of two to four words: (lang, rank, phrase, a, l, r, n, score).
 
     a, l and r are the counts of the phrase and of its parts at the cut of least score (ties to
