@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that part words, in every operator: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +34,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits of all columns of a row; maps and variants, which have no hash, by their JSON."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.MapType | T.VariantType):
+            return False
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return all(map(plain, inner))
+
+    return F.xxhash64(F.lit(seed), *(F.col(f"`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(f"`{f.name}`")) for f in df.schema))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application: under ``spark.checkpoint.dir`` if the
     cluster names one; only where it is unset (tests, local mode) a temporary folder."""

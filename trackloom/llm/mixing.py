@@ -82,7 +82,7 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    content = F.xxhash64(*(c for c in docs.columns if c != uid_col)).alias("content")
+    content = F.xxhash64(text_col, source_col).alias("content")
     uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
     base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), content, uid.alias("uid")))
     buckets = max(256, base.count() // 4096)

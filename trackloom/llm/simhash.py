@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import LOWER, UPPER, components, free_name, materialize, read_table
+from trackloom.llm.common import LOWER, UPPER, components, free_name, materialize, read_table, row_hash
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 MAX_BITS = 4
@@ -161,7 +161,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     # 128 bits of all columns name a row, wherever it lies.
     h1, h2 = free_name(docs, "h1"), free_name(docs, "h2")
-    named = docs.select("*", *(F.xxhash64(F.lit(i), *docs.columns).alias(h) for i, h in enumerate((h1, h2))))
+    named = docs.select("*", *(row_hash(docs, i).alias(h) for i, h in enumerate((h1, h2))))
 
     def work(batches):
         for batch in batches:
