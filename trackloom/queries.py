@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics
-from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, mapping, mht, peers, registry, scoring, trackers
+from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, trackers
 from trackloom.plans.flow import Flow
 from trackloom.sources import framing, simulate, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -865,6 +865,44 @@ def system_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.system_tracks(_reports(spark, sf_dir))
 
 
+def _parting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sensors' reports of each customer's ship, five seconds apart: they agree on the first
+    five; from the sixth on what the second one follows is two kilometres to the east."""
+    o = table(spark, sf_dir, "orders")
+    ship, k = F.col("o_custkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    at = o.select("o_orderkey", ship.alias("ship"), k.alias("k"))
+    row = lambda source, late: at.select(
+        (F.col("o_orderkey") * 2 + late).alias("event_id"), F.lit(source).alias("source_id"), F.col("ship").cast("string").alias("track_key"), ((F.col("k") * 5 + late) * 1_000_000).cast("long").alias("t_us"),
+        (50.0 + (F.col("ship") % 100) / 5.0 + F.col("k") * 5e-5).alias("lat"), (-1.0 + F.expr("ship div 100") / 5.0 + F.when((F.col("k") > 5) & (F.lit(late) == 1), 0.03).otherwise(0.0)).alias("lon"),
+        F.lit(0.0).alias("course"), F.lit(1.1132).alias("speed"), F.lit(10.0).alias("error_m"), F.lit(None).cast("string").alias("identity"), F.lit(0.9).alias("confidence"), F.lit("surface").alias("domain"),
+    )
+    return row("ais", 0).union(row("radar", 1))
+
+
+#: Created as they are seen, merged at the third comparison, split at the fifth of the last five that disagrees.
+_PARTING = """s AS (SELECT o_custkey AS ship, count(*) AS n FROM orders GROUP BY 1),
+  born AS (SELECT ship, 'create' AS op, 'ais/' || ship AS track, 5000000 AS t_us FROM s UNION ALL SELECT ship, 'create', 'radar/' || ship, 6000000 FROM s UNION ALL SELECT ship, 'split', 'radar/' || ship, 51000000 FROM s WHERE n >= 10),
+  u AS (SELECT *, 'AAA' || lpad((row_number() OVER (ORDER BY t_us, track))::varchar, 9, '0') AS uid FROM born)"""
+
+
+@query(f"""WITH {_PARTING} SELECT t_us::bigint AS t_us, op, uid, NULL::varchar AS other, track FROM u WHERE op = 'create'
+  UNION ALL SELECT 16000000, 'merge', a.uid, r.uid, r.track FROM s JOIN u a ON a.ship = s.ship AND a.track LIKE 'ais%' JOIN u r ON r.ship = s.ship AND r.track LIKE 'radar%' AND r.op = 'create' WHERE n >= 3
+  UNION ALL SELECT p.t_us, 'split', p.uid, a.uid, p.track FROM u p JOIN u a ON a.ship = p.ship AND a.track LIKE 'ais%' WHERE p.op = 'split'""")
+def track_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to system tracks whose sources first agree and then part."""
+    return maintenance.operations(_parting(spark, sf_dir)).select("t_us", "op", "uid", "other", "track")
+
+
+@query(f"""WITH {_PARTING}, a AS (SELECT ship, uid FROM u WHERE track LIKE 'ais%'), r AS (SELECT ship, uid, track FROM u WHERE op = 'create' AND track LIKE 'radar%'), x AS (SELECT ship, uid FROM u WHERE op = 'split')
+  SELECT track, uid, t_us::bigint AS since_us, NULL::bigint AS until_us FROM u WHERE track LIKE 'ais%'
+  UNION ALL SELECT track, uid, 6000000, CASE WHEN n >= 3 THEN 16000000 END FROM r JOIN s USING (ship)
+  UNION ALL SELECT track, a.uid, 16000000, CASE WHEN n >= 10 THEN 51000000 END FROM r JOIN s USING (ship) JOIN a USING (ship) WHERE n >= 3
+  UNION ALL SELECT track, x.uid, 51000000, NULL FROM r JOIN x USING (ship)""")
+def track_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which system track each source track belonged to, and when."""
+    return maintenance.memberships(maintenance.operations(_parting(spark, sf_dir)))
+
+
 @query(f"""WITH {_SHIPS}, v AS (SELECT uid, count(*) AS contributors, sum(n)::bigint AS reports, max(identity) AS identity FROM c JOIN u USING (head) GROUP BY uid)
   SELECT uid, contributors, reports, identity, CASE WHEN reports >= 3 THEN 'confirmed' ELSE 'tentative' END AS state, reports >= 3 AS published FROM v""")
 def fused_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
