@@ -1133,6 +1133,33 @@ def detection_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.associate(pairs, ["scan"])
 
 
+#: Squared distance of a plot and a view of seven or more seconds: position errors, speed error and acceleration grown.
+_GATED = """p AS (SELECT o_orderkey AS plot, o_custkey AS ship, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+  pos AS (SELECT *, 50.0::double + (ship // 4 % 100)::double / 5.0::double + (ship % 4)::double * 0.0003::double AS lat, -1.0::double + (ship // 400)::double / 5.0::double AS lon FROM p),
+  d AS (SELECT plot, k, lat + k::double * 0.0001::double + ((plot % 7)::double - 3.0::double) * 0.0002::double AS lat, lon, k * 10000000 + 3000000 AS t_us FROM pos),
+  v AS (SELECT ship, k, lat + k::double * 0.0001::double AS lat, lon, k * 10000000 AS t_us FROM pos),
+  n AS (SELECT plot, d.t_us, ship, d.lat - v.lat AS dlat, (d.t_us - v.t_us)::double / 1e6::double AS dt FROM d JOIN v ON abs(d.lat - v.lat) < 0.02 AND d.lon = v.lon AND d.t_us >= v.t_us AND d.t_us - v.t_us <= 180000000
+    QUALIFY row_number() OVER (PARTITION BY plot, ship ORDER BY v.t_us DESC) = 1),
+  g AS (SELECT plot, t_us, ship, pow(radians(dlat - degrees(1.1132::double * dt / 6371008.8::double)) * 6371008.8::double, 2) / (pow(30.0::double / 1.1774::double, 2) + greatest(pow(5.0::double / 1.1774::double, 2), 25.0::double) + dt * dt + 0.09::double * pow(dt, 4) / 4.0::double) AS d2 FROM n),
+  q AS (SELECT *, row_number() OVER (PARTITION BY t_us ORDER BY d2, plot, ship::varchar) AS i FROM g WHERE d2 <= 9.210340371976182::double)"""
+
+
+@query(f"""WITH RECURSIVE {_GATED}, r(t_us, i, plot, ship, free, plots, ships) AS (SELECT t_us, i, plot, ship, true, [plot], [ship] FROM q WHERE i = 1 UNION ALL
+    SELECT t_us, i, plot, ship, free, CASE WHEN free THEN list_append(plots, plot) ELSE plots END, CASE WHEN free THEN list_append(ships, ship) ELSE ships END
+    FROM (SELECT q.*, r.plots, r.ships, NOT list_contains(r.plots, q.plot) AND NOT list_contains(r.ships, q.ship) AS free FROM r JOIN q ON q.t_us = r.t_us AND q.i = r.i + 1) x)
+  SELECT d.plot, d.t_us::bigint AS t_us, ship::varchar AS uid FROM d LEFT JOIN (SELECT * FROM r WHERE free) USING (plot)""")
+def detections_to_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots of scans put to tracks by innovation: four ships abreast, plots between them."""
+    o = table(spark, sf_dir, "orders")
+    ship, k = F.col("o_custkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    lat = 50.0 + F.expr("ship div 4 % 100").cast("double") / 5.0 + (F.col("ship") % 4) * 0.0003
+    at = o.select(F.col("o_orderkey").alias("plot"), ship.alias("ship"), k.alias("k")).withColumns({"lat": lat, "lon": -1.0 + F.expr("ship div 400") / 5.0, "domain": F.lit("surface")})
+    along = F.col("lat") + F.col("k") * 1e-4
+    views = at.select(F.col("ship").cast("string").alias("uid"), F.lit("ais").alias("source_id"), F.col("plot").alias("event_id"), (F.col("k") * 10_000_000).cast("long").alias("t_us"), along.alias("lat"), "lon", F.lit(0.0).alias("course"), F.lit(1.1132).alias("speed"), F.lit(5.0).alias("error_m"), "domain")
+    plots = at.select(F.lit("lidar").alias("source_id"), "plot", (F.col("k") * 10_000_000 + 3_000_000).cast("long").alias("t_us"), (along + (F.col("plot") % 7 - 3) * 2e-4).alias("lat"), "lon", F.lit(30.0).alias("error_m"), "domain")
+    return correlate.detections_to_tracks(plots, views).select("plot", "t_us", "uid")
+
+
 @query(f"""WITH {OBS_SQL} SELECT event_id, CASE WHEN error_m / 1.1774::double * sqrt(2.0::double) * 100.0::double > 2000.0::double THEN {rsql('error_m / 1.1774::double * 100.0::double', 4)} END AS axis_m,
   ln(10.0::double) * CASE WHEN event_id % 6 IN (0, 1, 3) THEN 1 ELSE 0 END AS bonus FROM obs""")
 def areas_and_emitters(spark: SparkSession, sf_dir: str) -> DataFrame:
