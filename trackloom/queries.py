@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import expr, geo, kinematics
-from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, trackers
+from trackloom.functions import expr, geo, kinematics, symbols
+from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, timing, trackers
 from trackloom.plans.flow import Flow
 from trackloom.sources import framing, simulate, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -579,13 +579,13 @@ def metrics_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.per_minute(df, ["source_id"], {"n": F.count("*"), "tracks": F.count_distinct("track_key"), "total": rnd(F.sum("value"), 2)})
 
 
-@query("""WITH b AS (SELECT min(floor(epoch_us(ts) / 60000000)::bigint) AS lo FROM events), c AS (SELECT event_type AS source_id, floor(epoch_us(ts) / 60000000)::bigint AS minute, count(*) AS n FROM events GROUP BY ALL)
-  SELECT s.source_id, lo + i AS minute, coalesce(n, 0)::bigint AS n FROM (SELECT DISTINCT event_type AS source_id FROM events) s CROSS JOIN b CROSS JOIN range(0, 1440) r(i) LEFT JOIN c ON c.source_id = s.source_id AND c.minute = lo + i""")
+@query("""WITH b AS (SELECT min(floor(epoch_us(ts) / 60000000)::bigint) AS lo, max(floor(epoch_us(ts) / 60000000)::bigint) AS hi FROM events), c AS (SELECT event_type AS source_id, floor(epoch_us(ts) / 60000000)::bigint AS minute, count(*) AS n FROM events GROUP BY ALL)
+  SELECT s.source_id, lo + i AS minute, coalesce(n, 0)::bigint AS n FROM (SELECT DISTINCT event_type AS source_id FROM events) s CROSS JOIN b, LATERAL range(0, hi - lo + 1) r(i) LEFT JOIN c ON c.source_id = s.source_id AND c.minute = lo + i WHERE lo + i <= hi""")
 def metrics_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day of minutes for every source, absent ones zero (A2)."""
+    """Every minute from the first to the last for every source, absent ones zero (A2)."""
     counts = analytics.per_minute(observations(spark, sf_dir), ["source_id"], {"n": F.count("*")})
-    first = counts.agg(F.min("minute")).first()[0]
-    return analytics.zero_filled(counts, ["source_id"], first, first + 1439, ["n"])
+    first, last = counts.agg(F.min("minute"), F.max("minute")).first()
+    return analytics.zero_filled(counts, ["source_id"], first, last, ["n"])
 
 
 @query("""SELECT event_type AS source_id, floor(epoch_us(ts) / 60000000)::bigint AS minute, arg_max(value, (epoch_us(ts), event_id)) AS value FROM events GROUP BY ALL""")
@@ -965,6 +965,85 @@ def link_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.within_budget(rows, "tick", "size", "urgency", 5000.0).groupBy("tick").agg(F.count_if("sent").alias("sent"), F.count("*").alias("offered"))
 
 
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS track, (o_custkey % 5)::bigint AS link, (o_orderkey // 400 + o_orderkey // 2000)::bigint AS t, CASE WHEN o_orderkey % 97 = 0 THEN 'infinity'::double ELSE o_totalprice::double END AS urgency, 43 + o_orderkey % 7 AS size FROM orders),
+  n AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY t, urgency DESC, track) AS i FROM r),
+  s(link, i, t, track, left_, sent) AS (SELECT link, 0::bigint, min(t), NULL::bigint, 0::double, false FROM r GROUP BY link UNION ALL
+    SELECT n.link, n.i, n.t, n.track, CASE WHEN goes THEN have - n.size ELSE have END, goes FROM s JOIN n ON n.link = s.link AND n.i = s.i + 1,
+      LATERAL (SELECT CASE WHEN n.t <> s.t THEN least(left_ + (n.t - s.t)::double * 500.0::double, 1000.0::double) ELSE left_ END AS have), LATERAL (SELECT urgency = 'infinity'::double OR have >= n.size AS goes))
+  SELECT track, sent FROM s WHERE i > 0""")
+def link_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What thin links carry with an allowance that quiet ticks fill."""
+    k = F.col("o_orderkey")
+    t = F.expr("(o_orderkey div 400 + o_orderkey div 2000) * 1000000")
+    rows = table(spark, sf_dir, "orders").select(k.alias("track"), (F.col("o_custkey") % 5).alias("link"), t.alias("t_us"), F.when(k % 97 == 0, float("inf")).otherwise(F.col("o_totalprice").cast("double")).alias("urgency"), (43 + k % 7).alias("size"))
+    return peers.token_bucket(rows, ["link"], "t_us", "size", "urgency", 500.0).select("track", "sent")
+
+
+#: Dwells: five streams, three jobs each, four dwells a revisit, now and then a jump; times in 50 ms.
+_DWELLS = """d AS (SELECT event_type AS stream, event_id AS seq, (user_id % 3)::bigint AS job, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) AS k, event_id * 50 + (event_id * 37 % 11) AS t_ms FROM events),
+  w AS (SELECT *, (65530 + (k - 1) // 4 + CASE WHEN k % 97 < 4 THEN 9 ELSE 0 END) % 65536 AS revisit FROM d),
+  n AS (SELECT *, lag(revisit) OVER j AS was, coalesce(lag(revisit) OVER j <> revisit, true) AS new FROM w WINDOW j AS (PARTITION BY stream, job ORDER BY seq)),
+  b AS (SELECT *, last_value(CASE WHEN new THEN t_ms END IGNORE NULLS) OVER (PARTITION BY stream, job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS begun FROM n),
+  p AS (SELECT *, CASE WHEN new AND (was + 1) % 65536 = revisit AND t_ms > begun THEN t_ms - begun END AS took FROM b),
+  a AS (SELECT *, list(took) FILTER (took IS NOT NULL) OVER (PARTITION BY stream, job ORDER BY seq) AS every FROM p),
+  m AS (SELECT *, CASE WHEN len(every) > 0 THEN list_sort(every[-9:])[least(len(every), 9) // 2 + 1]::double / 1000.0::double END AS measured FROM a),
+  x AS (SELECT stream, seq, t_ms, job, coalesce(measured, CASE WHEN job > 0 THEN job * 2.5::double END) AS period, measured IS NOT NULL AS known FROM m)"""
+
+
+@query(f"""WITH {_DWELLS} SELECT stream, seq, job, period AS period_s, known AS measured FROM x""")
+def revisit_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisit periods of jobs: the median of their last nine revisits."""
+    return timing.revisits(_dwells(spark, sf_dir)).select("stream", "seq", "job", "period_s", "measured")
+
+
+@query(f"""WITH RECURSIVE {_DWELLS}, o AS (SELECT DISTINCT stream, job AS other FROM x),
+  y AS (SELECT x.stream, seq, x.t_ms, other, last_value(CASE WHEN job = other THEN {{'t': t_ms, 'p': period, 'k': known}} END IGNORE NULLS) OVER (PARTITION BY x.stream, other ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM x JOIN o ON o.stream = x.stream),
+  g AS (SELECT stream, seq, max(CASE WHEN s.p IS NOT NULL AND abs(t_ms - s.t) <= greatest(60000, floor(s.p * 3000.0::double)) THEN {{'p': s.p, 'j': -other, 'k': s.k}} END) AS b FROM y GROUP BY stream, seq),
+  r AS (SELECT stream, seq, b.p AS p, b.k AS k, row_number() OVER (PARTITION BY stream ORDER BY seq) AS i FROM g),
+  f(stream, i, seq, p, k) AS (SELECT DISTINCT stream, 0::bigint, NULL::bigint, NULL::double, NULL::boolean FROM r UNION ALL
+    SELECT r.stream, r.i, r.seq, CASE WHEN takes THEN r.p ELSE f.p END, CASE WHEN takes THEN r.k ELSE f.k END FROM f JOIN r ON r.stream = f.stream AND r.i = f.i + 1,
+      LATERAL (SELECT coalesce(r.p > 0, false) AND (f.p IS NULL OR f.k <> r.k OR abs(f.p - r.p) > 0.05::double * f.p) AS takes))
+  SELECT stream, seq, p AS revisit_s, CASE WHEN p IS NOT NULL THEN greatest(p * 3.5::double, 20.0::double) END AS confirm_within_s, CASE WHEN p IS NOT NULL THEN greatest(p * 1.3::double, 8.0::double) END AS drop_tentative_s,
+    CASE WHEN p IS NOT NULL THEN greatest(p * 2.5::double, 30.0::double) END AS drop_confirmed_s FROM f WHERE i > 0""")
+def auto_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracker windows that follow the sensor's revisits, but not their jitter."""
+    return timing.windows(timing.governing(timing.revisits(_dwells(spark, sf_dir))))
+
+
+def _dwells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), i.alias("seq"), (F.col("user_id") % 3).cast("long").alias("job"), (i * 50 + i * 37 % 11).alias("t_ms"))
+    k = F.row_number().over(Window.partitionBy("stream", "job").orderBy("seq"))
+    rows = rows.withColumn("k", k).withColumn("revisit", F.expr("(65530 + (k - 1) div 4 + CASE WHEN k % 97 < 4 THEN 9 ELSE 0 END) % 65536"))
+    return rows.withColumn("nominal_s", F.when(F.col("job") > 0, F.col("job") * 2.5)).drop("k")
+
+
+#: Codes of customers in the three standards; identities and dimensions by key.
+_CODES = """c AS (SELECT c_custkey AS id, ['pending','unknown','assumed_friend','friend','neutral','suspect','hostile','joker','faker'][c_custkey % 9 + 1] AS aff, ['air','surface','subsurface','ground','space'][c_custkey % 5 + 1] AS dom,
+    'puafnshjk'[c_custkey % 9 + 1] AS letter, 'ASUGP'[c_custkey % 5 + 1] AS dim, '012345656'[(c_custkey % 9) + 1] AS _d, ['01','30','35','11','05'][c_custkey % 5 + 1] AS ss FROM customer),
+  k AS (SELECT *, ['0','1','2','3','4','5','6','5','6'][id % 9 + 1] AS digit, CASE WHEN id % 9 > 6 THEN '1' ELSE '0' END AS ctx FROM c),
+  z AS (SELECT id, aff, dom, letter, dim, 'mil2525c' AS kind, ' s' || letter || lower(dim) || 'puci' || CASE WHEN id % 2 = 0 THEN '***' ELSE '---' END || ' ' AS raw, 'a-' || letter || '-' || dim || '-U-C-I' AS cot FROM k
+    UNION ALL SELECT id, aff, dom, letter, dim, 'mil2525d', '10' || ctx || digit || ss || '00001211000000', 'a-' || letter || '-' || dim FROM k
+    UNION ALL SELECT id, aff, dom, letter, dim, 'cot', 'a-' || letter || '-' || dim || '-X', 'a-' || letter || '-' || dim || '-X' FROM k)"""
+
+
+@query(f"""WITH {_CODES} SELECT id, kind, aff AS affiliation, dom AS domain, cot AS cot_type, CASE kind WHEN 'mil2525c' THEN 'SH' || dim || 'PUCI--------' WHEN 'cot' THEN 'a-h-' || dim || '-X' ELSE raw[1:3] || '6' || raw[5:] END AS hostile,
+  CASE dom WHEN 'surface' THEN [8, 30, 16, 9, 18, 17, 7, 17, 7] WHEN 'subsurface' THEN [5, 29, 13, 6, 15, 14, 4, 14, 4] WHEN 'ground' THEN [26, 31, 23, 22, 27, 25, 24, 25, 24] ELSE [2, 28, 10, 3, 12, 11, 1, 11, 1] END[id % 9 + 1] AS force FROM z""")
+def symbol_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol codes in three standards: what they say, their CoT type, another identity, force codes."""
+    i = F.col("c_custkey")
+    of = lambda items, n: F.element_at(F.array(*map(F.lit, items)), (i % n + 1).cast("int"))
+    aff = ["pending", "unknown", "assumed_friend", "friend", "neutral", "suspect", "hostile", "joker", "faker"]
+    letter, dim = of([symbols.LETTERS[a] for a in aff], 9), of("ASUGP", 5)
+    c = F.concat(F.lit(" s"), letter, F.lower(dim), F.lit("puci"), F.when(i % 2 == 0, "***").otherwise("---"), F.lit(" "))
+    d = F.concat(F.lit("10"), F.when(i % 9 > 6, "1").otherwise("0"), of("012345656", 9), of(["01", "30", "35", "11", "05"], 5), F.lit("00001211000000"))
+    cot = F.concat(F.lit("a-"), letter, F.lit("-"), dim, F.lit("-X"))
+    codes = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("raw")) for k, x in (("mil2525c", c), ("mil2525d", d), ("cot", cot)))))
+    rows = table(spark, sf_dir, "customer").withColumn("c", codes).select(i.alias("id"), "c.kind", "c.raw")
+    raw = F.col("raw")
+    return rows.select("id", "kind", symbols.affiliation(raw).alias("affiliation"), symbols.domain(raw).alias("domain"), symbols.cot_type(raw).alias("cot_type"), symbols.with_affiliation(raw, F.lit("hostile")).alias("hostile"), symbols.force_code(symbols.domain(raw), symbols.affiliation(raw)).alias("force"))
+
+
 @query("""WITH m AS (SELECT o_orderkey, 'S' || (o_custkey % 5) AS site, o_custkey AS sig, o_orderkey % 11 <> 0 AS signed, CASE WHEN o_orderkey % 13 = 0 THEN 400000000 ELSE 0 END AS late FROM orders)
   SELECT coalesce(CASE WHEN site = 'S0' THEN 'own site' WHEN site NOT IN ('S1', 'S2', 'S3') THEN 'not trusted' WHEN NOT signed THEN 'bad signature' WHEN late > 300000000 THEN 'clock'
     WHEN row_number() OVER (PARTITION BY sig ORDER BY o_orderkey + late, site) > 1 THEN 'replay' END, 'let in') AS refused, count(*) AS n FROM m GROUP BY ALL""".replace("SELECT coalesce(CASE", "SELECT refused, count(*) AS n FROM (SELECT coalesce(CASE").replace("AS refused, count(*) AS n FROM m GROUP BY ALL", "AS refused FROM m) GROUP BY refused"))
