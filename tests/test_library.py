@@ -212,8 +212,8 @@ def test_tracker_follows_crossing_targets(spark):
 
 
 def test_clusters():
-    z, var = trackers.clustered(np.array([[0.0, 0.0], [1.0, 0.0], [50.0, 0.0]]), np.array([4.0, 1.0, 9.0]), 5.0)
-    assert z.tolist() == [[0.5, 0.0], [50.0, 0.0]] and var.tolist() == [1.0, 9.0]
+    z, var, first = trackers.clustered(np.array([[0.0, 0.0], [1.0, 0.0], [50.0, 0.0]]), np.array([4.0, 1.0, 9.0]), 5.0)
+    assert first == [0, 2] and z.tolist() == [[0.5, 0.0], [50.0, 0.0]] and var.tolist() == [1.0, 9.0]
 
 
 @pytest.mark.parametrize(

@@ -11,19 +11,22 @@ from trackloom.functions import geo
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` by way of the checkpoint folder, so that a loop's plan stays short.  Only under a
-    local master, as in tests, may ``spark.checkpoint.dir`` be unset: a temporary one is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not folder:
-            import tempfile
-
-            folder = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """``df`` by way of a Parquet table in the checkpoint folder, so that a loop's plan stays
+    short: a checkpoint would keep what the optimiser has inferred of its columns, which grows
+    with every join of a loop.  Only under a local master, as in tests, may
+    ``spark.checkpoint.dir`` be unset: a temporary folder is taken."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:
+        import tempfile
+
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{folder.rstrip('/')}/{context.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def grid_pairs(reports: DataFrame, others: DataFrame, *, max_dt_us: int, cell_deg: float = 0.05, time_col: str = "t_us", earlier: bool = False) -> DataFrame:

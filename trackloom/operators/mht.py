@@ -141,7 +141,7 @@ def tracker(tune: trackers.Tuning = trackers.Tuning(), confirm: int = 3) -> Fold
         east = trackers.METRES * math.cos(math.radians(state.lat0))
         z = np.array([[(r["lat"] - state.lat0) * trackers.METRES, (r["lon"] - state.lon0) * east] for r in rows])
         var = np.array([max(r.get("error_m") or tune.sigma_m, 1e-3) ** 2 for r in rows])
-        z, var = trackers.clustered(z, var, tune.cluster_m)
+        z, var, _ = trackers.clustered(z, var, tune.cluster_m)
         out = []
         for leaf, tree, _ in scan(state, rows[0]["t_us"] / 1e6, z, var, tune, confirm):
             n, e, vn, ve = leaf.track.x
