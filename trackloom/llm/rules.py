@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: DataFrame, *, id_col: str = "doc_id", text_col
     return tagged.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda key, texts, told: tell(texts, told.drop_columns(["block"])), schema)
 
 
-def bands(scored: DataFrame, *, reach: tuple[float, float] = (6.0, 5.0), least: tuple[float, float] = (0.03, 0.02)) -> DataFrame:
+def bands(scored: DataFrame, *, reach: tuple[float, float] = (7.0, 5.5), least: tuple[float, float] = (0.03, 0.02)) -> DataFrame:
     """Rows (lang, low, high) in bits a byte: the quartiles of each language, moved outwards by
     ``reach`` times their distance from the median (``least`` at least).
 
@@ -320,7 +320,7 @@ def bands(scored: DataFrame, *, reach: tuple[float, float] = (6.0, 5.0), least:
     return share.groupBy("lang").agg(*q).select("lang", low.alias("low"), high.alias("high"))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_entries: int = MOST_ENTRIES, reach: tuple[float, float] = (6.0, 5.0), least: tuple[float, float] = (0.03, 0.02)) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_entries: int = MOST_ENTRIES, reach: tuple[float, float] = (7.0, 5.5), least: tuple[float, float] = (0.03, 0.02)) -> DataFrame:
     """``id_col``, the base measures, base_failed, bits (a byte), low, high and kept, one row
     for each row of ``docs``.
 
