@@ -383,6 +383,56 @@ def registry_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.link(users, keys, plain, row="user_id", key="key", name="said").select("user_id", "entity_id", "grade")
 
 
+#: Reports of orders linked to customers; of these every tenth is saved with another name, every twentieth without one.
+@query("""WITH s AS (SELECT o_orderkey AS track, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN c_name ELSE 'SHIP ' || o_orderkey END AS said, c_custkey AS e, c_name AS old, o_orderkey % 4 > 0 AS sure FROM orders JOIN customer ON o_custkey = c_custkey),
+  a AS (SELECT *, CASE WHEN sure THEN old ELSE said END AS was, sure AND coalesce(said <> old, false) AS over FROM s), n AS (SELECT *, CASE WHEN over THEN said ELSE was END AS back, CASE WHEN e % 20 > 0 THEN 'RENAMED ' || e END AS new FROM a WHERE e % 10 = 0),
+  z AS (SELECT *, CASE WHEN sure AND new IS NOT NULL THEN new ELSE back END AS name, CASE WHEN sure AND coalesce(back <> new, false) THEN back END AS reported FROM n)
+  SELECT track, name, reported FROM z WHERE name IS DISTINCT FROM was OR reported IS DISTINCT FROM CASE WHEN over THEN said END OR (reported IS NOT NULL AND new IS DISTINCT FROM old)""")
+def entity_reapplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edit of entities changes in the reports linked to them."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == c)
+    said = F.when(k % 3 == 1, F.col("c_name")).when(k % 3 == 2, F.concat(F.lit("SHIP "), k.cast("string")))
+    state = registry.apply_entity(both.select(k.alias("track"), said.alias("name"), c.alias("entity_id"), F.col("c_name").alias("entity_name"), (k % 4 > 0).alias("sure")), {"name": "entity_name"}, "sure").drop("entity_name")
+    saved = table(spark, sf_dir, "customer").where(c % 10 == 0).select(c.alias("entity_id"), F.when(c % 20 > 0, F.concat(F.lit("RENAMED "), c.cast("string"))).alias("entity_name"))
+    out = registry.reapplied(state, saved, {"name": "entity_name"}, "sure")
+    return out.select("track", "name", F.get("overrides", 0)["reported"].alias("reported"))
+
+
+_SHEET = """r AS (SELECT c_custkey AS row, CASE c_custkey % 4 WHEN 0 THEN 'E' || c_custkey % 700 WHEN 1 THEN CASE WHEN c_custkey % 5 = 0 THEN 'no id' END END AS given, CASE WHEN c_custkey % 6 = 0 THEN ['mmsi:' || c_custkey % 500, 'imo:' || c_custkey % 450] ELSE ['mmsi:' || c_custkey % 500] END AS keys FROM customer),
+  i AS (SELECT 'mmsi:' || c_custkey AS key, 'E' || c_custkey AS holder FROM customer WHERE c_custkey < 300 UNION ALL SELECT 'imo:' || c_custkey, 'E' || c_custkey FROM customer WHERE c_custkey < 200 AND c_custkey % 2 = 0),
+  x AS (SELECT row, unnest(keys) AS key FROM r), h AS (SELECT x.*, holder FROM x LEFT JOIN i USING (key)),
+  o AS (SELECT row, list_sort(list(DISTINCT holder) FILTER (holder IS NOT NULL)) AS owners FROM h GROUP BY row),
+  w AS (SELECT r.*, owners, CASE WHEN given IS NULL THEN CASE WHEN len(owners) = 1 THEN owners[1] END WHEN given <> 'no id' THEN given END AS wanted FROM r LEFT JOIN o USING (row)),
+  p AS (SELECT w.*, e.c_custkey IS NOT NULL AS known, CASE WHEN e.c_custkey IS NOT NULL THEN wanted ELSE coalesce(given, 'new-' || row) END AS target FROM w LEFT JOIN customer e ON e.c_custkey < 600 AND wanted = 'E' || e.c_custkey)"""
+
+
+@query(f"""WITH {_SHEET} SELECT row, target, known FROM p""")
+def sheet_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity that each row of an imported sheet goes to."""
+    return registry.matched_sheet(*_imported(spark, sf_dir))[0]
+
+
+@query(f"""WITH {_SHEET} SELECT row, 'entity_id' AS kind, given AS detail FROM p WHERE given = 'no id' UNION ALL SELECT row, 'different_entities', array_to_string(owners, ',') FROM p WHERE given IS NULL AND len(owners) > 1
+  UNION ALL SELECT row, 'held', key || ' by ' || holder FROM h JOIN p USING (row) WHERE holder <> target
+  UNION ALL SELECT row, 'entity_again', target || ' in row ' || b FROM (SELECT row, target, lag(row) OVER (PARTITION BY target ORDER BY row) AS b FROM p) WHERE b IS NOT NULL
+  UNION ALL SELECT row, 'identifier_again', key || ' in row ' || b FROM (SELECT row, key, lag(row) OVER (PARTITION BY key ORDER BY row) AS b FROM x) WHERE b IS NOT NULL""")
+def sheet_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps rows of an imported sheet from being taken."""
+    return registry.matched_sheet(*_imported(spark, sf_dir))[1]
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    of = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    given = F.when(k % 4 == 0, of("E", k % 700)).when((k % 4 == 1) & (k % 5 == 0), "no id")
+    keys = F.when(k % 6 == 0, F.array(of("mmsi:", k % 500), of("imo:", k % 450))).otherwise(F.array(of("mmsi:", k % 500)))
+    rows = c.select(k.alias("row"), given.alias("entity_id"), keys.alias("keys"))
+    ids = c.where(k < 300).select(of("mmsi:", k).alias("key"), of("E", k).alias("entity_id")).union(c.where((k < 200) & (k % 2 == 0)).select(of("imo:", k), of("E", k)))
+    return rows, ids, c.where(k < 600).select(of("E", k).alias("entity_id"))
+
+
 @query("""WITH f AS (SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '11') OR contains(c_custkey::varchar, '11') OR contains((c_custkey % 400)::varchar, '11'))
   SELECT c_custkey AS entity_id, c_name AS entity_name, (SELECT count(*) FROM f) AS total FROM f ORDER BY c_name, c_custkey LIMIT 20 OFFSET 5""")
 def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
