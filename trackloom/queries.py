@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import expr, geo, kinematics, symbols
 from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, timing, trackers
 from trackloom.plans.flow import Flow
-from trackloom.sources import framing, simulate, sinks
+from trackloom.sources import framing, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
 
 QUERIES: dict = {}
@@ -978,10 +978,20 @@ def cot_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("uid").cast("long").alias("event_id"), F.regexp_extract("event", '^(<event version="2.0" uid="[^"]*" type="[^"]*")', 1).alias("head"), F.col("event").endswith("</detail></event>").alias("closed"))
 
 
-@query()
+@query("""SELECT c_custkey AS "window", CASE WHEN c_custkey % 2 = 0 THEN 'e' || c_custkey END AS emitter, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END AS lines,
+  500000 + (c_custkey % 50) * 1000 + c_custkey * 7 % 99 * 10 - 495 AS lat, (c_custkey // 50 % 100) * 1000 + c_custkey * 11 % 99 * 10 - 495 AS lon FROM customer""")
 def crossfix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes from seeded bearing sensors that hear the same emitters."""
-    return bearings.cross_fixes(simulate.bearings(spark, targets=10, sensors=4, scans=24))
+    """Fixes of emitters that three sensors hear, known by kind or not (J9, T19): an emitter for
+    each customer, heard once; the lines meet where it is."""
+    c = F.col("c_custkey")
+    at = table(spark, sf_dir, "customer").select(c, (50.0 + (c % 50) / 10.0).alias("y"), (F.expr("c_custkey div 50 % 100") / 10.0).alias("x"))
+    sensor = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(e).alias("e")) for i, (n, e) in enumerate(((0.0, 0.2), (0.2, -0.1), (-0.2, -0.1))))))
+    rows = at.withColumn("s", sensor)
+    north, east = (c * 7 % 99 - 49.5) / 1000.0 - F.col("s.n"), (c * 11 % 99 - 49.5) / 1000.0 - F.col("s.e")
+    line = F.pmod(F.degrees(F.atan2(east * F.cos(F.radians("y")), north)), F.lit(360.0))
+    lines = rows.select((c * 3 + F.col("s.i")).alias("line_id"), F.concat(F.lit("s"), F.col("s.i").cast("string")).alias("sensor"), (c * 10_000_000).alias("t_us"), (F.col("y") + F.col("s.n")).alias("lat"), (F.col("x") + F.col("s.e")).alias("lon"), line.alias("bearing"), F.lit(0.5).alias("sigma"), F.when(c % 2 == 0, F.concat(F.lit("e"), c.cast("string"))).alias("emitter"))
+    whole = lambda x: F.floor(F.col(x) * 10_000 + 0.5).cast("long").alias(x)
+    return bearings.cross_fixes(lines).select("window", "emitter", F.size("lines").alias("lines"), whole("lat"), whole("lon"))
 
 
 @query()
