@@ -525,7 +525,26 @@ def test_links_that_join_unlike_identities_go(spark):
 
     links = spark.createDataFrame([("A", "B", 0.99), ("B", "C", 0.9), ("C", "D", 0.95), ("X", "Y", 0.9)], "a string, b string, probability double")
     tracks = spark.createDataFrame([("A", "mmsi:1"), ("B", None), ("C", None), ("D", "mmsi:2"), ("X", "mmsi:3"), ("Y", "icao:4")], "track string, identity string")
-    assert sorted((r.a, r.b) for r in correlate.without_conflicts(links, tracks).collect()) == [("A", "B"), ("C", "D"), ("X", "Y")]
+    of = {r.id: r.component for r in correlate.components_without_conflicts(links, tracks).collect()}
+    assert of == {"A": "A", "B": "A", "C": "C", "D": "C", "X": "X", "Y": "X"}
+
+
+def test_latest_pairs_hold_the_latest_of_each_track(spark):
+    """Against all pairs: of each track in reach the newest report is among the candidates."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), str(rng.randrange(4)), rng.randrange(0, 400) * 1_000_000, 50.0 + rng.randrange(3) * 0.01, 0.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, source_id string, track_key string, t_us long, lat double, lon double").repartition(3)
+    met = joins.latest_pairs(df, df, ["source_id", "track_key"], max_dt_us=60_000_000).collect()
+    best = {}
+    for r in met:
+        key = r.a_event_id, r.b_source_id, r.b_track_key
+        best[key] = max(best.get(key, (-1, -1)), (r.b_t_us, r.b_event_id))
+    want = {}
+    for a in rows:
+        for b in rows:
+            if 0 <= a[3] - b[3] <= 60_000_000:
+                want[a[0], b[1], b[2]] = max(want.get((a[0], b[1], b[2]), (-1, -1)), (b[3], b[0]))
+    assert best == want and len(met) < sum(0 <= a[3] - b[3] <= 60_000_000 for a in rows for b in rows)
 
 
 def test_audit_chain_finds_gaps_links_and_hashes(spark):
