@@ -9,7 +9,8 @@ of all trees are united.  Equal vectors of a label are one entry throughout.
 Splits inside a dense group would part its pairs at random.  So a cell in which a sample
 of pairs links at a rate of ``DENSE`` or more is split no further, however large: all its
 vectors are compared, in blocks, which costs a bounded multiple of the links it yields.
-Dense cells that are too large for a task are compared by one task for each two blocks.
+Each two blocks of a dense cell are a task; it gives a count for each vector and what the
+links connect, not the links, which are as many as the square of a group's size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,10 @@ CELL_ROWS = 16_384
 #: The rate of linked pairs from which a cell is compared whole, and how many vectors a sample of it has.
 DENSE, SAMPLE = 1 / 16, 128
 BLOCK = 1024
+#: Cells of up to so many vectors are leaves without a test of their density.
+FEW = 16
+#: The kinds of rows that tasks return: a linked pair, a link of a component, a vector of a dense cell, a count of links.
+PAIR, STAR, MEMBER, COUNT = range(4)
 
 
 def _direction(seed: int, tree: int, cell: int, dim: int) -> np.ndarray:
@@ -100,22 +106,16 @@ class _Vectors:
         sure = (self.raw[i] * self.raw[j]).sum(axis=1) / (self.norms[i] * self.norms[j]) >= self.threshold
         return i[sure], j[sure]
 
-    def blocks(self, rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    def blocks(self, rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All linked pairs of ``rows``, or of ``rows`` x ``others``, block by block."""
         cut = lambda x: [x[a : a + BLOCK] for a in range(0, len(x), BLOCK)]
         left = cut(rows)
         right = left if others is None else cut(others)
         for at, x in enumerate(left):
             for y in right[at:] if others is None else right:
-                yield self.frame(*self.linked(x, y))
+                yield self.linked(x, y)
 
-    def frame(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        self._connect(i, j)
-        uid, n = self.uid, self.n
-        i, j = np.where(uid[i] < uid[j], i, j), np.where(uid[i] < uid[j], j, i)
-        return pd.DataFrame({"a": uid[i], "b": uid[j], "na": n[i], "nb": n[j], "star": False})
-
-    def _connect(self, i: np.ndarray, j: np.ndarray) -> None:
+    def connect(self, i: np.ndarray, j: np.ndarray) -> None:
         """Each vector's label becomes the least that its links reach."""
         while len(i):
             x, y = self.label[i], self.label[j]
@@ -125,43 +125,69 @@ class _Vectors:
             while (self.label != self.label[self.label]).any():
                 self.label = self.label[self.label]
 
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        uid, n = self.uid, self.n
+        i, j = np.where(uid[i] < uid[j], i, j), np.where(uid[i] < uid[j], j, i)
+        return pd.DataFrame({"kind": PAIR, "a": uid[i], "b": uid[j], "na": n[i], "nb": n[j]})
+
     def stars(self) -> pd.DataFrame:
         """What the links connect, as a row for each vector instead of one for each link."""
         v = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return pd.DataFrame({"a": self.uid[self.label[v]], "b": self.uid[v], "na": 0, "nb": 0, "star": True})
+        return pd.DataFrame({"kind": STAR, "a": self.uid[self.label[v]], "b": self.uid[v], "na": 0, "nb": 0})
 
 
 def _grow(seed: int, threshold: float):
+    """Grows the rest of a tree in a cell: the pairs of its leaves, and who is in which dense cell."""
+
     def work(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = _Vectors(pd.concat(parts, ignore_index=True), threshold)
+        x = _Vectors(pd.concat(parts, ignore_index=True).sort_values("uid"), threshold)
         total = len(x.raw)
         rng = np.random.default_rng([seed, int(key[0]), int(key[1]) & (2**63 - 1)])
-        stack, pairs = [np.arange(total)], set()
+        stack, codes = [(np.arange(total), 1)], []
         while stack:
-            rows = stack.pop()
-            if len(rows) > LEAF:
-                if _is_dense(x.unit[rows], threshold):
-                    yield from x.blocks(rows)
-                    continue
+            rows, path = stack.pop()
+            if len(rows) > FEW and _is_dense(x.unit[rows], threshold):
+                name = xxhash.xxh64_intdigest(f"{key[0]}/{key[1]}/{path}") >> 1
+                yield pd.DataFrame({"kind": MEMBER, "a": x.uid[rows], "b": name, "na": 0, "nb": 0})
+            elif len(rows) > LEAF:
                 order = rows[np.argsort(x.unit[rows] @ rng.standard_normal(x.raw.shape[1]), kind="stable")]
                 half, band = len(rows) // 2, int(len(rows) * SPILL)
-                stack += [order[: half + band], order[half - band :]]
-                continue
-            i, j = x.linked(rows, rows)
-            pairs.update((np.minimum(i, j) * total + np.maximum(i, j)).tolist())
-        found = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
-        yield x.frame(found // total, found % total)
+                stack += [(order[: half + band], 2 * path), (order[half - band :], 2 * path + 1)]
+            else:
+                i, j = x.linked(rows, rows)
+                codes.append(np.unique(np.minimum(i, j) * total + np.maximum(i, j)))
+        found = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *codes]))
+        x.connect(found // total, found % total)
+        yield x.pairs(found // total, found % total)
         yield x.stars()
 
     return work
 
 
 def _meet(threshold: float):
+    """Compares two blocks of a dense cell.  A pair that dense cells share counts in the
+    least of them, so that each vector's count is one number a task, and no pair is a row."""
+
     def work(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(parts, ignore_index=True)
         x, block = _Vectors(pdf, threshold), pdf["block"].to_numpy()
-        left, right = np.nonzero(block == key[2])[0], np.nonzero(block == key[3])[0]
-        yield from x.blocks(left, None if key[2] == key[3] else right)
+        row, less = np.repeat(np.arange(len(pdf)), pdf["cells"].map(len)), np.concatenate(pdf["cells"].to_numpy())
+        row, less = row[less < key[0]], less[less < key[0]]
+        names, column = np.unique(less, return_inverse=True)
+        inside = np.zeros((len(pdf), len(names)), dtype=bool)
+        inside[row, column] = True
+        inside = np.packbits(inside[:, inside.sum(axis=0) > 1], axis=1)
+        left, right = np.nonzero(block == key[1])[0], np.nonzero(block == key[2])[0]
+        others = np.zeros(len(pdf), dtype=np.int64)
+        for i, j in x.blocks(left, None if key[1] == key[2] else right):
+            x.connect(i, j)
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                first = ~(inside[p] & inside[q]).any(axis=1)
+                np.add.at(others, p[first], x.n[q[first]])
+                np.add.at(others, q[first], x.n[p[first]])
+        some = np.flatnonzero(others)
+        yield pd.DataFrame({"kind": COUNT, "a": x.uid[some], "b": 0, "na": 0, "nb": others[some]})
         yield x.stars()
 
     return work
@@ -187,19 +213,33 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, trees: int = 6,
 
     cells = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("cell", F.xxhash64("label", F.size("v"))).select("tree", "cell", "uid", "n", "v")
     cells, whole = _split_large(cells, seed, cell_rows, threshold)
-    made = "a long, b long, na long, nb long, star boolean"
-    pairs = cells.groupBy("tree", "cell").applyInPandas(_grow(seed, threshold), made)
-    if not whole.isEmpty():
-        # Block i meets the blocks from i on: every row goes to as many tasks as there are blocks.
-        dealt = whole.withColumn("blocks", F.ceil(F.col("rows") * 2 / cell_rows)).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(1)), "blocks"))
+    made = "kind int, a long, b long, na long, nb long"
+    found = materialize(cells.groupBy("tree", "cell").applyInPandas(_grow(seed, threshold), made))
+    members = materialize(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("uid"), F.col("b").alias("dense")).union(whole.select("uid", F.shiftrightunsigned(F.xxhash64("tree", "cell"), 1))).distinct())
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b", "na", "nb").distinct()
+    stars = found.where(F.col("kind") == STAR).select("a", "b")
+    links = lambda pairs: pairs.select(F.col("a").alias("uid"), F.col("nb").alias("others")).union(pairs.select("b", "na"))
+    if members.isEmpty():
+        counts = links(materialize(pairs))
+    else:
+        # A vector is in a few dense cells of each tree.  Block i of a cell meets the blocks from i on:
+        # every row goes to as many tasks as there are blocks.
+        lists = materialize(members.groupBy("uid").agg(F.collect_list("dense").alias("cells")))
+        sizes = members.groupBy("dense").agg(F.ceil(F.count("*") * 2 / cell_rows).alias("blocks"))
+        dealt = members.join(sizes, "dense").withColumn("block", F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(1)), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("tree", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "n", "v")
-        pairs = pairs.union(dealt.groupBy("tree", "cell", "i", "j").applyInPandas(_meet(threshold), made))
-    pairs = materialize(pairs.distinct())
-
-    links = pairs.where("not star").select(F.col("a").alias("uid"), F.col("nb").alias("others")).union(pairs.where("not star").select("b", "na")).groupBy("uid").agg(F.sum("others").alias("others"))
+        dealt = dealt.join(lists, "uid").join(reps.select("uid", "n", "v"), "uid")
+        dealt = dealt.select("dense", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "n", "v", "cells")
+        met = materialize(dealt.groupBy("dense", "i", "j").applyInPandas(_meet(threshold), made))
+        # Pairs of leaves that a dense cell holds too are counted there.
+        ends = pairs.join(lists.toDF("a", "of_a"), "a", "left").join(lists.toDF("b", "of_b"), "b", "left")
+        counts = links(materialize(ends.where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)))))
+        counts = counts.union(met.where(F.col("kind") == COUNT).select("a", "nb"))
+        stars = stars.union(met.where(F.col("kind") == STAR).select("a", "b"))
+
+    links = counts.groupBy("uid").agg(F.sum("others").alias("others"))
     # Components grow from the stars: in a dense group links are as many as the square of its size.
-    linked = components(pairs.where("star").select("a", "b")).select(F.col("id").alias("uid"), "component")
+    linked = components(stars).select(F.col("id").alias("uid"), "component")
     classes = reps.join(links, "uid", "left").join(linked, "uid", "left")
     classes = materialize(classes.select("label", "v", F.coalesce("component", "uid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     placed = materialize(usable.join(classes, ["label", "v"]).select("vec_id", "component", "n_links"))
