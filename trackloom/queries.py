@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics, symbols
-from trackloom.operators import analytics, bearings, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, timing, trackers
+from trackloom.operators import analytics, bearings, commands, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, timing, trackers
 from trackloom.plans.flow import Flow
 from trackloom.sources import framing, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -749,6 +749,77 @@ def undo_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.undo(edges, one, 999_999).where(touched).select("edge_id", "valid_from", "valid_to")
 
 
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of commands from orders: customers that share tracks, with undos of what they did last or before."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    undoes = F.when(k % 3 == 0, F.when(k % 2 == 0, F.lag("o_orderkey", 1).over(own)).otherwise(F.lag("o_orderkey", 2).over(own)))
+    ops = F.array(*map(F.lit, ("merge", "split", "do_not_pair", "pair_tracks", "unpair_tracks", "group_members", "delete_track")))
+    op = F.when(undoes.isNotNull(), "undo").otherwise(ops[(k % 7).cast("int")])
+    rows = table(spark, sf_dir, "orders").select(k.alias("decision_id"), (k * 10).alias("at"), F.when(k % 5 == 0, "engine").otherwise(F.concat(F.lit("m"), (k % 3).cast("string"))).alias("actor"), op.alias("op"), undoes.alias("undoes"), c.alias("c"))
+    source = F.col("op").isin("merge", "split", "delete_track")
+    track = lambda n: F.concat(F.lit("T"), (F.expr("c div 6") + n).cast("string"))
+    rows = rows.withColumns({"subjects": F.array(F.when(source, F.concat(F.lit("S"), F.col("c").cast("string"))).otherwise(track(0))), "object": track(1 + F.col("decision_id") % 2), "before": F.lag("op").over(Window.partitionBy("c").orderBy("decision_id")), "lead": F.lag("decision_id").over(Window.partitionBy("c").orderBy("decision_id"))})
+    return rows.withColumn("with_decision", F.when((F.col("op") == "do_not_pair") & (F.col("before") == "split"), F.col("lead"))).drop("c", "before", "lead")
+
+
+_COMMANDS_SQL = """b AS (SELECT o_orderkey AS id, o_custkey AS c, lag(o_orderkey, 1) OVER w AS l1, lag(o_orderkey, 2) OVER w AS l2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+  b2 AS (SELECT id, c, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN l1 ELSE l2 END END AS undoes FROM b),
+  b3 AS (SELECT *, CASE WHEN undoes IS NOT NULL THEN 'undo' ELSE ['merge', 'split', 'do_not_pair', 'pair_tracks', 'unpair_tracks', 'group_members', 'delete_track'][id % 7 + 1] END AS op, id % 5 = 0 AS own FROM b2),
+  com AS (SELECT *, CASE WHEN op = 'do_not_pair' AND lag(op) OVER w = 'split' THEN lag(id) OVER w END AS lead,
+    CASE WHEN op IN ('merge', 'split', 'delete_track') THEN 'S' || c ELSE 'T' || c // 6 END AS a, 'T' || (c // 6 + 1 + id % 2) AS o FROM b3 WINDOW w AS (PARTITION BY c ORDER BY id)),
+  eff AS (SELECT id, own, CASE WHEN op IN ('merge', 'split', 'delete_track') THEN 'REPORTS_FOR' WHEN op = 'do_not_pair' THEN 'DO_NOT_PAIR' WHEN op = 'group_members' THEN 'MEMBER_OF' ELSE 'PAIRED_WITH' END AS kind,
+    CASE WHEN op IN ('do_not_pair', 'pair_tracks', 'unpair_tracks') THEN least(a, o) ELSE a END AS src, CASE WHEN op IN ('do_not_pair', 'pair_tracks', 'unpair_tracks') THEN greatest(a, o) ELSE o END AS dst, op NOT IN ('delete_track', 'unpair_tracks') AS opens FROM com WHERE op <> 'undo'),
+  und AS (SELECT u.id AS u, u.undoes AS d, CASE WHEN d.op IS NULL THEN 'unknown' WHEN d.op = 'undo' OR d.own THEN 'not undoable' END AS v FROM com u LEFT JOIN com d ON d.id = u.undoes WHERE u.op = 'undo'),
+  cov AS (SELECT und.u, x.id AS x FROM und JOIN com x ON (x.id = und.d OR x.lead = und.d) AND x.op <> 'undo' AND x.id < und.u),
+  tou AS (SELECT id AS x, own, src AS node FROM eff UNION SELECT id, own, dst FROM eff),
+  nod AS (SELECT DISTINCT und.u, und.d, t.node FROM und JOIN cov USING (u) JOIN tou t ON t.x = cov.x WHERE v IS NULL),
+  std AS (SELECT DISTINCT n.u, t.x, false AS target FROM nod n JOIN tou t ON t.node = n.node AND NOT t.own AND t.x > n.d AND t.x < n.u AND NOT EXISTS (SELECT 1 FROM cov k WHERE k.u = n.u AND k.x = t.x)
+    UNION ALL SELECT u, d, true FROM und WHERE v IS NULL),
+  wai AS (SELECT s.u, s.x, s.target, k.u AS by_u FROM std s LEFT JOIN cov k ON k.x = s.x AND k.u < s.u),
+  r AS (SELECT 0 AS n, u, v, NULL::bigint AS blocker FROM und UNION ALL
+    SELECT r.n + 1, r.u, coalesce(r.v, q.v), coalesce(r.blocker, q.blocker) FROM r LEFT JOIN
+      (SELECT u, CASE WHEN bool_or(pending) THEN NULL WHEN bool_or(target AND gone) THEN 'undone already' WHEN bool_or(NOT target AND NOT gone) THEN 'changed since' ELSE 'undone' END AS v,
+         CASE WHEN NOT bool_or(pending) AND NOT bool_or(target AND gone) THEN min(CASE WHEN NOT target AND NOT gone THEN x END) END AS blocker
+       FROM (SELECT w.u, w.x, w.target, bool_or(w.by_u IS NOT NULL AND z.v IS NULL) AS pending, coalesce(bool_or(z.v = 'undone'), false) AS gone FROM wai w LEFT JOIN r z ON z.u = w.by_u GROUP BY ALL) GROUP BY u) q ON q.u = r.u
+    WHERE EXISTS (SELECT 1 FROM r WHERE v IS NULL)),
+  ver AS (SELECT u, v, blocker FROM r WHERE n = (SELECT max(n) FROM r))"""
+
+
+@query(f"""WITH RECURSIVE {_COMMANDS_SQL} SELECT und.u AS decision_id, und.d AS undoes, ver.v AS verdict, ver.blocker FROM ver JOIN und USING (u)""")
+def command_undos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which undos of a log hold, and what stands in the way of the others (section 2.10)."""
+    return commands.undo_verdicts(_commands(spark, sf_dir))
+
+
+_COMMAND_EDGES_SQL = _COMMANDS_SQL + """,
+  fir AS (SELECT cov.x, min(cov.u) AS u FROM cov JOIN ver ON ver.u = cov.u AND ver.v = 'undone' GROUP BY cov.x),
+  evs AS (SELECT kind, src, CASE WHEN kind = 'REPORTS_FOR' THEN '' ELSE dst END AS too, id, own, CASE WHEN opens THEN dst END AS val, NULL::bigint AS target FROM eff),
+  als AS (SELECT * FROM evs UNION ALL SELECT kind, src, too, fir.u, false, NULL, min(fir.x) FROM evs JOIN fir ON fir.x = evs.id GROUP BY ALL),
+  pre AS (SELECT *, lag(id) OVER w AS prev FROM als WINDOW w AS (PARTITION BY kind, src, too ORDER BY id)),
+  pts AS (SELECT p.kind, p.src, p.too, p.id, coalesce(t.prev, (SELECT max(e.id) FROM evs e WHERE e.own AND e.kind = p.kind AND e.src = p.src AND e.too = p.too AND e.id < p.id AND e.id > p.target)) AS ptr
+    FROM pre p JOIN pre t ON t.kind = p.kind AND t.src = p.src AND t.too = p.too AND t.id = p.target AND t.target IS NULL WHERE p.target IS NOT NULL),
+  hop AS (SELECT kind, src, too, id, ptr FROM pts UNION ALL SELECT h.kind, h.src, h.too, h.id, p.ptr FROM hop h JOIN pts p ON p.kind = h.kind AND p.src = h.src AND p.too = h.too AND p.id = h.ptr),
+  giv AS (SELECT h.kind, h.src, h.too, h.id, e.val FROM hop h JOIN evs e ON e.kind = h.kind AND e.src = h.src AND e.too = h.too AND e.id = h.ptr),
+  ful AS (SELECT a.kind, a.src, a.too, a.id, CASE WHEN a.target IS NULL THEN a.val ELSE g.val END AS val FROM als a LEFT JOIN giv g USING (kind, src, too, id)),
+  chg AS (SELECT *, lag(val) OVER (PARTITION BY kind, src, too ORDER BY id) AS was FROM ful),
+  fin AS (SELECT *, lead(id) OVER (PARTITION BY kind, src, too ORDER BY id) AS ended FROM chg WHERE val IS DISTINCT FROM was)"""
+
+
+@query(f"""WITH RECURSIVE {_COMMAND_EDGES_SQL} SELECT kind, src, val AS dst, id * 10 AS valid_from, ended * 10 AS valid_to, id AS decision_id, ended AS ended_by FROM fin WHERE val IS NOT NULL""")
+def command_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that a log of commands and its undos leave, with who opened and ended them (section 2.10)."""
+    log = _commands(spark, sf_dir)
+    return commands.edges(log, commands.undo_verdicts(log))
+
+
+@query(f"""WITH RECURSIVE {_COMMAND_EDGES_SQL} SELECT val AS track, count(*) FILTER (WHERE ended IS NULL) AS sources, CASE WHEN count(*) FILTER (WHERE ended IS NULL) = 0 THEN max(ended) * 10 END AS retired_at FROM fin WHERE val IS NOT NULL AND kind = 'REPORTS_FOR' GROUP BY val""")
+def command_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks by the sources that commands leave them: live, or retired and when (section 2.10)."""
+    log = _commands(spark, sf_dir)
+    return commands.track_states(commands.edges(log, commands.undo_verdicts(log)))
+
+
 # --- scoring (Q*) ----------------------------------------------------------------------
 
 
