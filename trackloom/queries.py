@@ -6,11 +6,13 @@ given tables, over whole tables.  Floating results are rounded by ``floor(x p +
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics, symbols
-from trackloom.operators import analytics, bearings, commands, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, peers, registry, scoring, timing, trackers
+from trackloom.operators import analytics, bearings, commands, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, motion, peers, registry, scoring, timing, trackers
 from trackloom.plans.flow import Flow
 from trackloom.sources import framing, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -1065,6 +1067,23 @@ def crossfix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bearings.cross_fixes(lines).select("window", "emitter", F.size("lines").alias("lines"), whole("lat"), whole("lon"))
 
 
+@query("""SELECT c_custkey::varchar AS sensor_track, CASE WHEN c_custkey % 2 = 0 THEN 'moving' ELSE 'fixed' END AS model, 50 + c_custkey % 7 AS north_100m, 120 + c_custkey % 11 AS east_100m, CASE WHEN c_custkey % 2 = 0 THEN -12 ELSE 0 END AS v_north, CASE WHEN c_custkey % 2 = 0 THEN 9 ELSE 0 END AS v_east, 31 AS lines FROM customer""")
+def emitter_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emitters at rest and under way by one sensor's bearings (T19): one for each customer, heard 31
+    times by a sensor that flies north, then east; they are found where the lines were made to."""
+    c, east_of = F.col("c_custkey"), geo.METRES_PER_DEGREE * math.cos(math.radians(50.0))
+    t = (F.col("i") * 10 - 300).cast("double")
+    rows = table(spark, sf_dir, "customer").select(c, F.explode(F.sequence(F.lit(0), F.lit(30))).alias("i"))
+    north, east = 100.0 * F.least(t + 150.0, F.lit(0.0)), 100.0 * F.greatest(t + 150.0, F.lit(0.0))
+    at = lambda base, v: base + F.when(c % 2 == 0, v * t).otherwise(0.0)
+    to_n, to_e = at((50 + c % 7) * 100.0, -12.0) - north, at((120 + c % 11) * 100.0, 9.0) - east
+    bearing = F.pmod(F.degrees(F.atan2(to_e, to_n)), F.lit(360.0))
+    lines = rows.select(c.cast("string").alias("sensor_track"), F.col("i").cast("long").alias("line_id"), ((t + 1000.0) * 1_000_000).cast("long").alias("t_us"), (50.0 + north / geo.METRES_PER_DEGREE).alias("lat"), (east / east_of).alias("lon"), bearing.alias("bearing"), F.lit(0.02).alias("sigma"), F.lit(60_000.0).alias("range_m"), F.lit(False).alias("moving"))
+    whole = lambda x, unit: F.floor(x / unit + 0.5).cast("long")
+    found = motion.locate(lines)
+    return found.select("sensor_track", "model", whole((F.col("lat") - 50.0) * geo.METRES_PER_DEGREE, 100.0).alias("north_100m"), whole(F.col("lon") * east_of, 100.0).alias("east_100m"), whole(F.col("v_north"), 1.0).alias("v_north"), whole(F.col("v_east"), 1.0).alias("v_east"), "lines")
+
+
 @query()
 def mht_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks from anonymous plots by hypotheses over several scans."""
