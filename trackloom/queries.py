@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import expr, geo, kinematics, symbols
 from trackloom.operators import analytics, bearings, commands, correlate, folds, fusion, graph, joins, maintenance, mapping, mht, motion, peers, registry, scoring, timing, trackers
+from trackloom.plans import plugins
 from trackloom.plans.flow import Flow
 from trackloom.sources import framing, sinks
 from trackloom.sources.adapter import OBS_SQL, observations, table
@@ -302,6 +303,32 @@ def dead_reckon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("event_id", rnd(lat, 7).alias("lat"), rnd(lon, 7).alias("lon"))
 
 
+def _same_kind(weight: float):
+    """A scorer by kind of object: it knows nothing of every 13th report and cannot read every 997th."""
+
+    def judge(pairs):
+        if (pairs["b_event_id"] % 997 == 0).any():
+            raise ValueError("unreadable")
+        same = pairs["a_event_id"] % 3 == pairs["b_event_id"] % 3
+        ratio = same.map({True: weight, False: -weight}).where(pairs["b_event_id"] % 13 != 0)
+        return pairs[["pass"]].assign(ln_lr=ratio, evidence=same.map({True: "same", False: "unlike"})).assign(**{"pass": same})
+
+    return judge
+
+
+plugins.register("scorer", "same_kind", "1.0", _same_kind, {"weight": float})
+
+
+@query(f"""WITH {KIN_SQL}, s AS (SELECT a_id, b_id, lr.pass, ln_lr, a_id % 3 = b_id % 3 AS same, b_id % 997 = 0 AS broken, b_id % 13 = 0 AS silent FROM lr)
+  SELECT a_id, b_id, CASE WHEN broken OR silent THEN s.pass ELSE same END AS pass, CASE WHEN broken OR silent THEN {rsql('ln_lr', 3)} WHEN same THEN 2.5::double ELSE -2.5::double END AS ln_lr,
+    CASE WHEN NOT broken THEN 'same_kind-1.0' END AS scorer, CASE WHEN broken THEN NULL WHEN same THEN 'same' ELSE 'unlike' END AS evidence FROM s""")
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearby pairs judged by a scorer by name, the kinematics where it fails or says nothing (T27, section 2.11)."""
+    pairs = _compared(spark, sf_dir).select(F.col("a_event_id"), F.col("b_event_id"), "pass", "ln_lr")
+    found = plugins.score(pairs, "same_kind", weight=2.5)
+    return found.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), "pass", rnd(F.col("ln_lr"), 3).alias("ln_lr"), "scorer", "evidence")
+
+
 @query(f"""WITH {OBS_SQL}, p AS (SELECT *, lag(t_us) OVER w AS t0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM obs WINDOW w AS (PARTITION BY track_key ORDER BY t_us, event_id))
   SELECT event_id, {hav('lat', 'lon', 'lat0', 'lon0')} <= 10000.0::double + {_VMAX.format(d='domain')} * ((t_us - t0) / 1e6::double) AS possible FROM p WHERE t0 IS NOT NULL""")
 def sanity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
