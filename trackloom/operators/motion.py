@@ -51,12 +51,15 @@ def _fit(starts: np.ndarray, *lines: np.ndarray) -> tuple[np.ndarray, np.ndarray
     r, g, cost = _misfit(x, *lines)
     x, damping, r, g, cost = (v[np.isfinite(cost)] for v in (x, damping, r, g, cost))
     busy = np.full(len(x), True)
-    for _ in range(200):
+    for _ in range(100):
         if not busy.any():
             break
-        normal = np.einsum("slp,slq->spq", g, g)
-        diagonal = np.einsum("spp->sp", normal)
-        step = np.linalg.pinv(normal + np.einsum("sp,pq->spq", damping[:, None] * np.maximum(diagonal, 1e-12), np.eye(x.shape[1]))) @ np.einsum("slp,sl->sp", g, r)[..., None]
+        gt = g.swapaxes(1, 2)
+        normal, slope = gt @ g, gt @ r[..., None]
+        # Scaled by its diagonal, so that the damped matrix always has an inverse.
+        scale = np.sqrt(np.maximum(np.diagonal(normal, axis1=1, axis2=2), 1e-12))[..., None]
+        damped = normal / (scale * scale.swapaxes(1, 2)) + damping[:, None, None] * np.eye(x.shape[1])
+        step = np.linalg.solve(damped, slope / scale) / scale
         tried = np.where(busy[:, None], x + step[..., 0], x)
         r2, g2, cost2 = _misfit(tried, *lines)
         better = busy & (cost2 < cost)
@@ -132,6 +135,8 @@ def locate(lines: DataFrame, *, window_us: int = 600_000_000, most_unseen_mps: f
     names = [part.split()[0] for part in schema.split(", ")]
     needed = ("t_us", "lat", "lon", "bearing", "sigma", "range_m", "sensor_track")
     whole = lines.where(" and ".join(f"{n} is not null" for n in needed) + " and sigma > 0")
+    # The fits cost far more than their rows weigh: a number of parts that is named is not made smaller.
+    whole = whole.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sensor_track")
     recent = whole.withColumn("_newest", F.max("t_us").over(Window.partitionBy("sensor_track"))).where(F.col("t_us") >= F.col("_newest") - window_us).drop("_newest")
     recent = recent.select("sensor_track", "line_id", "t_us", "lat", "lon", "bearing", "sigma", "range_m", F.coalesce("moving", F.lit(False)).alias("moving"))
     return recent.groupBy("sensor_track").applyInPandas(work, schema)

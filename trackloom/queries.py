@@ -857,6 +857,27 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("t_us", F.col("track_key").alias("truth_id"), F.col("source_id").alias("track"), "error_m", "event_id")
 
 
+@query(f"""WITH {OBS_SQL}, pl AS (SELECT t_us, lat, lon FROM obs WHERE event_id % 4 = 0)
+  SELECT event_id AS point_id, event_id % 5 <> 0 AND EXISTS (SELECT 1 FROM pl WHERE pl.t_us >= o.t_us - 3600000000 AND pl.t_us < o.t_us + 3600000000 AND {hav('o.lat', 'o.lon', 'pl.lat', 'pl.lon')} <= 2000.0::double) AS scored FROM obs o WHERE event_id % 4 <> 0""")
+def detected_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth counts only where a plot came near in place and time (Q10): of four events one is a plot."""
+    o = observations(spark, sf_dir)
+    truth = o.where("event_id % 4 <> 0").select(F.col("event_id").alias("point_id"), "t_us", "lat", "lon", (F.col("event_id") % 5 != 0).alias("scored"))
+    found = scoring.require_detection(truth, o.where("event_id % 4 = 0"), within_m=2000.0, window_us=3_600_000_000)
+    return found.select("point_id", "scored")
+
+
+@query("""WITH s AS (SELECT ['autoferry-', 'solent-', 'alpine-'][o_orderkey % 3 + 1] || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '-fusion' ELSE '-radar' END AS scenario, o_custkey AS r, o_orderkey % 11 AS w, o_orderkey % 17 AS m FROM orders)
+  SELECT sum(r)::bigint AS pairs_right, sum(w)::bigint AS pairs_wrong, floor(sum(w) / (sum(r) + sum(w))::double * 10000.0::double + 0.5::double) / 10000.0::double AS wrong, floor(sum(r) / (sum(r) + sum(m))::double * 10000.0::double + 0.5::double) / 10000.0::double AS recall
+  FROM s WHERE (scenario LIKE 'autoferry-%' OR scenario LIKE 'solent-%') AND scenario LIKE '%-fusion'""")
+def harbour_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong pairings and recall pooled over the harbour scenarios (Q9), a run for each order."""
+    k = F.col("o_orderkey")
+    place = F.array(F.lit("autoferry-"), F.lit("solent-"), F.lit("alpine-"))[(k % 3).cast("int")]
+    name = F.concat(place, k.cast("string"), F.when(k % 2 == 0, "-fusion").otherwise("-radar"))
+    return scoring.pooled_gate(table(spark, sf_dir, "orders").select(name.alias("scenario"), F.col("o_custkey").alias("pairs_right"), (k % 11).alias("pairs_wrong"), (k % 17).alias("pairings_missed")))
+
+
 @query(f"""WITH {OBS_SQL}, p AS (SELECT track_key AS truth_id, source_id AS track, t_us, lag(t_us) OVER w AS t0, lag(source_id) OVER w AS s0 FROM obs WINDOW w AS (PARTITION BY track_key ORDER BY t_us, event_id)),
   m AS (SELECT *, (s0 IS NOT NULL AND s0 <> track)::bigint AS sw, coalesce((t_us - t0 > 86400000000)::bigint, 0) AS gap FROM p)
   SELECT truth_id, sum(sw)::bigint AS id_switches, sum(gap)::bigint AS fragments, min(t_us) AS first_us FROM m GROUP BY truth_id""")
