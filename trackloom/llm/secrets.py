@@ -8,13 +8,13 @@ map back by that.  A layer of the same content from the same characters is not f
 again, so that decoding cycles end, while equal content from another place of the text is
 a layer of its own.
 
-Escapes of escapes (``%2525...``) could make as many layers as a text has characters.  Layers
-are scanned one by one as long as those of a text have ``LAYERED`` characters together; the
-next one is then that in which no escape is left, which a single pass over the text makes.
-It holds what the layers between hold: unwrapping an escape leaves all other characters as
-they are, and no kind of secret has an escape's first character in it, so a secret or a
-token of a layer that has no part of an escape in it stands in all further ones too, at most
-with more characters around it.
+Escapes of escapes (``%2525...``) could make as many layers as a text has characters.  A layer
+differs from the one before only where escapes were unwrapped, so of each further layer only
+those places are read, each as far as a secret or a token reaches around it; everything else
+stood in an earlier layer as it is.  What follows an escape that is unwrapped once more in
+the next layer, and has no new character in it, is the end of what was read before (a run of
+base64 in all its phases) and is not read again before that.  This holds for any length and
+depth, and the work grows with the escapes that are unwrapped.
 
 Compressed data is read as a stream, whatever it inflates to, and is scanned in chunks; what
 may go on in the next chunk (a token, lines of base64, a name and its value) is handed on to
@@ -53,21 +53,27 @@ _LONG_HEX = re.compile(r"[0-9a-f]{32}")
 _WORDS = ("passw", "secret", "token", "api")
 
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos);")
-#: An escape whose last character is the last of a text: what a pass to the fixpoint looks for.
-_ENDS = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos);)\Z")
-_LONGEST_ESCAPE = 10
+#: The longest escape but runs of percent-escapes, and what escapes begin with.
+_LONGEST_ESCAPE, _BEGIN = 12, frozenset("%\\&")
+#: The characters of secrets and tokens, and a run of them; no escape begins with one.
+_PART = re.compile(r"""[A-Za-z0-9+/_.=\-"':\x20\t\r\n]*""")
+_PARTS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"': \t\r\n")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}+\r?\n[\x20\t]*)+[A-Za-z0-9+/]+={0,2}")
 _HEXRUN = re.compile(r"\A[0-9a-f]*\Z|\A[0-9A-F]*\Z")
 #: How compressed data begins (gzip, zlib, bzip2, xz, zstandard), as characters below 256.
 _MAGIC = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|[(]\xb5/\xfd")
 _RAW_RUN = re.compile("[\x00-\xff]+")
+#: Stretches of ASCII in UTF-16, of either kind.
+_WIDE = re.compile(rb"(?:[\x09-\x7e]\x00){8,}[\x09-\x7e]?")
+#: Characters whose escapes may be part of how compressed data begins.
+_MARKS = frozenset("\x1f\x8b\x08\x01\x9c\xda\xfd\x00\xb5")
 #: Escapes of bytes also as programs print them.
 _RAW_ESCAPE = re.compile(_ESCAPE.pattern + r"|\\[nrt\\'\"]")
 _PRINTED = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\\\": "\\", "\\'": "'", '\\"': '"'}
 
-#: Characters of all escape layers of a text that are scanned one by one.
-LAYERED = 1 << 26
+#: Without effect: layers are read alike whatever their length.  A test sets it to see that.
+LAYERED = 0
 #: Inflated data is read and scanned in chunks of this many bytes, more after a long open token; the last bytes are always seen twice.
 CHUNK, OVERLAP = 1 << 20, 1 << 14
 #: What is open at the end of a chunk, read backwards: a run of base64 or escapes, lines of base64 before it; a name with its value.
@@ -98,8 +104,8 @@ class Layer:
     """A decoded text.  Its characters came from ``starts`` to ``ends`` of the root, one by
     one, or, if ``ends`` is None, all from the stretch ``starts``; if both are None it is the root."""
 
-    def __init__(self, text: str, starts=None, ends=None, spent: int = 0):
-        self.text, self.starts, self.ends, self.spent, self.last = text, starts, ends, spent, False
+    def __init__(self, text: str, starts=None, ends=None):
+        self.text, self.starts, self.ends = text, starts, ends
 
     def where(self, a: int, b: int) -> tuple[int, int]:
         """The stretch of the root behind the characters a to b - 1."""
@@ -155,58 +161,162 @@ def _rewritten(layer: Layer, made: list[tuple[int, int, str, list[tuple[int, int
             highs += [ends[at:a], np.array([ends[y - 1] for _, y in places], dtype=np.int64)]
         at = b
     if flat:
-        return Layer("".join(parts), layer.starts, None, layer.spent + len(layer.text))
-    return Layer("".join(parts), np.concatenate(lows).astype(np.int64), np.concatenate(highs).astype(np.int64), layer.spent + len(layer.text))
+        return Layer("".join(parts), layer.starts, None)
+    return Layer("".join(parts), np.concatenate(lows).astype(np.int64), np.concatenate(highs).astype(np.int64))
 
 
-def _escaped(layer: Layer) -> Layer | None:
-    """The layer under the escapes of ``layer``, each character mapped to its own escape."""
-    made = []
-    for m in _ESCAPE.finditer(layer.text):
-        plain = _unescape(m.group())
-        if plain is None:
-            continue
-        a, b = m.span()
-        if m.group()[0] != "%":
-            made.append((a, b, plain, [(a, b)] * len(plain)))
-            continue
-        n = (b - a) // 3
+def _opened_escape(token: str) -> tuple[str, list[tuple[int, int]]] | None:
+    """What an escape or a run of percent-escapes stands for, and of each of its characters
+    the stretch of ``token`` behind it."""
+    plain = _unescape(token)
+    if plain is None:
+        return None
+    if token[0] == "%":
+        n = len(token) // 3
         sizes = [1] * len(plain) if len(plain) == n else [len(c.encode("utf-8", "surrogatepass")) for c in plain]
         if sum(sizes) == n:
-            cuts = np.concatenate([[0], np.cumsum(sizes)]) * 3 + a
-            made.append((a, b, plain, list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))))
-        else:
-            made.append((a, b, plain, [(a, b)] * len(plain)))
-    return _rewritten(layer, made) if made else None
-
-
-def _fixpoint(layer: Layer) -> Layer:
-    """``layer`` with its escapes unwrapped until none is left, in one pass: whenever the
-    characters so far end in an escape, what it stands for takes its place."""
-    out: list[str] = []
-    low: list[int] = []
-    high: list[int] = []
-    for i, c in enumerate(layer.text):
-        out.append(c)
-        low.append(i)
-        high.append(i + 1)
-        while out[-1] in ";}0123456789abcdefABCDEF":
-            tail = "".join(out[-_LONGEST_ESCAPE:])
-            m = _ENDS.search(tail)
-            plain = _unescape(m.group()) if m else None
-            if plain is None or len(plain) != 1:
-                break
-            n = len(m.group())
-            start, end = low[-n], high[-1]
-            del out[-n:], low[-n:], high[-n:]
-            out.append(plain)
-            low.append(start)
-            high.append(end)
-    flat = layer.starts is not None and layer.ends is None
-    if flat:
-        return Layer("".join(out), layer.starts, None, layer.spent + len(layer.text))
-    a, b = np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
-    return Layer("".join(out), a if layer.starts is None else layer.starts[a], b if layer.ends is None else layer.ends[b - 1], layer.spent + len(layer.text))
+            cuts = [0, *(np.cumsum(sizes) * 3).tolist()]
+            return plain, list(zip(cuts[:-1], cuts[1:], strict=True))
+    return plain, [(0, len(token))] * len(plain)
+
+
+class _Unwrapping:
+    """The layers under the escapes of a layer, one after the other, in its own cells.
+
+    A cell holds a character of ``text``; what an escape stands for takes its last cells,
+    the others are dead.  Cells keep their order, a map leads over the dead ones.  The
+    first cell that ever was part of an escape at some place holds what escapes begin with
+    in ``text``, so runs of other characters in ``text`` end before it.
+    """
+
+    def __init__(self, layer: Layer):
+        self.layer, self.text, self.flat = layer, layer.text, layer.starts is not None and layer.ends is None
+        self.new: dict[int, str] = {}
+        self.place: dict[int, tuple[int, int]] = {}
+        self.next: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+        self.touched = bytearray(len(self.text))
+        self.back: str | None = None
+
+    def char(self, i: int) -> str:
+        return self.new[i] if self.touched[i] else self.text[i]
+
+    def after(self, i: int) -> int:
+        return self.next.get(i, i + 1)
+
+    def before(self, i: int) -> int:
+        return self.last.get(i, i - 1)
+
+    def where(self, i: int) -> tuple[int, int]:
+        return self.place[i] if self.touched[i] else self.layer.where(i, i + 1)
+
+    def unwrap(self, cells, plain: str, places: list[tuple[int, int]]) -> tuple[int, int]:
+        """The first and last cell of what takes the place of an escape; the cell before it
+        (-1 at the start) twice, if that is nothing."""
+        own = cells[len(cells) - len(plain) :]
+        if not self.flat:
+            spots = [(self.where(cells[x])[0], self.where(cells[y - 1])[1]) for x, y in places]
+            self.place.update(zip(own, spots, strict=True))
+        for i in cells:
+            self.touched[i] = 1
+        self.new.update(zip(own, plain, strict=True))
+        before, after = self.before(cells[0]), self.after(cells[-1])
+        first, last = (own[0], own[-1]) if plain else (after, before)
+        self.next[before], self.last[first] = first, before
+        self.next[last], self.last[after] = after, last
+        return (first, last) if plain else (before, before)
+
+    def escapes(self, changed: list[tuple[int, int]]) -> list[tuple]:
+        """The escapes of the layer at hand: each has a place in it that was changed just now."""
+        wide: list[list[int]] = []
+        n = len(self.text)
+        for low, high in changed:
+            for _ in range(_LONGEST_ESCAPE):
+                low = self.before(low) if low > 0 else low
+                high = self.after(high) if high < n - 1 else high
+            if wide and low <= wide[-1][1]:
+                wide[-1][1] = max(high, wide[-1][1])
+            else:
+                wide.append([low, high])
+        found = []
+        for low, high in wide:
+            cells, i = [], max(low, self.next.get(-1, 0))
+            while i <= high and i < n:
+                cells.append(i)
+                i = self.after(i)
+            text = "".join(map(self.char, cells))
+            if not _BEGIN.isdisjoint(text):
+                for m in _ESCAPE.finditer(text):
+                    if (opened := _opened_escape(m.group())) is not None:
+                        found.append((cells[m.start() : m.end()], m.group(), *opened))
+        return found
+
+    def around(self, i: int) -> tuple[Layer, int]:
+        """The run of characters of secrets and tokens that holds cell ``i``, and its last cell."""
+        n, left, right = len(self.text), [], []
+        j = self.before(i)
+        while j >= 0 and self.char(j) in _PARTS:
+            low = j
+            if not self.touched[j]:
+                self.back = self.text[::-1] if self.back is None else self.back
+                low = n - _PART.match(self.back, n - 1 - j).end()
+                low = max(low, self.touched.rfind(1, low, j) + 1)
+            left.append((low, j + 1))
+            j = self.before(low)
+        j = end = i
+        while j < n and self.char(j) in _PARTS:
+            end = j if self.touched[j] else _PART.match(self.text, j).end() - 1
+            right.append((j, end + 1))
+            j = self.after(end)
+        return self.made(left[::-1] + right), end
+
+    def whole(self) -> Layer:
+        """The layer at hand."""
+        parts, i, n = [], self.next.get(-1, 0), len(self.text)
+        while i < n:
+            to = i + 1
+            if not self.touched[i]:
+                to = self.touched.find(1, i)
+                to = n if to < 0 else to
+            parts.append((i, to))
+            i = self.after(to - 1)
+        return self.made(parts)
+
+    def made(self, parts: list[tuple[int, int]]) -> Layer:
+        """A layer of stretches of cells: one new one each, or others."""
+        text = "".join(self.new[a] if self.touched[a] else self.text[a:b] for a, b in parts)
+        if self.flat:
+            return Layer(text, self.layer.starts)
+        starts, ends, at = np.empty(len(text), dtype=np.int64), np.empty(len(text), dtype=np.int64), 0
+        for a, b in parts:
+            if self.touched[a]:
+                starts[at], ends[at] = self.place[a]
+            elif self.layer.starts is None:
+                starts[at : at + b - a], ends[at : at + b - a] = np.arange(a, b), np.arange(a + 1, b + 1)
+            else:
+                starts[at : at + b - a], ends[at : at + b - a] = self.layer.starts[a:b], self.layer.ends[a:b]
+            at += b - a
+        return Layer(text, starts, ends)
+
+    def layers(self) -> Iterator[Layer]:
+        """Of all layers under the escapes, and those under these, what the one before has not."""
+        n = len(self.text)
+        escapes = [(range(*m.span()), m.group(), *opened) for m in _ESCAPE.finditer(self.text) if (opened := _opened_escape(m.group())) is not None]
+        while escapes:
+            changed = [self.unwrap(cells, plain, places) for cells, _, plain, places in escapes]
+            escapes = self.escapes(changed)
+            opens = {cells[0] for cells, *_ in escapes}
+            done = -1
+            for i, last in changed:
+                while i <= last:
+                    at = i if i >= 0 and self.char(i) in _PARTS else self.after(i)
+                    # What follows the beginning of an escape stood there before.
+                    if done < at < n and (at == i or i not in opens) and self.char(at) in _PARTS:
+                        layer, done = self.around(at)
+                        yield layer
+                    i = self.after(i)
+            if any(not _MARKS.isdisjoint(bytes.fromhex(t.replace("%", "")).decode("latin-1") if t[0] == "%" else plain) for _, t, plain, _ in escapes):
+                yield from _raw_layers(self.whole())
 
 
 class _Zlib(io.RawIOBase):
@@ -374,6 +484,15 @@ def _compressed(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield at, done, chunk
 
 
+def _decoded(body: str) -> bytes | None:
+    """The bytes of base64 without padding; a last character that makes no byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     """What runs of base64 stand for.  A run may be glued to what precedes it: it is read
     from each of its first four characters on, as all further beginnings go on as one of those."""
@@ -383,38 +502,39 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             continue
         low, high = layer.where(*m.span())
         for phase in range(4):
-            part = body[phase:]
-            try:
-                data = base64.b64decode(part[: len(part) - (len(part) % 4 == 1)] + "=" * (-len(part) % 4 if len(part) % 4 != 1 else 0))
-            except (binascii.Error, ValueError):
+            if (data := _decoded(body[phase:])) is None:
                 continue
+            flat = layer.starts is not None and layer.ends is None
             if phase == 0:
                 yield Layer(_text_of(data), (low, high))
-            elif layer.starts is None or layer.ends is not None:
+            elif not flat:
                 # What is found from some byte on began with the characters of that byte.
-                yield Layer(data.decode("latin-1"), *_quanta(layer, m.start() + phase, len(data), high))
+                yield Layer(data.decode("latin-1"), *_quanta(layer, m.start() + phase, 0, len(data), high))
             else:
                 yield Layer(data.decode("latin-1"), (low, high))
+            for wide in _WIDE.finditer(data) if phase or not _utf16(data) else ():
+                of = (low, high) if flat else (int(_quanta(layer, m.start() + phase, wide.start(), 1, high)[0][0]), high)
+                yield Layer(wide.group()[::2].decode("latin-1"), of)
             for at, _, chunk in _compressed(data):
                 begin = layer.where(m.start() + phase + 4 * (at // 3), m.end())[0] if at or phase else low
                 yield Layer(_text_of(chunk), (begin, high))
     if "\n" in layer.text:
         for m in _WRAPPED.finditer(layer.text):
-            body = re.sub(r"\s+", "", m.group()).rstrip("=")
-            body = body[: len(body) - (len(body) % 4 == 1)]
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            span = layer.where(*m.span())
-            yield Layer(_text_of(data), span)
-            for _, _, chunk in _compressed(data):
-                yield Layer(_text_of(chunk), span)
-
-
-def _quanta(layer: Layer, at: int, n: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each of ``n`` decoded bytes the start of its four characters, and the end of the run."""
-    place = at + 4 * (np.arange(n) // 3)
+            body, span = re.sub(r"\s+", "", m.group()).rstrip("="), layer.where(*m.span())
+            for phase in range(4):
+                if (data := _decoded(body[phase:])) is None:
+                    continue
+                yield Layer(data.decode("latin-1") if phase else _text_of(data), span)
+                for wide in _WIDE.finditer(data) if phase or not _utf16(data) else ():
+                    yield Layer(wide.group()[::2].decode("latin-1"), span)
+                for _, _, chunk in _compressed(data):
+                    yield Layer(_text_of(chunk), span)
+
+
+def _quanta(layer: Layer, at: int, first: int, n: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` decoded bytes from ``first`` on the start of its four characters, and
+    the end of the run."""
+    place = at + 4 * (np.arange(first, first + n) // 3)
     return (place if layer.starts is None else layer.starts[place]), np.full(n, high)
 
 
@@ -427,7 +547,7 @@ def _raw_layers(layer: Layer) -> Iterator[Layer]:
             made += [(a, a + 3, chr(int(layer.text[a + 1 : a + 3], 16)), [(a, a + 3)]) for a in range(m.start(), m.end(), 3)]
         elif (plain := _PRINTED.get(token) or _unescape(token)) is not None and len(plain) == 1:
             made.append((*m.span(), plain, [m.span()]))
-    if not any(x[2] in "\x1f\x8b\x08\x01\x9c\xda\xfd\x00\xb5" for x in made):
+    if not any(x[2] in _MARKS for x in made):
         return
     raw = _rewritten(layer, made)
     for run in _RAW_RUN.finditer(raw.text):
@@ -436,18 +556,11 @@ def _raw_layers(layer: Layer) -> Iterator[Layer]:
 
 
 def layers(layer: Layer) -> Iterator[Layer]:
-    """The layers right under one."""
-    text = layer.text
+    """The layers under one: what its tokens hold, and all that unwrapping its escapes makes."""
     yield from _base64_layers(layer)
-    if "%" in text or "\\" in text or "&" in text:
-        if layer.spent > LAYERED:
-            inner = _fixpoint(layer)
-            inner = inner if inner.text != text else None
-        elif (inner := _escaped(layer)) is not None:
-            yield from _raw_layers(layer)
-        if inner is not None:
-            inner.last = True  # nothing is kept of this one while it is followed
-            yield inner
+    if any(c in layer.text for c in _BEGIN) and _ESCAPE.search(layer.text):
+        yield from _raw_layers(layer)
+        yield from _Unwrapping(layer).layers()
 
 
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -462,8 +575,6 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
         if layer is None:
             work.pop()
             continue
-        if layer.last:
-            work.pop()
         if len(layer.text) < 8 or (key := layer.key()) in seen:
             continue
         seen.add(key)
