@@ -122,13 +122,13 @@ def _place() -> Column:
 
 def _placed(found: DataFrame) -> DataFrame:
     """``found`` with doc, h and line in place of ``place``."""
-    unit = f"{1 << LINE_BITS}BD"
-    found = found.withColumn("line", F.expr(f"cast(pmod(place, {unit}) as long)"))
-    found = found.withColumn("row", F.expr(f"cast((place - line) / {unit} as decimal(38,0))"))
+    unit, both, last = (f"{x}BD" for x in (1 << LINE_BITS, 1 << LINE_BITS + HASH_BITS, _LAST << LINE_BITS + HASH_BITS))
     # Hashes of rows without an id are wider than their part of the number; what lies above _LAST's is theirs.
-    found = found.withColumn("over", F.expr(f"row - {_LAST << HASH_BITS}BD"))
-    found = found.withColumn("h", F.expr(f"cast(if(over >= 0, over, pmod(row, {1 << HASH_BITS}BD)) as long)"))
-    return found.withColumn("doc", F.expr(f"if(over >= 0, {_LAST}L, cast((row - h) / {1 << HASH_BITS}BD as long))")).drop("place", "row", "over")
+    none = f"place >= {last}"
+    found = found.withColumn("low", F.expr(f"if({none}, cast(pmod(place, {unit}) as long), cast(pmod(place, {both}) as long))"))
+    found = found.withColumn("h", F.expr(f"if({none}, cast((place - {last} - low) / {unit} as long), shiftright(low, {LINE_BITS}))"))
+    found = found.withColumn("doc", F.expr(f"if({none}, {_LAST}L, cast((place - low) / {both} as long))"))
+    return found.withColumn("line", F.expr(f"low & {(1 << LINE_BITS) - 1}L")).drop("place", "low")
 
 
 def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -182,7 +182,7 @@ def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
     def work(batches):
         head = None
         for batch in batches:
-            key, n, ids, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4, 5, 6))
+            key, n, ids, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(key):
                 continue
             if head is not None:
@@ -196,7 +196,7 @@ def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap)]
 
-    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "h", "line")
+    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "h", "line").select("key", "n", "id", "bitmap")
     warm = keyed.join(hot, "key", "left_semi")
     heads = warm.groupBy("key").agg(F.min_by(F.struct("id", "n", "bitmap"), F.struct("doc", "h", "line")).alias("head"))
     heads = heads.select("key", F.col("head.id").alias("b"), F.col("head.n").alias("m"), F.col("head.bitmap").alias("bits"))
@@ -208,7 +208,7 @@ def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _meet(num: int, den: int):
-    """Pairs within each word of rows (word, n, at, id, bitmap, open) sorted by word and n."""
+    """Pairs within each word of rows (key, rest, id, bitmap) sorted by key: word and n, at and open in one number each."""
 
     def filtered(i: np.ndarray, j: np.ndarray, c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         _, n, at, ids, bitmap, _ = c
@@ -247,10 +247,11 @@ def _meet(num: int, den: int):
     def work(batches):
         held: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            new[1], new[2], new[4] = new[1].astype(np.int64), new[2].astype(np.int64), new[4].view(np.uint64)
-            if not len(new[0]):
+            key, rest, ids, bitmap = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(key):
                 continue
+            rest = rest.astype(np.int64)
+            new = [key >> 32, key & 0xFFFFFFFF, rest >> 1, ids, bitmap.view(np.uint64), rest & 1 == 1]
             done = len(held[0]) if held else 0
             c = [np.concatenate([h, x]) for h, x in zip(held, new, strict=True)] if held else new
             i, j = pairs(c, done)
@@ -268,11 +269,14 @@ def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int)
     """Pairs of an unsettled line and any other line that pass the filters.
 
     Rows of a word are sorted by length, so that a task holds only those of one word
-    within the length filter of the row at hand.
+    within the length filter of the row at hand.  Word and length are one number, by which
+    Spark sorts without comparing rows.
     """
     flagged = lines.join(settled.select("id", F.lit(False).alias("open")), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    rows = flagged.select("id", "n", "bitmap", "open", F.posexplode("prefix").alias("at", "word")).select("word", "n", "at", "id", "bitmap", "open")
-    return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet(num, den), "a long, b long").where("a <> b").distinct()
+    rows = flagged.select("id", "n", "bitmap", "open", F.posexplode("prefix").alias("at", "word"))
+    key, rest = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("n").cast("long")), F.shiftleft("at", 1).bitwiseOR(F.col("open").cast("int"))
+    rows = rows.select(key.alias("key"), rest.alias("rest"), "id", "bitmap")
+    return rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(_meet(num, den), "a long, b long").where("a <> b").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
