@@ -11,9 +11,10 @@ Rows are known by (doc, h): their id and a hash of their text, so that rows whic
 id, or have none, are told apart; rows of the same id and text share their fate.
 
 Lines with the same set are one entry.  Before the join a cheap round compares each line
-with the first line that shares its smallest word under a random order; lines that this
-settles need no longer look for a match themselves (others still meet them), so large
-groups of near copies do not meet in all pairs.
+with the first line that shares its smallest word under a random order; where many lines
+may match the same first one, they are verified, and those that this settles need no longer
+look for a match themselves (others still meet them), so large groups of near copies do not
+meet in all pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ LINE_BITS, HASH_BITS, NULL_BITS = 31, 31, 62
 _LAST = (1 << 63) - 1
 #: So many keys of first lines are broadcast at most, some 50 bytes each.
 MOST_HOT = 4096
+#: First lines that fewer lines may match are left to the join, where so small a group meets in all pairs.
+LEAST_GROUP = 16
+#: Places of words in a prefix have so many bits beside a line's id; later places count as the last, which only weakens a filter.
+AT_BITS = 10
 _SKETCH = tuple(f"s{k}" for k in range(8))
 #: Ids and hashes of so many documents take some 40 MB as a broadcast table, the most that is ever sent.
 MOST_BROADCAST_DOCS = 500_000
@@ -77,9 +82,9 @@ def word_classes(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def line_numbers(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Of each word its line, counted through the batch, and of each text its first line."""
-    breaks = np.flatnonzero(words.bytes == 10)
+    breaks = np.concatenate([[0], np.cumsum(words.bytes == 10)])
     texts = np.arange(len(words.offsets) - 1)
-    return np.searchsorted(breaks, words.starts) + words.text, np.searchsorted(breaks, words.offsets[:-1]) + texts
+    return breaks[words.starts] + words.text, breaks[words.offsets[:-1]] + texts
 
 
 def line_sets(words: Words, lines: np.ndarray, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +170,8 @@ def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: s
 
 
 def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a line and the first line that shares a smallest word and about its length.
+    """Rows (id, first): a line and the first line that shares a smallest word and about its
+    length, where ``LEAST_GROUP`` lines or more may match that first one.
 
     The lines of a key come sorted, so a task holds the first one only, however many there
     are.  Keys that a sample shows to hold more than 1 / ``MOST_HOT`` of all rows, of which
@@ -192,23 +198,26 @@ def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
             both, least, most = n.astype(np.int64) + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
             apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
             keep = (ids != ids[of]) & (least.astype(np.int64) * den >= most.astype(np.int64) * num) & ((both - apart) * (num + den) >= 2 * num * both)
-            a, b = ids[keep], ids[of][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[of][keep])], ["id", "first"])
             head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap)]
 
     cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "h", "line").select("key", "n", "id", "bitmap")
     warm = keyed.join(hot, "key", "left_semi")
     heads = warm.groupBy("key").agg(F.min_by(F.struct("id", "n", "bitmap"), F.struct("doc", "h", "line")).alias("head"))
-    heads = heads.select("key", F.col("head.id").alias("b"), F.col("head.n").alias("m"), F.col("head.bitmap").alias("bits"))
+    heads = heads.select("key", F.col("head.id").alias("first"), F.col("head.n").alias("m"), F.col("head.bitmap").alias("bits"))
     both = F.col("n") + F.col("m")
     apart = F.bit_count(F.col("bitmap").bitwiseXOR(F.col("bits")))
     close = (F.least("n", "m") * den >= F.greatest("n", "m") * num) & ((both - apart) * (num + den) >= 2 * num * both)
-    met = warm.join(F.broadcast(heads), "key").where((F.col("id") != F.col("b")) & close).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    return cold.mapInArrow(work, "a long, b long").union(met).distinct()
+    met = warm.join(F.broadcast(heads), "key").where((F.col("id") != F.col("first")) & close).select("id", "first")
+    found = materialize(cold.mapInArrow(work, "id long, first long").union(met).distinct())
+    large = found.groupBy("first").agg(F.count("*").alias("many")).where(F.col("many") >= LEAST_GROUP).select("first")
+    pairs = materialize(found.join(large, "first").select("id", "first"))
+    discard(some, found)
+    return pairs
 
 
 def _meet(num: int, den: int):
-    """Pairs within each word of rows (key, rest, id, bitmap) sorted by key: word and n, at and open in one number each."""
+    """Pairs within each word of rows (key, rest, bitmap) sorted by key: word and n, id, at and open in one number each."""
 
     def filtered(i: np.ndarray, j: np.ndarray, c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         _, n, at, ids, bitmap, _ = c
@@ -247,11 +256,11 @@ def _meet(num: int, den: int):
     def work(batches):
         held: list[np.ndarray] | None = None
         for batch in batches:
-            key, rest, ids, bitmap = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key, rest, bitmap = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(key):
                 continue
-            rest = rest.astype(np.int64)
-            new = [key >> 32, key & 0xFFFFFFFF, rest >> 1, ids, bitmap.view(np.uint64), rest & 1 == 1]
+            at = rest >> 1 & (1 << AT_BITS) - 1
+            new = [key >> 32, key & 0xFFFFFFFF, at, rest >> AT_BITS + 1, bitmap.view(np.uint64), rest & 1 == 1]
             done = len(held[0]) if held else 0
             c = [np.concatenate([h, x]) for h, x in zip(held, new, strict=True)] if held else new
             i, j = pairs(c, done)
@@ -274,8 +283,9 @@ def prefix_candidates(lines: DataFrame, settled: DataFrame, num: int, den: int)
     """
     flagged = lines.join(settled.select("id", F.lit(False).alias("open")), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
     rows = flagged.select("id", "n", "bitmap", "open", F.posexplode("prefix").alias("at", "word"))
-    key, rest = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("n").cast("long")), F.shiftleft("at", 1).bitwiseOR(F.col("open").cast("int"))
-    rows = rows.select(key.alias("key"), rest.alias("rest"), "id", "bitmap")
+    key, at = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("n").cast("long")), F.least("at", F.lit((1 << AT_BITS) - 1))
+    rest = F.shiftleft(F.shiftleft("id", AT_BITS).bitwiseOR(at.cast("long")), 1).bitwiseOR(F.col("open").cast("long"))
+    rows = rows.select(key.alias("key"), rest.alias("rest"), "bitmap")
     return rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(_meet(num, den), "a long, b long").where("a <> b").distinct()
 
 
@@ -325,6 +335,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 def matched(pairs: DataFrame, docs: DataFrame, lines: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The later line (id) of each of the ``pairs`` (a, b) whose whole sets match."""
     pairs = materialize(pairs)
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("id"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = materialize(lines.join(ids, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "line", "sig1")).alias("wanted")))
     table = materialize(_sets_of(docs, wanted, id_col, text_col))
@@ -353,7 +365,8 @@ def kept_lines(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "do
     rows are not earlier than each other.
     """
     lines = distinct_lines(docs, num, den, id_col, text_col)
-    first = matched(first_candidates(lines, num, den), docs, lines, num, den, id_col, text_col)
+    early = first_candidates(lines, num, den).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    first = matched(early, docs, lines, num, den, id_col, text_col)
     more = matched(prefix_candidates(lines, first, num, den), docs, lines, num, den, id_col, text_col)
     return lines.join(first.union(more), "id", "left_anti").select("doc", "h", "line")
 
