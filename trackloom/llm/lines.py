@@ -35,7 +35,7 @@ LINE_BITS, HASH_BITS, NULL_BITS = 31, 31, 62
 _LAST = (1 << 63) - 1
 #: So many keys of first lines are broadcast at most, some 50 bytes each.
 MOST_HOT = 4096
-#: First lines that fewer lines may match are left to the join, where so small a group meets in all pairs.
+#: First lines that fewer lines with the same smallest words may match are left to the join, where so small a group meets in all pairs.
 LEAST_GROUP = 16
 #: Places of words in a prefix have so many bits beside a line's id; later places count as the last, which only weakens a filter.
 AT_BITS = 10
@@ -171,7 +171,8 @@ def distinct_lines(docs: DataFrame, num: int, den: int, id_col: str, text_col: s
 
 def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (id, first): a line and the first line that shares a smallest word and about its
-    length, where ``LEAST_GROUP`` lines or more may match that first one.
+    length, where ``LEAST_GROUP`` lines or more may match that first one and share both
+    smallest words with it, as near copies mostly do and lines with a frequent word do not.
 
     The lines of a key come sorted, so a task holds the first one only, however many there
     are.  Keys that a sample shows to hold more than 1 / ``MOST_HOT`` of all rows, of which
@@ -179,8 +180,8 @@ def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
     aggregated and broadcast, and their other lines meet them where they are.
     """
     bucket = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-    keyed = lines.select("id", "doc", "h", "line", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("k", "m"))
-    keyed = keyed.select(F.xxhash64("k", "m", bucket).alias("key"), "doc", "h", "line", "n", "id", "bitmap")
+    keyed = lines.select("id", "doc", "h", "line", "n", "bitmap", F.hash("m0", "m1").alias("small"), F.posexplode(F.array("m0", "m1")).alias("k", "m"))
+    keyed = keyed.select(F.xxhash64("k", "m", bucket).alias("key"), "doc", "h", "line", "n", "id", "bitmap", "small")
     some = materialize(keyed.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("rows")))
     total = some.agg(F.sum("rows")).first()[0] or 0
     hot = F.broadcast(some.where(F.col("rows") > max(8, total // MOST_HOT)).select("key"))
@@ -188,29 +189,29 @@ def first_candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
     def work(batches):
         head = None
         for batch in batches:
-            key, n, ids, bitmap = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            key, n, ids, bitmap, small = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(key):
                 continue
             if head is not None:
-                key, n, ids, bitmap = (np.append(h, x) for h, x in zip(head, (key, n, ids, bitmap), strict=True))
+                key, n, ids, bitmap, small = (np.append(h, x) for h, x in zip(head, (key, n, ids, bitmap, small), strict=True))
             first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
             of = np.repeat(first, np.diff(np.append(first, len(key))))
             both, least, most = n.astype(np.int64) + n[of], np.minimum(n, n[of]), np.maximum(n, n[of])
             apart = np.bitwise_count((bitmap ^ bitmap[of]).view(np.uint64)).astype(np.int64)
             keep = (ids != ids[of]) & (least.astype(np.int64) * den >= most.astype(np.int64) * num) & ((both - apart) * (num + den) >= 2 * num * both)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[of][keep])], ["id", "first"])
-            head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[of][keep]), pa.array((small == small[of])[keep])], ["id", "first", "alike"])
+            head = [x[of[-1] : of[-1] + 1] for x in (key, n, ids, bitmap, small)]
 
-    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "h", "line").select("key", "n", "id", "bitmap")
+    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "h", "line").select("key", "n", "id", "bitmap", "small")
     warm = keyed.join(hot, "key", "left_semi")
-    heads = warm.groupBy("key").agg(F.min_by(F.struct("id", "n", "bitmap"), F.struct("doc", "h", "line")).alias("head"))
-    heads = heads.select("key", F.col("head.id").alias("first"), F.col("head.n").alias("m"), F.col("head.bitmap").alias("bits"))
+    heads = warm.groupBy("key").agg(F.min_by(F.struct("id", "n", "bitmap", "small"), F.struct("doc", "h", "line")).alias("head"))
+    heads = heads.select("key", F.col("head.id").alias("first"), F.col("head.n").alias("m"), F.col("head.bitmap").alias("bits"), F.col("head.small").alias("its"))
     both = F.col("n") + F.col("m")
     apart = F.bit_count(F.col("bitmap").bitwiseXOR(F.col("bits")))
     close = (F.least("n", "m") * den >= F.greatest("n", "m") * num) & ((both - apart) * (num + den) >= 2 * num * both)
-    met = warm.join(F.broadcast(heads), "key").where((F.col("id") != F.col("first")) & close).select("id", "first")
-    found = materialize(cold.mapInArrow(work, "id long, first long").union(met).distinct())
-    large = found.groupBy("first").agg(F.count("*").alias("many")).where(F.col("many") >= LEAST_GROUP).select("first")
+    met = warm.join(F.broadcast(heads), "key").where((F.col("id") != F.col("first")) & close).select("id", "first", (F.col("small") == F.col("its")).alias("alike"))
+    found = materialize(cold.mapInArrow(work, "id long, first long, alike boolean").union(met).distinct())
+    large = found.where("alike").groupBy("first").agg(F.count("*").alias("many")).where(F.col("many") >= LEAST_GROUP).select("first")
     pairs = materialize(found.join(large, "first").select("id", "first"))
     discard(some, found)
     return pairs
