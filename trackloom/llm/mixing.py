@@ -128,7 +128,8 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     last = (F.col("begin") + F.col("size") - 1)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"begin div {block_words}"), F.floor(last / block_words))))
     pieces = pieces.select("rank", "block", "uid", "doc_id", (F.col("block") * block_words - F.col("begin")).alias("shift"), F.greatest(F.col("begin") - F.col("block") * block_words, F.lit(0)).alias("a"), F.least(F.col("begin") + F.col("size") - F.col("block") * block_words, F.lit(block_words)).alias("b"))
-    ranges = pieces.join(per, ["rank", "block"]).where("take > a")
+    # By merging, whatever the tables weigh: Spark takes the pieces for as small as the rows that they are of, and would broadcast them.
+    ranges = pieces.hint("merge").join(per, ["rank", "block"]).where("take > a")
     return placed, ranges.select("shard", "pass", "block", "uid", "doc_id", (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.least("b", "take")).alias("b"))
 
 
