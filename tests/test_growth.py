@@ -18,3 +18,16 @@ def test_pieces_of_documents_are_not_broadcast(spark):
     joins = re.findall(r"(\w+Join) \[rank#\d+L?, block#\d+L?\]", plan_of(ranges))
     assert joins[0] == "SortMergeJoin"
     assert ranges.count()
+
+
+def test_neighbours_are_not_broadcast_and_blocks_lose_none(spark):
+    from trackloom.operators import joins
+
+    rows = spark.range(300).select("id", (F.col("id") * 7 % 50 * 1_000_000).alias("t_us"), ((F.col("id") * 37 % 101 - 50) / 200.0).alias("lat"), ((F.col("id") * 53 % 97 - 48) / 200.0).alias("lon"))
+    met = joins.grid_pairs(rows, rows, max_dt_us=9_000_000, earlier=True)
+    assert re.findall(r"(\w+Join) \[cy", plan_of(met)) == ["SortMergeJoin"]
+    cell = lambda x: (x / 0.05) // 1
+    all_rows = rows.collect()
+    near = lambda a, b: abs(cell(a.lat) - cell(b.lat)) <= 1 and abs(cell(a.lon) - cell(b.lon)) <= 1
+    want = sorted((a.id, b.id) for a in all_rows for b in all_rows if 0 <= a.t_us - b.t_us <= 9_000_000 and near(a, b))
+    assert sorted((r.a_id, r.b_id) for r in met.select("a_id", "b_id").collect()) == want

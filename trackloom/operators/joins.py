@@ -33,22 +33,27 @@ def grid_pairs(reports: DataFrame, others: DataFrame, *, max_dt_us: int, cell_de
     """Pairs of rows in neighbouring cells and within ``max_dt_us``, columns prefixed a_ and b_;
     ``earlier``: only those of which b is no later than a, which need fewer slices.
 
-    An equi-join: the left side is in its own cell and time slice, the right side is listed
-    in the nine cells around it and the two or three slices it can reach.  There is no wrap
-    at the antimeridian.  Hot cells are plain join keys, which adaptive execution splits.
+    An equi-join: the left side is in its own block of two by two cells and its time slice, the
+    right side is listed in the four blocks that its nine cells touch and the two or three slices
+    it can reach.  There is no wrap at the antimeridian.  Hot blocks are plain join keys, which
+    adaptive execution splits.  The join is by merging: Spark takes a listed side for as small as
+    the table that it is made of, and would broadcast it.
     """
     left = reports.select(*(F.col(c).alias(f"a_{c}") for c in reports.columns))
     right = others.select(*(F.col(c).alias(f"b_{c}") for c in others.columns))
     ay, ax = geo.cell(F.col("a_lat"), F.col("a_lon"), cell_deg)
     by, bx = geo.cell(F.col("b_lat"), F.col("b_lon"), cell_deg)
     slice_of = lambda c: F.floor(c / F.lit(float(max_dt_us))).cast("long")
-    left = left.withColumns({"cy": ay, "cx": ax, "ct": slice_of(F.col(f"a_{time_col}"))})
-    right = right.withColumn("cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: by + d)))
-    right = right.withColumn("cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bx + d)))
+    block = lambda c: F.floor(c / 2.0).cast("long")
+    left = left.withColumns({"_ay": ay, "_ax": ax}).withColumns({"cy": block(F.col("_ay")), "cx": block(F.col("_ax")), "ct": slice_of(F.col(f"a_{time_col}"))})
+    # Of three cells in a row the outer two are always in different blocks.
+    listed = lambda c: F.explode(F.array(block(c - 1), block(c + 1)))
+    right = right.withColumns({"_by": by, "_bx": bx}).withColumn("cy", listed(F.col("_by"))).withColumn("cx", listed(F.col("_bx")))
     right = right.withColumn("ct", F.explode(F.transform(F.array(*map(F.lit, (0, 1) if earlier else (-1, 0, 1))), lambda d: slice_of(F.col(f"b_{time_col}")) + d)))
     apart = F.col(f"a_{time_col}") - F.col(f"b_{time_col}")
     near = apart.between(0, max_dt_us) if earlier else F.abs(apart) <= max_dt_us
-    return left.join(right, ["cy", "cx", "ct"]).where(near).drop("cy", "cx", "ct")
+    beside = (F.abs(F.col("_ay") - F.col("_by")) <= 1) & (F.abs(F.col("_ax") - F.col("_bx")) <= 1)
+    return left.join(right.hint("merge"), ["cy", "cx", "ct"]).where(near & beside).drop("cy", "cx", "ct", "_ay", "_ax", "_by", "_bx")
 
 
 def latest_pairs(reports: DataFrame, others: DataFrame, keys: list[str], *, max_dt_us: int, cell_deg: float = 0.05, slice_us: int = 10_000_000, time_col: str = "t_us", order: str = "event_id") -> DataFrame:
