@@ -31,3 +31,10 @@ def test_neighbours_are_not_broadcast_and_blocks_lose_none(spark):
     near = lambda a, b: abs(cell(a.lat) - cell(b.lat)) <= 1 and abs(cell(a.lon) - cell(b.lon)) <= 1
     want = sorted((a.id, b.id) for a in all_rows for b in all_rows if 0 <= a.t_us - b.t_us <= 9_000_000 and near(a, b))
     assert sorted((r.a_id, r.b_id) for r in met.select("a_id", "b_id").collect()) == want
+
+
+def test_density_is_counted_without_a_broadcast(spark):
+    from trackloom.queries import QUERIES
+
+    plan = plan_of(QUERIES["local_density"](spark, "/root/testdata/sf0.001"))
+    assert re.findall(r"(\w+Join) \[cy", plan) == ["SortMergeJoin"]
