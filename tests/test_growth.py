@@ -38,3 +38,18 @@ def test_density_is_counted_without_a_broadcast(spark):
 
     plan = plan_of(QUERIES["local_density"](spark, "/root/testdata/sf0.001"))
     assert re.findall(r"(\w+Join) \[cy", plan) == ["SortMergeJoin"]
+
+
+def test_detected_points_do_not_meet_every_plot_around_them(spark):
+    import time
+
+    from trackloom.operators import scoring
+
+    # 3.6 thousand million pairs within a kilometre, if all met; half of the points are far from any plot.
+    plots = spark.range(60_000).select(F.lit(1_000_000).alias("t_us"), (50.0 + F.col("id") / 1e8).alias("lat"), F.lit(0.0).alias("lon"))
+    points = plots.select(F.monotonically_increasing_id().alias("point_id"), "t_us", "lat", "lon", F.lit(True).alias("scored"))
+    points = points.union(points.selectExpr("-point_id - 1", "t_us", "lat + 1", "lon", "scored"))
+    start = time.monotonic()
+    found = scoring.require_detection(points, plots, within_m=2000.0, window_us=3_600_000_000).groupBy("scored").count().collect()
+    assert {r["scored"]: r["count"] for r in found} == {True: 60_000, False: 60_000}
+    assert time.monotonic() - start < 40
