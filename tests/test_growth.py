@@ -53,3 +53,31 @@ def test_detected_points_do_not_meet_every_plot_around_them(spark):
     found = scoring.require_detection(points, plots, within_m=2000.0, window_us=3_600_000_000).groupBy("scored").count().collect()
     assert {r["scored"]: r["count"] for r in found} == {True: 60_000, False: 60_000}
     assert time.monotonic() - start < 40
+
+
+def test_cross_fixes_of_many_windows_take_one_fit(spark):
+    import time
+
+    from trackloom.operators import bearings
+
+    at = spark.range(60_000).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(e).alias("e")) for k, (n, e) in enumerate(((0.0, 0.2), (0.2, -0.1), (-0.2, -0.1)))))).alias("s"))
+    lines = at.select((F.col("id") * 3 + F.col("s.k")).alias("line_id"), F.concat(F.lit("s"), "s.k").alias("sensor"), (F.col("id") * 10_000_000).alias("t_us"), F.col("s.n").alias("lat"), F.col("s.e").alias("lon"), F.pmod(F.degrees(F.atan2(0.03 - F.col("s.e"), 0.01 - F.col("s.n"))), F.lit(360.0)).alias("bearing"), F.lit(0.5).alias("sigma"), F.lit(None).cast("string").alias("emitter"))
+    start = time.monotonic()
+    found = bearings.cross_fixes(lines).agg(F.count("*"), F.max(F.abs(F.col("lat") - 0.01)), F.max(F.abs(F.col("lon") - 0.03)), F.min(F.size("lines"))).first()
+    assert found[0] == 60_000 and found[1] < 1e-4 and found[2] < 1e-4 and found[3] == 3
+    assert time.monotonic() - start < 40
+
+
+def test_cross_fixes_do_not_depend_on_batches(spark):
+    from trackloom.operators import bearings
+
+    h = lambda n, m: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(m)).cast("double")
+    lines = spark.range(600).select(F.col("id").alias("line_id"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("sensor"), (F.expr("id div 40") * 10_000_000 + h(1, 1000)).cast("long").alias("t_us"), (50 + h(2, 1000) / 4000).alias("lat"), (h(3, 1000) / 2000).alias("lon"), h(4, 3600).alias("bearing") / 10, F.lit(3.0).alias("sigma"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("e"), (F.col("id") % 3).cast("string"))).alias("emitter")).withColumnRenamed("(bearing / 10)", "bearing")
+    lines = lines.toDF("line_id", "sensor", "t_us", "lat", "lon", "bearing", "sigma", "emitter").cache()
+    rows = lambda: sorted((r["window"], r.emitter or "", r.lines, round(r.lat, 6), round(r.chi2, 6)) for r in bearings.cross_fixes(lines).collect())
+    whole = rows()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows() == whole and whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
