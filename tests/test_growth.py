@@ -81,3 +81,20 @@ def test_cross_fixes_do_not_depend_on_batches(spark):
         assert rows() == whole and whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_emitters_of_many_tracks_take_one_fit(spark):
+    import time
+
+    from trackloom.functions import geo
+    from trackloom.operators import motion
+
+    t = (F.col("i") * 10 - 300).cast("double")
+    north, east = 100.0 * F.least(t + 150.0, F.lit(0.0)), 100.0 * F.greatest(t + 150.0, F.lit(0.0))
+    rows = spark.range(2500).select("id", F.explode(F.sequence(F.lit(0), 20 + (F.col("id") % 11).cast("int"))).alias("i"))
+    bearing = F.pmod(F.degrees(F.atan2(12_000.0 - east, 5_000.0 - north)), F.lit(360.0))
+    lines = rows.select(F.col("id").cast("string").alias("sensor_track"), F.col("i").cast("long").alias("line_id"), ((t + 1000) * 1e6).cast("long").alias("t_us"), (north / geo.METRES_PER_DEGREE).alias("lat"), (east / geo.METRES_PER_DEGREE).alias("lon"), bearing.alias("bearing"), F.lit(0.02).alias("sigma"), F.lit(60_000.0).alias("range_m"), F.lit(False).alias("moving"))
+    start = time.monotonic()
+    found = motion.locate(lines).agg(F.count("*"), F.max(F.abs(F.col("lat") * geo.METRES_PER_DEGREE - 5_000)), F.max(F.abs(F.col("lon") * geo.METRES_PER_DEGREE - 12_000)), F.min("lines"), F.max("lines")).first()
+    assert found[0] == 2500 and found[1] < 50 and found[2] < 50 and tuple(found[3:]) == (21, 31)
+    assert time.monotonic() - start < 12
