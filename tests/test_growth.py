@@ -98,3 +98,21 @@ def test_emitters_of_many_tracks_take_one_fit(spark):
     found = motion.locate(lines).agg(F.count("*"), F.max(F.abs(F.col("lat") * geo.METRES_PER_DEGREE - 5_000)), F.max(F.abs(F.col("lon") * geo.METRES_PER_DEGREE - 12_000)), F.min("lines"), F.max("lines")).first()
     assert found[0] == 2500 and found[1] < 50 and found[2] < 50 and tuple(found[3:]) == (21, 31)
     assert time.monotonic() - start < 12
+
+
+def test_hypotheses_are_plain_numbers():
+    import time
+
+    from trackloom.operators import mht
+
+    rows = [{"source_id": "r", "t_us": k * 2_500_000, "lat": 54 + ship / 100 + k * 1e-4 + (k * 7 + ship) % 11 * 1e-5, "lon": 3.0 + (k * 5 + ship) % 9 * 1e-5, "error_m": 10.0} for k in range(1, 11) for ship in range(4)]
+    start = time.monotonic()
+    for _ in range(40):
+        fold = mht.tracker()
+        state, made = fold.init(), []
+        for row in rows:
+            state, more = fold.step(state, row)
+            made += more
+        made += fold.end(state)
+        assert len({r["track_key"] for r in made}) == 4 and len(made) == 32
+    assert time.monotonic() - start < 4

@@ -24,17 +24,19 @@ DELETE_SCORE = -20.0
 SEARCH_NODES = 200_000
 
 
-@dataclass
+@dataclass(slots=True)
 class Leaf:
-    track: trackers.Track
+    """``track``: a state (north, east and their speeds) with the covariance that both axes share, as (position,
+    cross, speed); plain numbers, as there are hundreds of leaves in a scan of a few plots."""
+
+    track: tuple[tuple[float, float, float, float], tuple[float, float, float]]
     score: float
     plots: tuple[tuple[int, int], ...]
     hits: int
 
-    def grown(self, score: float, plot: tuple[int, int] | None) -> Leaf:
-        t = self.track
-        copy = trackers.Track(t.key, t.x.copy(), t.p.copy(), t.exists, t.hits, t.confirmed, t.seen)
-        return Leaf(copy, score, (*self.plots, plot) if plot else self.plots, self.hits + bool(plot))
+    def predicted(self, dt: float, q: float) -> tuple[tuple[float, float, float, float], tuple[float, float, float]]:
+        (n, e, vn, ve), (pp, pv, vv) = self.track
+        return (n + dt * vn, e + dt * ve, vn, ve), (pp + dt * (2 * pv + dt * vv) + q * dt**4 / 4, pv + dt * vv + q * dt**3 / 2, vv + q * dt**2)
 
 
 @dataclass
@@ -69,23 +71,28 @@ def best_set(leaves: list[tuple[int, Leaf]]) -> list[int]:
     out: list[int] = []
     for group in groups.values():
         group.sort(key=lambda i: -leaves[i][1].score)
-        rest = np.append(np.cumsum([leaves[i][1].score for i in group][::-1])[::-1], 0.0)
-        best: tuple[float, list[int]] = (-1.0, [])
-        stack: list[tuple[int, float, list[int], frozenset]] = [(0, 0.0, [], frozenset())]
-        nodes = 0
+        scores = [leaves[i][1].score for i in group]
+        rest = [*np.cumsum(scores[::-1])[::-1].tolist(), 0.0]
+        # What a leaf takes, as bits; what was chosen, as (last, those before).
+        bits: dict = {}
+        takes = [sum(1 << bits.setdefault(k, len(bits)) for k in {("t", tree), *leaf.plots}) for tree, leaf in (leaves[i] for i in group)]
+        best: tuple[float, tuple] = (-1.0, ())
+        stack: list[tuple[int, float, tuple, int]] = [(0, 0.0, (), 0)]
+        nodes, size = 0, len(group)
         while stack and nodes < SEARCH_NODES:
             at, total, chosen, used = stack.pop()
             nodes += 1
             if total > best[0]:
                 best = (total, chosen)
-            if at == len(group) or total + rest[at] <= best[0]:
+            if at == size or total + rest[at] <= best[0]:
                 continue
-            tree, leaf = leaves[group[at]]
-            keys = frozenset((("t", tree), *leaf.plots))
             stack.append((at + 1, total, chosen, used))
-            if not keys & used:
-                stack.append((at + 1, total + leaf.score, [*chosen, group[at]], used | keys))
-        out += best[1]
+            if not takes[at] & used:
+                stack.append((at + 1, total + scores[at], (group[at], chosen), used | takes[at]))
+        chosen = best[1]
+        while chosen:
+            out.append(chosen[0])
+            chosen = chosen[1]
     return out
 
 
@@ -93,23 +100,31 @@ def scan(state: State, t: float, z: np.ndarray, var: np.ndarray, tune: trackers.
     """One scan: grow, choose, prune; the confirmed leaves of the picture that were hit."""
     dt = 0.0 if state.t is None else t - state.t
     state.t, state.scan = t, state.scan + 1
+    points, miss, gain = list(zip(z[:, 0].tolist(), z[:, 1].tolist(), var.tolist(), strict=True)), math.log(1 - tune.detect_p), math.log(tune.detect_p / tune.clutter) - math.log(2 * math.pi)
     for tree, leaves in state.trees.items():
-        grown: list[Leaf] = []
+        # (score, leaf before, predicted state, plot); the best become leaves.
+        grown: list[tuple] = []
         for leaf in leaves:
-            trackers.predict(leaf.track, dt, tune)
-            grown.append(leaf.grown(leaf.score + math.log(1 - tune.detect_p), None))
-            for j in range(len(z)):
-                d2, ln_det, y, inv = trackers.innovation(leaf.track, z[j], var[j])
+            x, p = leaf.predicted(dt, tune.accel**2)
+            grown.append((leaf.score + miss, leaf, x, p, -1))
+            for j, (n, e, r) in enumerate(points):
+                s = p[0] + r
+                d2 = ((n - x[0]) ** 2 + (e - x[1]) ** 2) / s
                 if d2 <= tune.gate:
-                    gain = math.log(tune.detect_p / tune.clutter) - d2 / 2 - ln_det / 2 - math.log(2 * math.pi)
-                    hit = leaf.grown(leaf.score + gain, (state.scan, j))
-                    trackers.update(hit.track, y, inv)
-                    grown.append(hit)
-        state.trees[tree] = sorted(grown, key=lambda x: -x.score)[:BRANCHES]
-    for j in range(len(z)):
-        p = np.diag([var[j], var[j], tune.speed0**2, tune.speed0**2])
-        seed = trackers.Track(str(state.next), np.array([*z[j], 0.0, 0.0]), p, 0.0, seen=t)
-        state.trees[state.next] = [Leaf(seed, math.log(tune.birth / tune.clutter), ((state.scan, j),), 1)]
+                    grown.append((leaf.score + gain - d2 / 2 - math.log(s), leaf, x, p, j))
+        grown.sort(key=lambda g: -g[0])
+        made = []
+        for score, leaf, x, p, j in grown[:BRANCHES]:
+            if j < 0:
+                made.append(Leaf((x, p), score, leaf.plots, leaf.hits))
+                continue
+            n, e, r = points[j]
+            near, cross = p[0] / (p[0] + r), p[1] / (p[0] + r)
+            dn, de = n - x[0], e - x[1]
+            made.append(Leaf(((x[0] + near * dn, x[1] + near * de, x[2] + cross * dn, x[3] + cross * de), (p[0] * (1 - near), p[1] * (1 - near), p[2] - cross * p[1])), score, (*leaf.plots, (state.scan, j)), leaf.hits + 1))
+        state.trees[tree] = made
+    for j, (n, e, r) in enumerate(points):
+        state.trees[state.next] = [Leaf(((n, e, 0.0, 0.0), (r, 0.0, tune.speed0**2)), math.log(tune.birth / tune.clutter), ((state.scan, j),), 1)]
         state.next += 1
     every = [(tree, leaf) for tree, leaves in state.trees.items() for leaf in leaves if leaf.score > 0]
     picture = {every[i][0]: every[i][1] for i in best_set(every)}
@@ -144,7 +159,7 @@ def tracker(tune: trackers.Tuning = trackers.Tuning(), confirm: int = 3) -> Fold
         z, var, _ = trackers.clustered(z, var, tune.cluster_m)
         out = []
         for leaf, tree, _ in scan(state, rows[0]["t_us"] / 1e6, z, var, tune, confirm):
-            n, e, vn, ve = leaf.track.x
+            n, e, vn, ve = leaf.track[0]
             out.append({"source_id": rows[0]["source_id"], "track_key": str(tree), "t_us": rows[0]["t_us"], "lat": state.lat0 + n / trackers.METRES, "lon": state.lon0 + e / east, "speed": math.hypot(vn, ve), "course": math.degrees(math.atan2(ve, vn)) % 360.0, "score": leaf.score, "state": "confirmed", "plot": leaf.plots[-1][1]})
         return out
 
