@@ -116,3 +116,39 @@ def test_hypotheses_are_plain_numbers():
         made += fold.end(state)
         assert len({r["track_key"] for r in made}) == 4 and len(made) == 32
     assert time.monotonic() - start < 4
+
+
+def test_sparse_assignment_is_the_dense_one():
+    import numpy as np
+
+    from trackloom.operators import scoring
+    from trackloom.operators.trackers import assign
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = rng.integers(1, 9, 2)
+        d = np.round(rng.random((n, m)) * 12, int(rng.integers(0, 5)))
+        i, j = np.nonzero(d < 5)
+        kept = scoring.assigned(int(n), int(m), i, j, d[i, j], 5.0)
+        assert len(set(i[kept])) == len(set(j[kept])) == len(kept)
+        want = sum(min(d[x, y], 5.0) for x, y in assign(np.minimum(d, 5.0))) + 5.0 * max(n - m, 0)
+        assert abs(d[i, j][kept].sum() + 5.0 * (n - len(kept)) - want) < 1e-9
+
+
+def test_gospa_of_many_and_of_large_moments(spark):
+    import time
+
+    from trackloom.operators import scoring
+
+    start = time.monotonic()
+    few = spark.range(120_000).select(F.expr("id div 4").alias("t_us"), F.col("id").alias("truth_id"), (50.0 + F.col("id") % 4 / 100).alias("lat"), F.lit(1.0).alias("lon"))
+    got = scoring.gospa(few, few.selectExpr("t_us", "truth_id AS track", "lat + 1e-4 AS lat", "lon").where("track % 4 <> 3")).agg(F.count("*"), F.sum("pairs"), F.sum("missed"), F.sum("false"), F.max("localisation")).first()
+    assert tuple(got[:4]) == (30_000, 90_000, 30_000 * 150.0, 0.0) and abs(got[4] - 3 * 11.119) < 0.01
+    # Batches with and without pairs are of one schema.
+    apart = few.selectExpr("t_us", "truth_id AS track", "lat + t_us % 2000 div 1000 AS lat", "lon")
+    assert scoring.gospa(few, apart).agg(F.sum("pairs")).first()[0] == 60_000
+    # A matrix of all pairs of this moment would take 3 GB for each of its steps.
+    many = spark.range(20_000).select(F.lit(7).cast("long").alias("t_us"), F.col("id").alias("truth_id"), (40.0 + F.expr("id div 200") / 100).alias("lat"), (F.col("id") % 200 / 100).alias("lon"))
+    got = scoring.gospa(many, many.selectExpr("t_us", "truth_id AS track", "lat + 1e-4 AS lat", "lon")).first()
+    assert got.pairs == 20_000 and got.missed == got["false"] == 0 and abs(got.gospa / 20_000 - 11.119) < 0.01
+    assert time.monotonic() - start < 30

@@ -176,4 +176,4 @@ def tracker(tune: trackers.Tuning = trackers.Tuning(), confirm: int = 3) -> Fold
 
 def form_tracks(plots: DataFrame, tune: trackers.Tuning = trackers.Tuning()) -> DataFrame:
     """Tracks of every source's detections, by hypotheses over several scans."""
-    return run(plots.select("source_id", "t_us", "lat", "lon", F.col("error_m").cast("double").alias("error_m")), tracker(tune), ["source_id"], ["t_us", "lat", "lon"])
+    return run(plots.select("source_id", "t_us", "lat", "lon", F.col("error_m").cast("double").alias("error_m")), tracker(tune), ["source_id"], ["t_us", "lat", "lon"], heavy=True)

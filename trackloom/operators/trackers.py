@@ -322,7 +322,7 @@ def form_tracks(plots: DataFrame, tune: Tuning = Tuning(), *, regions: bool = Fa
     columns = ["unit", "source_id", "t_us", "north", "east", "error_m", "plot", "lat0", "lon0"]
     rows = joins.written(placed_plots(plots))
     if not regions:
-        return run(rows.withColumn("unit", F.col("source_id")).select(*columns), tracker(tune), ["unit"], _ORDER).select(*names)
+        return run(rows.withColumn("unit", F.col("source_id")).select(*columns), tracker(tune), ["unit"], _ORDER, heavy=True).select(*names)
 
     variance = F.pow(F.greatest(F.coalesce("error_m", F.lit(tune.sigma_m)), F.lit(1e-3)), 2)
     widest = rows.groupBy("source_id").agg(F.max(variance).alias("widest"))
