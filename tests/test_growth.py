@@ -152,3 +152,17 @@ def test_gospa_of_many_and_of_large_moments(spark):
     got = scoring.gospa(many, many.selectExpr("t_us", "truth_id AS track", "lat + 1e-4 AS lat", "lon")).first()
     assert got.pairs == 20_000 and got.missed == got["false"] == 0 and abs(got.gospa / 20_000 - 11.119) < 0.01
     assert time.monotonic() - start < 30
+
+
+def test_latest_reports_are_listed_in_four_blocks(spark):
+    from trackloom.operators import joins
+
+    rows = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") % 2).cast("string").alias("source_id"), F.col("id").cast("string").alias("track_key"), (F.col("id") * 7 % 50 * 1_000_000).alias("t_us"), ((F.col("id") * 37 % 101 - 50) / 200.0).alias("lat"), ((F.col("id") * 53 % 97 - 48) / 200.0).alias("lon"))
+    met = joins.latest_pairs(rows, rows, ["source_id", "track_key"], max_dt_us=20_000_000)
+    # A report without another in its track's later slices is listed in three slices and four blocks, 12 times; nine cells were 27.
+    assert re.findall(r"(\w+Join) \[cy", plan_of(met)) == ["SortMergeJoin"]
+    cell = lambda x: (x / 0.05) // 1
+    all_rows = rows.collect()
+    near = lambda a, b: abs(cell(a.lat) - cell(b.lat)) <= 1 and abs(cell(a.lon) - cell(b.lon)) <= 1
+    want = sorted((a.event_id, b.event_id) for a in all_rows for b in all_rows if 0 <= a.t_us - b.t_us <= 20_000_000 and near(a, b))
+    assert sorted((r.a_event_id, r.b_event_id) for r in met.select("a_event_id", "b_event_id").collect()) == want
